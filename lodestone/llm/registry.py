@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules
+
+_MODULES = (bpe, quality_rules)
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality_rules.op6_quality_rules}
+    """Every function opN_<name> of the modules."""
+    return {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """ORACLE_SQL of the modules that have one, by query name."""
+    return {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
