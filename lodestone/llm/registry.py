@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, pii, quality_rules
 
-_MODULES = (bpe, quality_rules)
+_MODULES = (bpe, pii, quality_rules)
 
 
 def queries() -> dict:
