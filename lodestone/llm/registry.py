@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality_rules
+from . import bpe, mixing, pii, quality_rules
 
-_MODULES = (bpe, pii, quality_rules)
+_MODULES = (bpe, mixing, pii, quality_rules)
 
 
 def queries() -> dict:
