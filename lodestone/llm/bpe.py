@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -169,13 +170,17 @@ class Encoder:
                 out += map(known, [part] if any(map(part.__contains__, "\x1c\x1d\x1e\x1f")) else part.split())
         return [x for x in out if x[0]]
 
-    def ids(self, text: str | None) -> list[int]:
-        data = b"".join(x[0] for x in self.encode(text))
-        return list(struct.unpack(f"<{len(data) // 4}I", data))
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join([x[0] for x in self.encode(text)]), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder: tokens are joined by one space."""
-        return " ".join(self.vocab.special_names.get(i) or self.vocab.names[i] for i in ids)
+        return " ".join([self.vocab.special_names.get(i) or self.vocab.names[i] for i in ids])
+
+    def ids_and_digest(self, text: str | None) -> tuple[int, np.ndarray, str]:
+        pieces = self.encode(text)
+        ids = np.frombuffer(b"".join([x[0] for x in pieces]), "<i4")
+        return len(ids), ids, hashlib.sha256(" ".join([x[1] for x in pieces]).encode("utf-8")).hexdigest()
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of ids and of the decoded text."""
@@ -222,5 +227,10 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     return with_encoder(df, path, ["text"], lambda e: e.digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
 
 
+def encode_corpus(df: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """n_tokens, ids, and the digest of the text that the ids decode to."""
+    return with_encoder(df, path, ["text"], lambda e: e.ids_and_digest, "n_tokens long, ids array<int>, decoded_sha256 string", keep or ["doc_id"])
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
