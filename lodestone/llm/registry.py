@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, near_dup, pii, quality_rules
+from . import bpe, mixing, near_dup, pii, quality_rules, warc
 
-_MODULES = (bpe, mixing, near_dup, pii, quality_rules)
+_MODULES = (bpe, mixing, near_dup, pii, quality_rules, warc)
 
 
 def queries() -> dict:
