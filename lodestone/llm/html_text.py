@@ -148,12 +148,17 @@ class Tree:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    t = Tree(page)
+    tree = Tree(page)
+    return _best_text(tree, True) or _best_text(tree, False)
+
+
+def _best_text(t: Tree, strict: bool) -> str:
+    """strict: classes throw out even the only article, as where readers' comments are articles."""
     n, tag, parent = len(t.tag), t.tag, t.parent
     # a class does not throw out what holds every article that has no such class itself
     holds = [x in ("article", "main") for x in tag]
     clean = [h and not c for h, c in zip(holds, t.by_class, strict=True)]
-    clean = clean if any(clean) else holds
+    clean = clean if strict or any(clean) else holds
     held = list(map(int, clean))
     for i in range(n - 1, 0, -1):
         held[parent[i]] += held[i]
