@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, mixing, near_dup, neighbours, pii, quality_model, quality_rules, warc
+from . import bpe, html_text, mixing, near_dup, neighbours, pii, preference, quality_model, quality_rules, warc
 
-_MODULES = (bpe, html_text, mixing, near_dup, neighbours, pii, quality_model, quality_rules, warc)
+_MODULES = (bpe, html_text, mixing, near_dup, neighbours, pii, preference, quality_model, quality_rules, warc)
 
 
 def queries() -> dict:
