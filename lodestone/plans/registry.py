@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
+_MODULES = (text_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
