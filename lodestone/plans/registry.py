@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries, vector_queries
+from . import graph_queries, text_queries, vector_queries
 
-_MODULES = (text_queries, vector_queries)
+_MODULES = (text_queries, vector_queries, graph_queries)
 
 
 def queries() -> dict:
