@@ -19,6 +19,7 @@ table gives an empty result; extra columns are ignored, and kept by deduplicate(
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,7 +67,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, ASCII white space alone
+    return byte_shingles((text or "").encode("utf-8", "surrogatepass"), width)
+
+
+def byte_shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    words = text.lower().split()  # of bytes: A-Z alone, ASCII white space alone
     if not words:
         return np.empty(0, np.uint64)
     each = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -326,7 +331,7 @@ def _by_group(rows: DataFrame, keys: list[str], columns: list[str], width: int,
                         if rows_:
                             yield done()
                         key, rows_, sets = k, [], []
-                    sets.append(shingles(row.pop("text"), width))
+                    sets.append(byte_shingles(zlib.decompress(row.pop("text")), width))
                     rows_.append(row)
         if rows_:
             yield done()
@@ -412,7 +417,8 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, group: int
     groups = scratch.cut(components(scratch, candidates), "groups")
     chains.drop()
     sizes = groups.df.groupBy("root").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.df, "node")
+    # candidates grow with the corpus: never broadcast; texts cross the network packed
+    texts = _packed(docs).join(groups.df.hint("merge"), "node")
     texts = texts.groupBy("node", "root").agg(F.first("text").alias("text")) if _repeats(ids) else texts
     members = scratch.cut(texts, "members")
     links = _links(scratch, members.df, sizes, width, group)
@@ -426,6 +432,13 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, group: int
     return result
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()], pa.binary())], ["node", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null").mapInArrow(_batches(run), "node long, text binary")
+
+
 def _repeats(ids: DataFrame) -> bool:
     """Whether a doc_id stands in several rows."""
     return bool(ids.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").take(1))
@@ -440,7 +453,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> Dat
     """One document of each component, that with its smallest doc_id; the same columns. Repeated rows leave one."""
     made = classes(spark, docs, width)
     keep = made.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    kept = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("_keep"), "left_semi")
     one = W.partitionBy("doc_id").orderBy("doc_id")
     if _repeats(docs.select("doc_id")):
         kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
