@@ -45,7 +45,7 @@ def complexity(slope: Column, r2: Column) -> Column:
 def growth(df: DataFrame, by: str, size: str, x: str) -> DataFrame:
     """Ratios between consecutive sizes."""
     w = W.partitionBy(by).orderBy(size)
-    return df.select("*", (F.col(x) / F.lag(x).over(w)).alias("ratio"), (F.col(size) / F.lag(size).over(w)).alias("size_ratio"))
+    return df.select("*", F.try_divide(x, F.lag(x).over(w)).alias("ratio"), F.try_divide(size, F.lag(size).over(w)).alias("size_ratio"))
 
 
 def regressed(ratio: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, text_queries, vector_queries
+from . import document_queries, graph_queries, stat_queries, symbol_queries, text_queries, vector_queries
 
-_MODULES = (text_queries, vector_queries, graph_queries)
+_MODULES = (text_queries, vector_queries, graph_queries, symbol_queries, stat_queries, document_queries)
 
 
 def queries() -> dict:
