@@ -14,6 +14,7 @@ import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from operator import eq
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,10 @@ class Facts:
     def n_repeat_words(self) -> int:
         return self._get("n_repeat_words", lambda: repeat_words(self.words))
 
+    @property
+    def n_stutters(self) -> int:
+        return self._get("n_stutters", lambda: sum(map(eq, self.words, self.words[1:])))
+
     @property
     def n_upper(self) -> int:
         return self._get("n_upper", lambda: sum(1 for w in self.text.split() if len(w) > 1 and w.isupper()))
@@ -109,7 +114,12 @@ def symbol_heavy(f: Facts) -> bool:
 
 
 def repeated_lines(f: Facts) -> bool:
-    return 10 * f.n_dup_lines > 3 * len(f.lines)
+    """Over half the lines; in short documents one repeated heading is a third of them."""
+    return 2 * f.n_dup_lines > len(f.lines)
+
+
+def stuttering(f: Facts) -> bool:
+    return 10 * f.n_stutters > 3 * f.n_words
 
 
 def odd_word_length(f: Facts) -> bool:
@@ -125,7 +135,7 @@ def few_letters(f: Facts) -> bool:
 
 
 BASE = (Rule("too_short", too_short), Rule("too_repetitive", too_repetitive))
-RULES = (*BASE, Rule("symbol_heavy", symbol_heavy), Rule("repeated_lines", repeated_lines), Rule("odd_word_length", odd_word_length), Rule("mostly_shouted", mostly_shouted), Rule("few_letters", few_letters))
+RULES = (*BASE, Rule("symbol_heavy", symbol_heavy), Rule("repeated_lines", repeated_lines), Rule("stuttering", stuttering), Rule("odd_word_length", odd_word_length), Rule("mostly_shouted", mostly_shouted), Rule("few_letters", few_letters))
 
 
 @dataclass
