@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def compile_filter(spec: dict) -> Column:
-    """{"field": {"$gte": 3}}, {"$or": [...]}, {"$not": {...}}: a boolean column, so filters reach the scan."""
+    """{"field": {"$gte": 3}}, {"$or": [...]}, {"$not": {...}}: a boolean column, so filters reach the scan.
+
+    $contains asks a text for a part, or an array for every item of a list."""
     compare = {
         "$eq": lambda c, v: c.eqNullSafe(v), "$ne": lambda c, v: ~c.eqNullSafe(v), "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
-        "$in": lambda c, v: c.isin(*v), "$match": lambda c, v: c.rlike(v), "$exists": lambda c, v: c.isNotNull() if v else c.isNull(), "$contains": lambda c, v: c.contains(v) if isinstance(v, str) else F.array_contains(c, v),
+        "$in": lambda c, v: c.isin(*v), "$match": lambda c, v: c.rlike(v), "$exists": lambda c, v: c.isNotNull() if v else c.isNull(), "$contains": lambda c, v: c.contains(v) if isinstance(v, str) else F.size(F.array_except(F.array(*map(F.lit, v)), c)) == 0,
     }
     parts = []
     for name, want in spec.items():

@@ -18,7 +18,8 @@ SOURCES = ("rs", "py", "js", "jsx", "ts", "tsx", "mjs", "cjs")
 def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = (), max_bytes: int = 10_000_000, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
     """path (below root), size, content and binary for the files of a tree; a NUL in the first 8 KB means binary."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes)
-    base = root.rstrip("/").removeprefix("file:")
+    base = root.rstrip("/")
+    base = "/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base
     rel = F.regexp_replace(F.substring_index("path", f"{base}/", -1), "^/+", "")
     out = raw.select(rel.alias("path"), F.col("length").alias("size"), "content", F.contains(F.substring("content", 1, 8192), F.lit(b"\0")).alias("binary"))
     out = out.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip))))
