@@ -15,8 +15,7 @@ from lodestone.llm.common import Scratch, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    cascade = quality_rules.fit_cascade(docs)
-    return quality_rules.apply_rules(docs, cascade, docs.columns).filter("kept").drop("kept")
+    return quality_rules.keep_good(docs, quality_rules.fit_cascade(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,6 +139,7 @@ def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The same columns, each row as often as it is taken."""
     scratch = Scratch(spark, "mixed")
     copies = scratch.cut(plan(spark, docs, **how).filter(F.col("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("copies").cast("int").alias("_n")), "copies").df
-    columns = docs.columns
-    joined = docs.withColumn("_k", F.xxhash64("text")).join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h")))
-    return joined.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(F.col(f"`{c}`") for c in columns))
+    # the row travels as one column, so that its names meet no others
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", F.xxhash64("text").alias("_k"))
+    joined = rows.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")

@@ -453,8 +453,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> Dat
     """One document of each component, that with its smallest doc_id; the same columns. Repeated rows leave one."""
     made = classes(spark, docs, width)
     keep = made.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    one = W.partitionBy("doc_id").orderBy("doc_id")
+    # the row travels as one column, so that its names meet no others
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id")
+    kept = rows.join(keep.hint("merge"), F.col("doc_id") == F.col("_keep"), "left_semi")
     if _repeats(docs.select("doc_id")):
-        kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+        one = W.partitionBy("doc_id").orderBy(F.xxhash64("row"))
+        kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return kept.select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))

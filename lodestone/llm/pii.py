@@ -224,12 +224,13 @@ def sanitise(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     """The same rows and columns; texts without base spans pass by untouched and unshuffled."""
     scratch = Scratch(spark, "pii-text")
     columns = docs.columns
-    maybe = _key(docs.filter(maybe_any(F.col("text"))))
-    found = scratch.cut(detect(maybe, ["_id", "_h"]), "found")
+    # the row travels as one column, so that its names meet no others
+    maybe = docs.filter(maybe_any(F.col("text"))).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text")
+    found = scratch.cut(detect(_key(maybe), ["_id", "_h"]), "found")
     extra = scratch.cut(term_spans(found.df, disclosing(docs, found.df, support, generalise)), "extra").df
     found.drop()
-    here = _with_extra(detect(maybe, [*columns, "_id", "_h"]), extra)
+    here = _with_extra(detect(_key(maybe), ["row", "_id", "_h"]), extra)
     spans = F.array_sort(F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lit(None).cast("double").alias("share"))), F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>"))))
-    text = _replace(F.col("text"), spans, remove)
-    changed = here.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns))
+    text = _replace(F.col("row.text"), spans, remove)
+    changed = here.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns))
     return docs.filter(~maybe_any(F.col("text"))).unionByName(changed)

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from operator import eq
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
@@ -170,6 +171,12 @@ def apply_rules(docs: DataFrame, cascade: Cascade, keep: tuple[str, ...] | list[
     return map_texts(docs, ["text"], lambda: lambda text: (cascade.keeps(Facts(text)),), "kept boolean", keep)
 
 
+def keep_good(docs: DataFrame, cascade: Cascade) -> DataFrame:
+    """The rows that no rule rejects, with their columns whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return apply_rules(rows, cascade, ["row"]).filter("kept").select("row.*")
+
+
 def measure(cascade: Cascade) -> Callable[[str | None], tuple]:
     def one(text: str | None) -> tuple:
         f = Facts(text)
