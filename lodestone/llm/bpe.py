@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Callable
@@ -24,15 +25,16 @@ import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import map_texts, table
 
 END = "</w>"
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: Pieces of at most so many characters are remembered, and so many of them in each of two generations.
-REMEMBER_CHARS, REMEMBER_WORDS = 64, 250_000
+REMEMBER_CHARS, REMEMBER_WORDS = 64, 120_000
 #: Outcomes of the pair test that are remembered.
-REMEMBER_PAIRS = 1_000_000
+REMEMBER_PAIRS = 400_000
 #: The alphabet of a word's last byte, beside that of its other bytes.
 LAST = 256
 
@@ -123,6 +125,18 @@ class Vocabulary:
         return ids[::-1]
 
 
+def unassigned() -> re.Pattern:
+    """The characters that Python's Unicode tables do not know yet and the library's may."""
+    spans: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
 def lower(text: str) -> str:
     """Lower case letter by letter, so that a capital sigma does not look at its neighbours."""
     return "σ".join(x.lower() for x in text.split("Σ")) if "Σ" in text else text.lower()
@@ -152,10 +166,16 @@ class Encoder:
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.vocab.special)) + ")") if self.vocab.special else None
         self.known = Remembered(self._piece)
+        self.new = unassigned()
+        self.new_lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.new_split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         """The ids' bytes and the tokens' names of a lower-case piece; no word crosses white space."""
-        ids = [i for w in self.words(piece) for i in self.vocab.encode_word(w.encode("utf-8"))]
+        words = self.words(piece)
+        if not piece.isascii() and self.new.search(piece):  # letters newer than Python's tables: the library's classes
+            words = [w for w, _ in self.new_split.pre_tokenize_str(self.new_lower.normalize_str(piece))]
+        ids = [i for w in words for i in self.vocab.encode_word(w.encode("utf-8"))]
         return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.vocab.names[i] for i in ids])
 
     def encode(self, text: str | None) -> list[tuple[bytes, str]]:

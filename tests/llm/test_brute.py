@@ -166,7 +166,7 @@ def test_bpe_over_documents(spark, sf, texts, coder):
         assert made[i] == want
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="abeinrst'ſΣσİ\x1c\x85  é́<|endoftext|>129٣中🙂", max_size=60))
 def test_bpe_on_odd_texts(coder, text):
     theirs, ours = coder
