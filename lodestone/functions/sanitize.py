@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = tuple(
-    sorted(
-        "a about after all also an and any as at back be because but by can come could day do even first for from get give go good have he her him his how i if in into it its just know like look make me most my new no not now of on one only or other our out over people say see she so some take than that the their them then there these they think this time to two up us use want way we well what when which who will with work would year you your".split()
-    )
-)
-_STATEMENTS = (r"\bdrop\s+(?:database|table)\b", r"\bcreate\s+(?:database|table)\b", r"\balter\s+table\b", r"\bdelete\s+from\b", r"\binsert\s+into\b", r"\bunion\s+select\b", r"\bselect\s.*\sfrom\b", r"\bupdate\s.*\sset\b")
-_MARKUP = ("</?(?:link|embed|object|iframe|script)\\b", "onerror", "onload", "onclick", "javascript:")
-SQL = "(?i)" + "|".join((*_STATEMENTS, *_MARKUP))
-COMMANDS = r"(?i)%0[0ad]|&&|[|;`]|[$<>]\(|\$\{"
-TRAVERSAL = r"(?i)\.\.(?:[/\\]|%2f|%5c)|%2e%2e|%252e%252e"
-DIRECTORY = r"\(\)|\\\\|,\s*\w*\s*=|=\s*\w*\s*,"
-STRICT_WORDS = r"(?i)\b(?:alter|create|delete|drop|insert|select|table|union|update)\b"
-QUERY_BYTES, QUERY_TERMS, TERM_BYTES = 1024, 50, 100
+from .fixed_values import COMMAND_PATTERN, DIRECTORY_PATTERN, ENCODED_DOT_PATTERN, QUERY_BYTES, QUERY_TERMS, RESERVED_CHARS_PATTERN, SQL_PATTERN, STOP_WORDS, STRICT_PATTERN, TERM_BYTES, TRAVERSAL_PATTERN
+
+CONTROL = r"[\x00-\x1f\x7f\x{80}-\x{9f}]"
+SPACES = r"[\s\p{Z}]+"
+#: What is taken out of a plain query, in turn, and what comes in its place.
+STEPS = ((SQL_PATTERN, ""), (COMMAND_PATTERN, ""), (TRAVERSAL_PATTERN, ""), (DIRECTORY_PATTERN, " "), (RESERVED_CHARS_PATTERN, " "))
+LAST_STEPS = ((r"\.\.", " "), (ENCODED_DOT_PATTERN, " "))
+STRICT_STEPS = ((STRICT_PATTERN, " "), (r"[()\\,=]", " "))
+
+
+def _replaced(x: Column, steps) -> Column:
+    for pattern, by in steps:
+        x = F.regexp_replace(x, pattern, by)
+    return x
+
+
+def _even(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
 def clean(query: Column, strict: bool = False) -> Column:
     """The query with white space evened out and injection syntax taken out."""
-    x = F.trim(F.regexp_replace(F.regexp_replace(query, r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
-    for pattern, by in ((SQL, ""), (COMMANDS, ""), (TRAVERSAL, ""), (DIRECTORY, " "), ("[<>&\"']", " ")):
-        x = F.regexp_replace(x, pattern, by)
-    if strict:
-        x = F.regexp_replace(F.regexp_replace(x, STRICT_WORDS, " "), r"[()\\,=]", " ")
-    x = F.regexp_replace(F.regexp_replace(x, r"\.\.", " "), "(?i)%(?:25)?2e", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    x = _replaced(_even(F.regexp_replace(query, CONTROL, " ")), STEPS)
+    return _even(_replaced(_replaced(x, STRICT_STEPS) if strict else x, LAST_STEPS))
 
 
 def terms(query: Column, strict: bool = False) -> Column:
@@ -42,15 +42,30 @@ def terms(query: Column, strict: bool = False) -> Column:
     return F.slice(F.filter(F.split(clean(query, strict), " "), good), 1, QUERY_TERMS)
 
 
+def _allowed(query: Column) -> Column:
+    return (F.octet_length(query) <= QUERY_BYTES) & ~query.contains("\0")
+
+
 def sanitized(query: Column, strict: bool = False) -> Column:
     """The terms in one text; null for queries that are too long, hold a NUL or have no term left."""
     text = F.array_join(terms(query, strict), " ")
-    return F.when((F.octet_length(query) <= QUERY_BYTES) & ~query.contains("\0") & (text != ""), text)
+    return F.when(_allowed(query) & (text != ""), text)
+
+
+def path_aware(query: Column) -> Column:
+    """For queries that may be paths: slashes and traversal stay, shell syntax goes only where there is no slash; one
+    star where no term is left, null for queries that are too long or hold a NUL."""
+    x = F.regexp_replace(_even(F.regexp_replace(query, CONTROL, " ")), SQL_PATTERN, "")
+    x = F.when(x.contains("/"), x).otherwise(F.regexp_replace(x, COMMAND_PATTERN, ""))
+    x = _even(_replaced(x, STEPS[-2:]))
+    any_term = F.exists(F.split(x, " "), lambda t: F.octet_length(t).between(1, TERM_BYTES))
+    return F.when(_allowed(query), F.when(any_term, x).otherwise("*"))
 
 
 def without_stop_words(words: Column) -> Column:
     return F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS))
 
 
-def tag(text: Column, chars: int = 50) -> Column:
-    return F.lower(F.substring(F.regexp_replace(text, "[^A-Za-z0-9_-]", ""), 1, chars))
+def tag(text: Column) -> Column:
+    """The tag in lower case; null if it is too long or holds other signs than letters, digits, dash and underscore."""
+    return F.when((F.octet_length(text) <= 50) & text.rlike(r"^[\p{L}\p{N}_-]*$"), F.lower(text))

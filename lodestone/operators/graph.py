@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import OTHER_IMPACT, OTHER_VERB, RELATION_LABELS, RELATIONS, WORD_IMPACTS, WORD_VERBS
+
 #: Where the session names no checkpoint folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/lodestone-checkpoints"
 
@@ -215,8 +217,20 @@ def build_edges(refs: DataFrame, spans: DataFrame, names: DataFrame) -> DataFram
     return placed.join(aimed, "ref").filter("container is not null and target is not null and container <> target").select(F.col("container").alias("src"), F.col("target").alias("dst"), "relation")
 
 
-RELATIONS = {"function_call": "calls", "method_call": "calls", "macro": "calls", "import": "imports", "type_use": "uses_type", "trait_impl": "implements", "inheritance": "extends", "field_access": "accesses", "return_type": "returns", "child": "child_of"}
+def relation_of(reference_type: Column, descriptive: bool = False) -> Column:
+    names = F.create_map(*(F.lit(x) for kind, both in RELATIONS.items() for x in (kind, both[descriptive])))
+    return F.coalesce(F.try_element_at(names, reference_type), F.lit("references"))
+
+
+def _labelled(relation: Column, part: int, words: dict[str, str], other: Column) -> Column:
+    known = F.try_element_at(F.create_map(*(F.lit(x) for name, both in RELATION_LABELS.items() for x in (name, both[part]))), relation)
+    found = F.coalesce(*(F.when(relation.contains(w) | relation.contains(w.capitalize()), label) for w, label in words.items()))
+    return F.coalesce(known, found, other)
+
+
+def caller_verb(relation: Column) -> Column:
+    return _labelled(relation, 0, WORD_VERBS, F.lit(OTHER_VERB))
 
 
-def relation_of(reference_type: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in RELATIONS.items() for x in p)), reference_type), F.lit("references"))
+def impact_label(relation: Column) -> Column:
+    return _labelled(relation, 1, WORD_IMPACTS, F.concat(F.lit(f"{OTHER_IMPACT} ("), relation, F.lit(")")))

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import wildcard
+from ..functions.fixed_values import CODE_PATTERNS, PRIMITIVE_TYPES, SIGNATURE_TYPES, SYMBOL_CODES
+from ..functions.paths import any_of, wildcard
 from ..functions.text import tokenize
 
-SYMBOL_CODES = ("function", "method", "class", "struct", "interface", "enum", "variable", "constant", "module", "import", "type", "field", "trait", "component", "other")
-PATTERNS = {
-    "async_function": r"\basync\s+(?:fn|def|function)\b",
-    "error_handling": r"\b(?:Result|Option|Error|except|catch|unwrap|panic)\b",
-    "test": r"#\[test\]|\b(?:def|fn)\s+test_|\bit\(",
-    "todo": r"\b(?:FIXME|HACK|TODO|XXX)\b",
-    "singleton": r"\b(?:get_instance|getInstance|lazy_static|once_cell)\b",
-}
-
 
 def _letters(x: Column) -> Column:
     return F.array_distinct(F.split(F.lower(x), ""))
@@ -43,13 +37,22 @@ def by_pattern(symbols: DataFrame, pattern: str, types: list[str] | None = None)
     return kept.groupBy("name", "file", "line").agg(F.min("id").alias("id"))
 
 
-def signature_search(symbols: DataFrame, signature: Column, pattern: str, limit: int = 1000) -> DataFrame:
-    """Symbols whose signature shares a token with the pattern, by the share of its tokens that they hold."""
-    import re
+def type_of(code: Column) -> Column:
+    """The name of a symbol type's stored code; null for other codes."""
+    return F.get(F.array(*map(F.lit, SYMBOL_CODES)), code.cast("int"))
+
+
+def signature_tokens(text: Column) -> Column:
+    """The type words, in lower case, that stand in a signature."""
+    return F.array_compact(F.array(*(F.when(text.contains(t), t.lower()) for t in SIGNATURE_TYPES)))
 
+
+def signature_search(symbols: DataFrame, signature: Column, pattern: str, limit: int = 1000) -> DataFrame:
+    """Symbols whose signature holds a type word of the pattern, by the share of the pattern's tokens that they hold."""
     asked = [t for t in re.split(r"[^\w]+", pattern.lower()) if t]
     held = F.size(F.filter(F.array(*map(F.lit, asked)), lambda t: F.array_contains(tokenize(signature), t)))
-    return symbols.withColumn("relevance", held / float(len(asked))).filter("relevance > 0").orderBy(F.desc("relevance"), "id").limit(limit)
+    found = any_of(signature.contains(t) for t in SIGNATURE_TYPES if t.lower() in asked)
+    return symbols.filter(found).withColumn("relevance", held / float(max(1, len(asked)))).orderBy(F.desc("relevance"), "id").limit(limit)
 
 
 def dependency_search(symbols: DataFrame, deps: DataFrame, of: DataFrame) -> DataFrame:
@@ -62,8 +65,8 @@ def dependency_search(symbols: DataFrame, deps: DataFrame, of: DataFrame) -> Dat
 
 def pattern_search(symbols: DataFrame, text: Column, pattern: str, scope: str = "all", limit: int = 1000) -> DataFrame:
     """A built-in or own regular expression over functions, comments, imports or everything."""
-    scopes = {"functions": F.col("type").isin("function", "method"), "imports": F.col("type") == "import", "comments": text.rlike(r"//|#|/\*"), "all": F.lit(True)}
-    return symbols.filter(scopes[scope] & text.rlike(PATTERNS.get(pattern, pattern))).orderBy("id").limit(limit)
+    scopes = {"functions": F.col("type").isin("function", "method"), "imports": F.col("type") == "import", "comments": F.col("type") == "comment", "all": F.lit(True)}
+    return symbols.filter(scopes[scope] & text.rlike(CODE_PATTERNS.get(pattern, pattern))).orderBy("id").limit(limit)
 
 
 def combine_and(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -118,14 +121,49 @@ def resolve_name(names: DataFrame, query: str, least: float = 0.3) -> DataFrame:
 
 
 def import_target(line: Column) -> Column:
-    """The module that a Rust, JavaScript or Python import line names; null for other lines."""
-    pick = lambda p: F.nullif(F.regexp_extract(line, p, 1), F.lit(""))
-    return F.coalesce(pick(r"^\s*(?:pub\s+)?use\s+([\w:]+)"), pick(r"""\bfrom\s+['"]([^'"]+)['"]"""), pick(r"""\brequire\(\s*['"]([^'"]+)['"]"""), pick(r"^\s*from\s+([\w.]+)\s+import\b"), pick(r"^\s*import\s+([\w.]+)"))
+    """What an import line names: Rust's first segment, JavaScript's quoted module, Python's module; null for others."""
+    x = F.trim(line)
+    pick = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
+    word = pick(r"^import (\s*\S+)")
+    quoted = F.when(x.contains(" from "), pick(r"^import .*? from [^'\"]*['\"]([^'\"]*)['\"]")).otherwise(pick(r"^import [^'\"]*['\"]([^'\"]*)['\"]"))
+    return F.trim(F.when(x.startswith("use "), pick(r"^use ([^:]*)")).otherwise(F.coalesce(quoted, word, pick(r"^from (\s*\S+)"))))
 
 
 def simple_reference(line: Column) -> Column:
-    """The word before a line's first opening bracket."""
-    return F.nullif(F.regexp_extract(line, r"^[^(]*?(\w+)\s*\(", 1), F.lit(""))
+    """The last word before a line's first opening bracket, without signs in front of it; null if there is none."""
+    before = F.regexp_extract(F.trim(line), r"^([^(]+)\(", 1)
+    return F.nullif(F.regexp_replace(F.regexp_extract(before, r"(\S+)\s*$", 1), r"^[^\p{L}\p{N}_]+", ""), F.lit(""))
+
+
+IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_:]*"
+
+
+def is_identifier(x: Column) -> Column:
+    return x.rlike(f"^{IDENTIFIER}$")
+
+
+def is_primitive(x: Column) -> Column:
+    return x.isin(*PRIMITIVE_TYPES)
+
+
+def text_dependencies(text: Column) -> Column:
+    """Sorted distinct names that a symbol's text calls, uses as a type, or runs as a macro, by its lines."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    plain = F.filter(lines, lambda line: ~line.startswith("//") & ~line.startswith("/*"))
+
+    def last_word(line: Column, mark: str, ends: str) -> Column:
+        return F.regexp_extract(line, rf"^(?:[^{mark}]*[{ends}])?([^{ends}{mark}]*){mark}", 1)
+
+    def annotated(line: Column, mark: str) -> Column:
+        after = F.trim(F.when(line.contains(mark), F.substring(line, F.instr(line, mark) + len(mark), F.length(line))).otherwise(""))
+        generic = F.when(after.contains("<"), F.substring_index(after, "<", 1)).otherwise("")
+        bare = F.regexp_replace(F.regexp_extract(after, r"^(\S+)", 1), r"[,;{)}]+$", "")
+        return F.when(is_identifier(generic), generic).when(~is_primitive(bare), bare).otherwise("")
+
+    calls = F.transform(plain, lambda line: last_word(line, r"\(", r" \t={;,!"))
+    types = F.flatten(F.array(F.transform(plain, lambda line: annotated(line, ":")), F.transform(plain, lambda line: annotated(line, "->"))))
+    macros = F.transform(lines, lambda line: last_word(line, "!", r" \t({;"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(calls, types, macros), is_identifier)))
 
 
 def visibility(text: Column) -> Column:

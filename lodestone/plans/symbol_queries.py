@@ -9,6 +9,7 @@ from . import model
 from .model import SYMBOLS
 
 NAME = "green"
+RETURNED = ("bool", "Option<i64>", "Result<u32, Error>", "usize", "Vec<f64>")
 
 
 def _s(spark, sf_dir):
@@ -33,8 +34,9 @@ def symbol_contains_type(spark, sf_dir):
 
 
 def signature_search(spark, sf_dir):
-    sig = F.concat_ws(" ", "name", "type", "file")
-    return S.signature_search(_s(spark, sf_dir), sig, "green PROMO(brand)", 300).select("id", F.round("relevance", 6).alias("relevance"))
+    returned = F.get(F.array(*map(F.lit, RETURNED)), (F.col("id") % len(RETURNED)).cast("int"))
+    sig = F.concat(F.lit("fn "), F.replace("name", F.lit(" "), F.lit("_")), F.lit("(x: &str) -> "), returned)
+    return S.signature_search(_s(spark, sf_dir), sig, "fn (bool) -> Option<i64>", 300).select("id", F.round("relevance", 6).alias("relevance"))
 
 
 def dependency_search(spark, sf_dir):
@@ -85,13 +87,14 @@ _LETTERS = "list_distinct(string_split(lower(name), ''))"
 _Q = "list_distinct(string_split('green', ''))"
 _OVERLAP = f"len(list_intersect({_LETTERS}, {_Q}))::DOUBLE / len(list_distinct(list_concat({_LETTERS}, {_Q})))"
 _FUZZY = f"CASE WHEN lower(name) = 'green' THEN 1.0 WHEN lower(name) LIKE 'green%' THEN 0.8 WHEN contains(lower(name), 'green') THEN 0.6 WHEN {_OVERLAP} > 0.5 THEN {_OVERLAP} * 0.5 END"
-_TOK = "string_split_regex(lower(name || ' ' || type || ' ' || file), '[^\\p{L}\\p{N}_]+')"
+_SIG = f"'fn ' || replace(name, ' ', '_') || '(x: &str) -> ' || ({list(RETURNED)}::VARCHAR[])[id % {len(RETURNED)} + 1]"
+_TOK = "string_split_regex(lower(sig), '[^\\p{L}\\p{N}_]+')"
 ORACLE = {
     "symbol_exact": f"WITH {SYMBOLS} SELECT id, name, type, file, line FROM symbols WHERE name = (SELECT min(name) FROM symbols)",
     "symbol_fuzzy": f"WITH {SYMBOLS}, f AS (SELECT id, name, ({_FUZZY})::DOUBLE AS score FROM symbols) SELECT id, name, round(score, 6) AS score FROM f WHERE score IS NOT NULL ORDER BY f.score DESC, id LIMIT 200",
     "symbol_wildcard": f"WITH {SYMBOLS} SELECT name, file, line, min(id) AS id FROM symbols WHERE lower(name) LIKE '%e%n%' GROUP BY ALL",
     "symbol_contains_type": f"WITH {SYMBOLS} SELECT name, file, line, min(id) AS id FROM symbols WHERE contains(lower(name), 're') AND type IN ('STANDARD', 'PROMO', 'ECONOMY') GROUP BY ALL",
-    "signature_search": f"WITH {SYMBOLS}, r AS (SELECT id, len(list_filter(['green', 'promo', 'brand'], lambda t: list_contains({_TOK}, t))) / 3.0 AS relevance FROM symbols) SELECT id, round(relevance, 6) AS relevance FROM r WHERE relevance > 0 ORDER BY r.relevance DESC, id LIMIT 300",
+    "signature_search": f"WITH {SYMBOLS}, g AS (SELECT id, {_SIG} AS sig FROM symbols), r AS (SELECT id, len(list_filter(['fn', 'bool', 'option', 'i64'], lambda t: list_contains({_TOK}, t))) / 4.0 AS relevance FROM g WHERE contains(sig, 'i64') OR contains(sig, 'bool') OR contains(sig, 'Option')) SELECT id, round(relevance, 6) AS relevance FROM r ORDER BY r.relevance DESC, id LIMIT 300",
     "dependency_search": f"""WITH {SYMBOLS}, d AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'ext_' || name ELSE name END AS dep FROM symbols WHERE line <= 10), f AS (SELECT name, min(id) AS target FROM symbols GROUP BY name)
         SELECT d.id, dep, target, CASE WHEN target IS NULL THEN 'import' ELSE 'symbol' END AS kind, CASE WHEN target IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS relevance FROM d LEFT JOIN f ON dep = name""",
     "pattern_search": f"WITH {SYMBOLS} SELECT id, name FROM symbols WHERE regexp_matches(name, '(?:^|\\s)[a-m]\\w*e') ORDER BY id LIMIT 400",

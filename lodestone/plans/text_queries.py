@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths, sanitize, text
+from ..functions.fixed_values import LANGUAGE_EXTENSIONS, RESERVED_NAMES, TEST_PREFIXES, TEST_SUFFIXES
 from ..operators import search
 from . import model
 from .model import DOCS, SEARCH
@@ -112,7 +113,7 @@ def stop_word_filter(spark, sf_dir):
     return d.select("id", F.size(words).cast("long").alias("words"), F.size(sanitize.without_stop_words(words)).cast("long").alias("kept"))
 
 
-_RAW_PATHS = ("a/b.rs", "/etc/passwd", "../up.md", "C:/x", "a//b", "s3://k/v", "x/%2e%2e/y", "docs/NUL.txt", "ok-file.md", "dir/....", "", "tests/test_a.py", "src/App.test.tsx", "spec/one_spec.rb", "lib/Main.java", "src\\win\\p.cs", "./rel/path.go")
+_RAW_PATHS = ("a/b.rs", "/etc/passwd", "../up.md", "C:/x", "a//b", "s3://k/v", "x/%2e%2e/y", "docs/NUL.txt", "ok-file.md", "dir/....", "", "tests/test_a.py", "src/App.test.tsx", "spec/one_spec.rb", "lib/Main.java", "src\\win\\p.cs", "./rel/path.go", "symbols/a/b.rs", "docs/symbols/x.md", "a/???/b", "con.txt", "NUL.tar.gz", "a/../b", "x?<y>.md", "dependencies/z")
 
 
 def _raw(spark):
@@ -135,7 +136,7 @@ def language_from_ext(spark, sf_dir):
 
 def test_file_flags(spark, sf_dir):
     p = F.col("path")
-    return _raw(spark).select("id", "path", paths.is_test_file(p).alias("is_test"), paths.normalize(p).alias("normal"), paths.storage_safe(p).alias("safe"), paths.route(F.concat(F.lit("/"), p)).alias("store"))
+    return _raw(spark).select("id", "path", paths.is_test_file(p).alias("is_test"), paths.normalize(p).alias("normal"), paths.suspicious(p).alias("odd"), paths.storage_safe(p).alias("safe"), paths.route(F.concat(F.lit("/"), p)).alias("store"))
 
 
 def doc_projections(spark, sf_dir):
@@ -148,22 +149,23 @@ QUERIES |= {"wildcard_suffix": _wild("*7.md"), "wildcard_prefix": _wild("src1/*"
 
 _GRAMS = f"WITH {DOCS}, x AS (SELECT id, lower(title || ' ' || coalesce(content, '')) AS t FROM docs), y AS (SELECT id, string_split(t, '') AS c FROM x), g AS (SELECT id, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS trigram FROM y), k AS (SELECT * FROM g WHERE regexp_matches(trigram, '[\\p{{L}}\\p{{N}}]'))"
 _SHORT_HITS = _ranked_sql(SHORT, str(search.threshold(2)), 30)
-_CLEAN_STEPS = [(r"[\x00-\x1f\x7f]", " "), (r"\s+", " ")]
 
 
-def _clean_sql(x: str) -> str:
+def _clean_sql(x: str, steps=None) -> str:
     q = lambda s: s.replace("'", "''")
-    x = f"trim(regexp_replace(regexp_replace({x}, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
-    for pattern, by in ((sanitize.SQL, ""), (sanitize.COMMANDS, ""), (sanitize.TRAVERSAL, ""), (sanitize.DIRECTORY, " "), ("[<>&\"']", " "), (r"\.\.", " "), ("(?i)%(?:25)?2e", " ")):
+    even = lambda s: f"trim(regexp_replace({s}, '{sanitize.SPACES}', ' ', 'g'))"
+    x = even(f"regexp_replace({x}, '{sanitize.CONTROL}', ' ', 'g')")
+    for pattern, by in sanitize.STEPS + sanitize.LAST_STEPS if steps is None else steps:
         x = f"regexp_replace({x}, '{q(pattern)}', '{by}', 'g')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return even(x)
 
 
 _LIST = ", ".join(f"'{w}'" for w in sanitize.STOP_WORDS)
 _PROBLEMS = {
-    "empty": "path = ''", "too_long": "strlen(path) >= 4096", "nul": "false", "absolute": "path LIKE '/%'", "drive": "regexp_matches(path, '^[A-Za-z]:')", "scheme": "contains(path, '://')",
-    "parent": r"regexp_matches(path, '(?:^|[/\\])\.\.(?:[/\\]|$)')", "encoded": "regexp_matches(path, '(?i)%2e|%2f|%5c')", "doubled": r"contains(path, '//') OR contains(path, '\\') OR contains(path, '....')",
-    "reserved": f"upper(regexp_extract({_BASE}, '^([^.]*)', 1)) IN ({', '.join(repr(x) for x in paths.RESERVED)})",
+    "empty": "path = ''", "too_long": "strlen(path) >= 4096", "nul": "false", "absolute": r"path[1] IN ('/', '\')", "drive": "path[2] = ':'", "scheme": "contains(path, '://')",
+    "encoded": "regexp_matches(path, '(?i)%2e|%2f|%5c')", "doubled": r"contains(path, '//') OR contains(path, '\\') OR contains(path, '....')",
+    "parent": r"contains(path, '..\') OR contains(path, '\..') OR list_contains(string_split(path, '/'), '..')",
+    "reserved": f"upper(regexp_extract({_BASE}, '^(.+?)(?:\\.[^.]*)?$', 1)) IN ({', '.join(map(repr, RESERVED_NAMES))})",
 }
 _EXT = f"regexp_extract({_BASE}, '\\.([^.]*)$', 1)"
 ORACLE = {
@@ -189,9 +191,12 @@ ORACLE = {
         SELECT conv_id, turn, CASE WHEN clean <> '' THEN clean END AS clean FROM k""",
     "stop_word_filter": f"WITH {DOCS}, w AS (SELECT id, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM docs) SELECT id, len(w) AS words, len(list_filter(w, lambda x: x NOT IN ({_LIST}))) AS kept FROM w",
     "validate_paths": f"WITH {DOCS}, {_RAW_SQL}, a AS (SELECT id, path FROM docs UNION ALL SELECT * FROM raw) SELECT id, path, array_to_string(list_filter([{', '.join(f'CASE WHEN {t} THEN {n!r} END' for n, t in _PROBLEMS.items())}], lambda x: x IS NOT NULL), ',') AS problems FROM a",
-    "language_from_ext": f"WITH {DOCS}, {_RAW_SQL}, a AS (SELECT path FROM docs UNION ALL SELECT path FROM raw) SELECT CASE {_EXT} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in paths.LANGUAGES.items())} ELSE 'Other' END AS language, count(*) AS files FROM a GROUP BY 1",
-    "test_file_flags": f"""WITH {_RAW_SQL} SELECT id, path, regexp_matches(path, '/(?:tests?|spec|__tests__)/') OR regexp_matches({_BASE}, '^(?:test|spec)_') OR regexp_matches({_BASE}, '(?:_test|_spec|\\.test|\\.spec|_tests|Test|Tests|Spec)\\.[A-Za-z]+$') AS is_test,
-        regexp_replace(regexp_replace(regexp_replace(replace(path, '\\', '/'), '/+', '/', 'g'), '^(?:\\./)+', ''), '(.)/$', '\\1') AS normal, regexp_replace(path, '[^\\w./-]', '_', 'g') AS safe, 'document' AS store FROM raw""",
+    "language_from_ext": f"WITH {DOCS}, {_RAW_SQL}, a AS (SELECT path FROM docs UNION ALL SELECT path FROM raw) SELECT CASE {_EXT} {' '.join(f'WHEN {k!r} THEN {v!r}' for v, ks in LANGUAGE_EXTENSIONS.items() for k in ks)} ELSE 'Other' END AS language, count(*) AS files FROM a GROUP BY 1",
+    "test_file_flags": f"""WITH {_RAW_SQL}, p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM raw), b AS (SELECT *, list_transform(parts, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}._-]', '', 'g')) AS bare FROM p)
+        SELECT id, path, regexp_matches(path, '/(test|tests|spec|__tests__)/') OR {" OR ".join([*(f"starts_with({_BASE}, '{x}')" for x in TEST_PREFIXES), *(f"ends_with({_BASE}, '{x}')" for x in TEST_SUFFIXES)])} AS is_test,
+        regexp_replace(regexp_replace(regexp_replace(replace(path, '\\', '/'), '/+', '/', 'g'), '^(?:\\./)+', ''), '(.)/$', '\\1') AS normal, regexp_matches(path, '[<>:"|?*\\r\\n]') AS odd,
+        CASE WHEN NOT list_contains(parts, '..') AND NOT list_contains(bare, '') AND len(parts) > 0 THEN array_to_string(bare, '/') END AS safe,
+        CASE WHEN regexp_matches(path, '^(symbols|relationships|dependencies)/') THEN 'graph' WHEN contains(path, '/symbols/') AND ends_with(path, '.md') THEN 'both' ELSE 'document' END AS store FROM b""",
     "doc_projections": f"""WITH {DOCS} SELECT id, floor(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) * 1.3::DOUBLE + len(regexp_extract_all(content, '[!-/:-@\\[-`{{-~]')) * 0.3::DOUBLE + 1e-9)::BIGINT AS tokens,
         sha256(CASE WHEN length(content) <= 200 THEN content ELSE CASE WHEN contains(content[1:200], ' ') AND regexp_extract(content[1:200], '(?s)^(.*) ', 1) <> '' THEN regexp_extract(content[1:200], '(?s)^(.*) ', 1) ELSE content[1:200] END || '...' END) AS preview_sha256,
         sha256(content) AS sha256, size * 3 + 200 AS memory, least(100 * pow(2.0, id % 12), 30000.0) AS backoff_ms FROM docs""",

@@ -102,7 +102,7 @@ def reference_lines(path: str, text: str) -> list[tuple]:
             bare = re.sub(r"\b(?:fn|def|function|class)\s+\w+", "", bare)
         for m in _CALL.finditer(bare):
             if m[1] not in _WORDS:
-                out.append((m[1], "macro" if m[2] else "method_call" if m[0].startswith(".") else "function_call", n, line.strip()))
+                out.append((m[1], "macro_invocation" if m[2] else "method_call" if m[0].startswith(".") else "function_call", n, line.strip()))
     return out
 
 

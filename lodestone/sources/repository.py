@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.fixed_values import SKIPPED_DIRECTORIES
 from ..functions.text import basename, extension
 
-SKIPPED = ("node_modules", "target", "build", "dist", "out", "bin", "obj", "vendor", "venv", ".venv", "env", "__pycache__", ".git", ".hg", ".svn", ".idea", ".vscode", ".cache", ".next", "coverage", "tmp", ".tox", ".mypy_cache")
 SOURCES = ("rs", "py", "js", "jsx", "ts", "tsx", "mjs", "cjs")
 
 
-def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = (), max_bytes: int = 10_000_000, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = (), max_bytes: int = 10_000_000, skip: tuple[str, ...] = SKIPPED_DIRECTORIES) -> DataFrame:
     """path (below root), size, content and binary for the files of a tree; a NUL in the first 8 KB means binary."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes)
     base = root.rstrip("/")
