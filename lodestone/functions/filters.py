@@ -39,6 +39,17 @@ def timeline(df: DataFrame, ts: str, unit: str, *by: str) -> DataFrame:
     return df.groupBy(*by, F.date_trunc(unit, ts).alias("at")).agg(F.count("*").alias("n"))
 
 
+def followed_by(df: DataFrame, key: str, ts: str, first: Column, then: Column, seconds: int) -> DataFrame:
+    """Rows that match first and have a later row of the same key that matches then within some seconds.
+
+    One window by key, whose frame is the interval ahead; the rows of a key need no memory together."""
+    from pyspark.sql import Window as W
+
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    ahead = W.partitionBy(key).orderBy(at).rangeBetween(1, seconds * 1_000_000)
+    return df.withColumn("_then", F.count_if(then).over(ahead)).filter(first & (F.col("_then") > 0)).drop("_then")
+
+
 INTENTS = {"callers": r"\b(?:who|what)\s+calls\b|\bcallers?\s+of\b", "impact": r"\bimpact\b|\bwhat\s+breaks\b|\bdepends?\s+on\b", "callees": r"\bcallees?\b|\bcalled\s+by\b", "unused": r"\bunused\b|\bdead\s+code\b", "symbol": r"\b(?:function|class|struct|method)\b", "overview": r"\boverview\b|\bsummary\b"}
 
 

@@ -71,6 +71,56 @@ def call_chain(edges: DataFrame, source: DataFrame, target: DataFrame, depth: in
     return best.select(F.col("at").alias("id"), "b.hops", "b.path")
 
 
+def impact_paths(edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
+    """id, hops and path (from a target, the smallest of the shortest) for what depends on targets; a node is expanded once."""
+    step = reverse(edges).select("src", "dst").filter("src <> dst").distinct()
+    seen = targets.select(F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0).alias("hops")).dropDuplicates(["at"])
+    front = seen
+    for d in range(1, depth + 1):
+        nxt = front.join(step, front["at"] == step["src"]).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        front = nxt.groupBy("at").agg(F.min("path").alias("path")).join(seen.select("at"), "at", "left_anti").withColumn("hops", F.lit(d))
+        seen = seen.unionByName(front)
+    return seen.filter("hops > 0").select(F.col("at").alias("id"), "hops", "path")
+
+
+def max_depth(nodes: DataFrame, edges: DataFrame) -> int:
+    """The longest of the shortest ways from a root (a node that nothing points to).
+
+    Each round keeps a row for each root and node that it newly reaches, and ends when none is new."""
+    step = _cut(edges.select("src", "dst").distinct())
+    front = unused(nodes, edges).select(F.col("id").alias("root"), "id")
+    seen, depth = _cut(front), 0
+    front = seen
+    while True:
+        front = _cut(front.join(step, front["id"] == step["src"]).select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti"))
+        if not front.take(1):
+            return depth
+        seen, depth = _cut(seen.unionByName(front)), depth + 1
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, mean_out, components of two strongly connected nodes or more, and depth."""
+    loops = strong_components(edges).groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("strong"))
+    counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(loops)  # one row each
+    return counts.select("nodes", "edges", (F.col("edges") / F.col("nodes")).alias("mean_out"), "strong", F.lit(max_depth(nodes, edges)).alias("depth"))
+
+
+def limited(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first rows, each with truncated: whether there are more."""
+    total = rows.agg((F.count("*") > limit).alias("truncated"))
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
+def from_dependents(symbols: DataFrame) -> DataFrame:
+    """Calls from each of a symbol's dependents (id, dependents) to it."""
+    return symbols.select(F.explode("dependents").alias("src"), F.col("id").alias("dst"), F.lit("calls").alias("relation"))
+
+
+def described(edges: DataFrame) -> DataFrame:
+    """Edges with a sentence for a caller and one for an impact."""
+    return edges.withColumn("caller", F.concat_ws(" ", "src", F.lower(caller_verb(F.col("relation"))), "dst")).withColumn("impact", impact_label(F.col("relation")))
+
+
 def simple_paths(edges: DataFrame, source: DataFrame, target: DataFrame, depth: int = 10, limit: int | None = None) -> DataFrame:
     """Every path without a repeated node of at most depth edges, with its number of nodes."""
     step = edges.select("src", "dst").distinct()

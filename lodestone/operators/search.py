@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, preview, query_trigrams, trigrams, word_count
+from ..functions.text import basename, occurrences, preview, query_trigrams, trigrams, word_count
 
 
 def searchable(path: str = "path", content: str = "content") -> Column:
@@ -110,6 +110,19 @@ def search_postings(index: DataFrame, stats: DataFrame, query: str, limit: int =
     return scored.select("id", "matched", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+# How much more a match in these fields counts.
+BOOSTS = {"title": 2.0, "tags": 1.5, "content": 1.0}
+
+
+def boosted(docs: DataFrame, part: str) -> DataFrame:
+    """id and score: occurrences of a text in title and content and tags that hold it, by the fields' boosts."""
+    p = part.lower()
+    count = lambda c: occurrences(F.lower(c), p)
+    tags = F.size(F.filter("tags", lambda t: F.lower(t).contains(p)))
+    score = BOOSTS["title"] * count("title") + BOOSTS["tags"] * tags + BOOSTS["content"] * F.coalesce(count("content"), F.lit(0))
+    return docs.select("id", score.alias("score")).filter("score > 0")
+
+
 def fetch(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """The documents of a result, in its rank."""
     ranked = hits.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))  # hits are at most a limit

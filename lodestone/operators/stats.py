@@ -139,3 +139,72 @@ def prune_jobs(jobs: DataFrame, finished: Column, updated: str, oldest: Column,
     order = W.orderBy(F.when(finished, 0).otherwise(1), updated, "id")
     ranked = kept.crossJoin(F.broadcast(total)).withColumn("_n", F.row_number().over(order))
     return ranked.filter(~finished | (F.col("_n") > F.col("_total") - most)).drop("_n", "_total")
+
+
+def theoretical_growth(kind: Column, times: Column) -> Column:
+    """How much longer an operation of a complexity class takes where its input is times as large; null if unclear."""
+    return F.when(kind == "constant", 1.0).when(kind == "logarithmic", F.log2(times)).when(kind == "linear", times).when(kind == "linearithmic", times * F.log2(times)).when(kind == "quadratic", times * times)
+
+
+def growth_check(df: DataFrame, by: str, size: str, x: str, kind: Column) -> DataFrame:
+    """growth()'s rows with broken: whether the ratio is over 1.5 times what the class allows."""
+    return growth(df, by, size, x).withColumn("broken", F.coalesce(F.col("ratio") > 1.5 * theoretical_growth(kind, F.col("size_ratio")), F.lit(False)))
+
+
+def bulk_efficiency(failed: Column, per_second: Column, balance: Column, kind: Column) -> Column:
+    """A score from 0 to 1 of one bulk operation."""
+    errors = F.when(failed, 0.5).otherwise(1.0)
+    speed = F.when(per_second > 10_000, 1.2).when(per_second < 1_000, 0.8).otherwise(1.0)
+    even = F.when(balance > 0.9, 1.1).when(balance < 0.7, 0.9).otherwise(1.0)
+    # The factor of each complexity class.
+    factors = {"constant": 1.3, "logarithmic": 1.2, "linearithmic": 1.0, "linear": 0.8, "quadratic": 0.5}
+    growing = F.coalesce(*(F.when(kind == name, f) for name, f in factors.items()), F.lit(0.7))
+    return F.least(F.greatest(errors * speed * even * growing, F.lit(0.0)), F.lit(1.0))
+
+
+def bulk_summary(df: DataFrame, by: str) -> DataFrame:
+    """By type of bulk operation (efficiency, speedup, size, failed, ts): count, means, share of successes, the last one."""
+    return df.groupBy(by).agg(F.count("*").alias("operations"), F.avg("efficiency").alias("efficiency"), F.avg("speedup").alias("speedup"), F.expr("sum(size) div count(*)").alias("mean_size"), (1 - F.avg(F.col("failed").cast("int"))).alias("successes"), F.max("ts").alias("last"))
+
+
+def compliance(df: DataFrame) -> DataFrame:
+    """Score of three parts (bulk operations, contention, structure) and whether it is 0.8 or more."""
+    bulk = (F.col("efficiency") >= 0.8) & (F.col("speedup") >= 5.0)
+    contention = (F.col("contention") < 0.3) & (F.col("pending") < 10)
+    score = (bulk.cast("int") + contention.cast("int") + 1) / 3.0
+    return df.withColumns({"bulk_ok": bulk, "contention_ok": contention, "score": score, "compliant": score >= 0.8})
+
+
+def healthy(cpu: Column, memory: Column, most_memory: Column, connections: Column, most_connections: Column) -> Column:
+    return (cpu <= 90) & (memory / most_memory <= 0.9) & (connections / most_connections <= 0.95)
+
+
+def queue_health(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Of jobs (status, queued_at, finished_at): counts by status, failures of the last hour, age of the oldest queued."""
+    is_ = lambda s: F.col("status") == s
+    recent = is_("failed") & (F.col("finished_at") > as_of - F.expr("INTERVAL 1 HOUR"))
+    oldest = F.min(F.when(is_("queued"), F.col("queued_at")))
+    age = F.greatest(F.lit(0), F.timestamp_diff("SECOND", oldest, as_of))
+    return jobs.agg(*(F.count_if(is_(s)).alias(s) for s in ("queued", "in_progress", "failed")), F.count_if(recent).alias("failed_recent"), F.when(oldest.isNotNull(), age).alias("oldest_queued_seconds"))
+
+
+def metric_problems(documents: Column, total: Column, mean: Column) -> Column:
+    """Names of the rules that a store's totals break."""
+    rules = {"size_below_count": total < documents, "size_without_documents": (documents == 0) & (total >= 1024), "odd_mean": (documents > 0) & ~((mean > 0) & (mean < 100_000_000))}
+    return F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
+
+
+def rolling_rank(df: DataFrame, key: str, order: list[str], x: str, rows: int, share: float, name: str) -> DataFrame:
+    """The nearest-rank percentile of the last rows of a key; a row's window is bounded by rows."""
+    values = F.sort_array(F.collect_list(x).over(W.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)))
+    return df.withColumn(name, F.element_at(values, F.least(F.floor(F.size(values) * share) + 1, F.size(values)).cast("int")))
+
+
+def sample_terms(docs: DataFrame, documents: int = 5, each: int = 3, most: int = 4) -> DataFrame:
+    """Up to most search terms from the first documents (id, content): no stop word, no secret, no digit, over two bytes."""
+    from ..functions import sanitize
+
+    first = docs.orderBy("id").limit(documents)
+    words = first.select("id", F.posexplode(F.slice(sanitize.terms(F.col("content")), 1, each)).alias("at", "term")).select("id", "at", F.lower("term").alias("term"))
+    good = words.filter(~F.col("term").isin(*sanitize.STOP_WORDS) & ~F.col("term").rlike(r"password|secret|token|\p{N}") & (F.octet_length("term") > 2))
+    return good.groupBy("term").agg(F.min(F.struct("id", "at")).alias("o")).orderBy("o").limit(most).select("term")

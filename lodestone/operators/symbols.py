@@ -168,3 +168,36 @@ def text_dependencies(text: Column) -> Column:
 
 def visibility(text: Column) -> Column:
     return F.when(text.startswith("pub("), "internal").when(text.startswith("pub ") | text.startswith("export ") | text.startswith("public "), "public").when(text.startswith("protected "), "protected").when(text.startswith("private ") | text.startswith("_"), "private").otherwise("unknown")
+
+
+def parents(spans: DataFrame) -> DataFrame:
+    """Spans (id, file, start, end) with parent: the narrowest one that encloses them; among equal spans the smaller id."""
+    outer = spans.select("file", F.col("id").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    wide, narrow = F.col("_e") - F.col("_s"), F.col("end") - F.col("start")
+    holds = (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")) & ((wide > narrow) | (wide == narrow) & (F.col("_p") < F.col("id")))
+    best = spans.join(outer, "file").filter(holds).groupBy("id").agg(F.min(F.struct(wide.alias("w"), (-F.col("_p")).alias("o"), F.col("_p").alias("p")))["p"].alias("parent"))
+    return spans.join(best, "id", "left")
+
+
+def qualified(nested: DataFrame, depth: int = 5) -> DataFrame:
+    """parents()'s rows with a name each, and qualified: the names from the outermost of up to depth levels, by ::."""
+    up = nested.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("parent").alias("_up"))
+    out = nested.withColumn("qualified", F.col("name")).withColumn("_at", F.col("parent"))
+    for _ in range(depth):
+        out = out.join(up, F.col("_at") == F.col("_id"), "left").withColumn("qualified", F.concat_ws("::", "_name", "qualified")).withColumn("_at", F.col("_up")).drop("_id", "_name", "_up")
+    return out.drop("_at")
+
+
+def any_term(symbols: DataFrame, terms: list[str], limit: int = 100) -> DataFrame:
+    """The ids that a fuzzy search for any of the terms finds."""
+    out = fuzzy(symbols, terms[0], limit).select("id")
+    for t in terms[1:]:
+        out = out.unionByName(fuzzy(symbols, t, limit).select("id"))
+    return out.distinct()
+
+
+def symbol_id(path: Column, parent: Column, name: Column, kind: Column, line: Column, column: Column) -> Column:
+    """An id that is the same for the same symbol at the same place, in the form of a random UUID."""
+    h = F.sha2(F.concat_ws("\n", path, F.coalesce(parent, F.lit("")), name, kind, line, column), 256)
+    digit = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(digit, F.substring(h, 18, 3)), F.substring(h, 21, 12))

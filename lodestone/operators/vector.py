@@ -77,9 +77,13 @@ def similarity_percent(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), distance)) * 100
 
 
+def _let(x: Column, make) -> Column:
+    """make(x) with x worked out once: a lambda's variable is a value, while a column in it is worked out at each use."""
+    return F.element_at(F.transform(F.array(x), make), 1)
+
+
 def normalized(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return _let(v, lambda w: _let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
 def pad(v: Column, size: int) -> Column:
@@ -113,10 +117,9 @@ def standard(v: Column, size: int = 1536) -> Column:
 
 def hashed_embedding(words: Column, size: int = 64) -> Column:
     """An embedding without a model: signed counts of hashed words, normalised; for tests and offline use."""
-    zero = F.array_repeat(F.lit(0.0), size)
-    one = lambda w: F.pmod(F.xxhash64(w), F.lit(size))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: _sum(F.transform(F.filter(words, lambda w: one(w) == i), lambda w: F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0))))
-    return normalized(F.when(F.size(words) > 0, counts).otherwise(zero))
+    hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("at"), F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+    counts = lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(x["at"] == i, x["sign"]).otherwise(0.0)))
+    return normalized(_let(hashed, counts))
 
 
 def stale(docs: DataFrame, embedded: DataFrame) -> DataFrame:

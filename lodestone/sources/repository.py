@@ -32,29 +32,51 @@ def only(tree: DataFrame, paths: DataFrame) -> DataFrame:
     return tree.join(paths.select(F.regexp_replace("path", r"^\./", "").alias("path")), "path", "left_semi")
 
 
+def _safe(text: Column, by: str) -> Column:
+    """With by for every sign that a tag may not hold."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_ -]", by)
+
+
+def safe_name(name: Column) -> Column:
+    """A repository's name as a tag and a folder: lower case, dashes for other signs, none at the ends."""
+    bare = F.lower(F.regexp_replace(_safe(name, "-"), "^-+|-+$", ""))
+    return F.when(bare == "", "repository").otherwise(bare)
+
+
 def file_documents(tree: DataFrame, repo: str, prefix: str = "repos") -> DataFrame:
     """A document for each file: path below the repository, tags, and the text (a note for binary files)."""
     ext = extension(F.col("path"))
-    text = F.when(F.col("binary"), F.format_string("Binary file: %s (%d bytes)", "path", "size")).otherwise(F.decode("content", "UTF-8"))
+    note = F.format_string("# Binary File: %s\n\n- **Size**: %d bytes\n- **Type**: Binary\n", "path", "size")
     tags = F.array_compact(F.array(F.lit("file"), F.lit(repo), F.when(ext != "", F.concat(F.lit("ext_"), ext))))
-    return tree.select(F.sha2(F.concat_ws("/", F.lit(repo), "path"), 256).alias("id"), F.concat_ws("/", F.lit(prefix), F.lit(repo), F.lit("files"), "path").alias("path"), basename(F.col("path")).alias("title"), text.alias("content"), tags.alias("tags"), "size")
+    return tree.select(
+        F.sha2(F.concat_ws("/", F.lit(repo), "path"), 256).alias("id"), F.concat_ws("/", F.lit(prefix), F.lit(repo), F.lit("files"), "path").alias("path"), F.concat(F.lit("File: "), "path").alias("title"),
+        F.when(F.col("binary"), note).otherwise(F.decode("content", "UTF-8")).alias("content"), tags.alias("tags"), "size",
+    )
 
 
 def commit_documents(commits: DataFrame, repo: str, prefix: str = "repos") -> DataFrame:
-    """A markdown document for each commit (sha, author, ts, message, files)."""
+    """A markdown document for each commit (sha, author, email, ts, parents, message, files, added, removed)."""
     short = F.substring("sha", 1, 8)
-    body = F.concat_ws("\n", F.concat(F.lit("# Commit "), short), F.concat(F.lit("Author: "), "author"), F.concat(F.lit("Date: "), F.col("ts").cast("string")), F.lit(""), F.col("message"), F.lit(""), F.array_join(F.transform("files", lambda f: F.concat(F.lit("- "), f)), "\n"))
-    author = F.concat(F.lit("author_"), F.lower(F.regexp_replace("author", "[^A-Za-z0-9]+", "_")))
-    return commits.select(F.col("sha").alias("id"), F.concat_ws("/", F.lit(prefix), F.lit(repo), F.lit("commits"), short).alias("path"), F.concat(F.lit("Commit "), short).alias("title"), body.alias("content"), F.array(F.lit("commit"), F.lit(repo), author).alias("tags"))
+    parents = F.when(F.size("parents") > 0, F.array_join(F.transform("parents", lambda p: F.substring(p, 1, 8)), ", ")).otherwise("none (initial commit)")
+    when = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss 'UTC'")
+    files = F.when(F.size("files") > 0, F.concat(F.lit("\n## Files Changed\n"), F.array_join(F.transform("files", lambda f: F.concat(F.lit("- "), f, F.lit("\n"))), ""))).otherwise("")
+    head = F.format_string("# Commit: %s\n\n**Author**: %s <%s>\n**Date**: %s\n\n## Message\n%s\n\n## Details\n- **SHA**: %s\n- **Parents**: %s\n", short, "author", "email", when, "message", "sha", parents)
+    details = F.format_string("- **Changes**: %d insertions(+), %d deletions(-)\n- **Files Modified**: %d\n", "added", "removed", F.size("files"))
+    return commits.select(F.col("sha").alias("id"), F.concat(F.concat_ws("/", F.lit(prefix), F.lit(repo), F.lit("commits"), short), F.lit(".md")).alias("path"), F.concat(F.lit("Commit: "), short).alias("title"), F.concat(head, details, files).alias("content"), F.array(F.lit("commit"), F.lit(repo), _safe(F.col("author"), "_")).alias("tags"))
 
 
-def index_document(tree: DataFrame, repo: str) -> DataFrame:
-    a = tree.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
-    return a.select(F.lit(f"repos/{repo}/index").alias("path"), F.format_string(f"# {repo}\n\nFiles: %d\nBytes: %d\n", "n", "size").alias("content"))
+def index_documents(repositories: DataFrame, prefix: str = "repos") -> DataFrame:
+    """A document for each repository (name, path, branch, commits, updated_at, url)."""
+    when = F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss 'UTC'")
+    body = F.format_string("# Repository: %s\n\n- **Path**: %s\n- **Branch**: %s\n- **Commits**: %d\n- **Updated**: %s\n", "name", "path", "branch", "commits", when)
+    url = F.coalesce(F.concat(F.lit("- **URL**: "), "url", F.lit("\n")), F.lit(""))
+    return repositories.select(F.concat_ws("/", F.lit(prefix), safe_name(F.col("name")), F.lit("index.md")).alias("path"), F.concat(F.lit("Repository: "), "name").alias("title"), F.concat(body, url).alias("content"), F.array(F.lit("repository"), F.lit("index"), F.col("name")).alias("tags"))
 
 
 def repository_name(url: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.filter(F.split(url, r"[/:\\]"), lambda x: x != ""), -1), r"\.git$", "")
+    """The last part of a repository's address or path, without sign-in, query, fragment and .git."""
+    bare = F.regexp_replace(url, r"[?#].*$", "")
+    return F.regexp_replace(F.element_at(F.filter(F.split(bare, r"[/:\\]"), lambda x: x != ""), -1), r"\.git$", "")
 
 
 def owner_and_repository(url: Column) -> Column:
@@ -62,7 +84,8 @@ def owner_and_repository(url: Column) -> Column:
 
 
 def branch(ref: Column) -> Column:
-    return F.regexp_replace(ref, "^refs/heads/", "")
+    """The branch or tag that a full reference names; null for others."""
+    return F.nullif(F.regexp_extract(ref, "^refs/(?:heads|tags)/(.+)$", 1), F.lit(""))
 
 
 class _Log(DataSourceReader):
@@ -73,13 +96,13 @@ class _Log(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        mark = "\x1e%H\x1f%an\x1f%at\x1f%P\x1f%B\x1f"
+        mark = "\x1e%H\x1f%an\x1f%ae\x1f%at\x1f%P\x1f%B\x1f"
         run = subprocess.run(["git", "-C", self.path, "log", f"-n{self.limit}", "--numstat", "-m", "--first-parent", f"--format={mark}"], capture_output=True, text=True, check=True)
         for record in run.stdout.split("\x1e")[1:]:
-            sha, author, ts, parents, message, stats = record.split("\x1f")
+            sha, author, email, ts, parents, message, stats = record.split("\x1f")
             rows = [x.split("\t") for x in stats.strip().splitlines() if x.count("\t") == 2]
             number = lambda x: int(x) if x.isdigit() else 0
-            yield sha, author, int(ts), parents.split(), message.strip(), [r[2] for r in rows], sum(number(r[0]) for r in rows), sum(number(r[1]) for r in rows)
+            yield sha, author, email, int(ts), parents.split(), message.strip(), [r[2] for r in rows], sum(number(r[0]) for r in rows), sum(number(r[1]) for r in rows)
 
 
 class CommitLog(DataSource):
@@ -90,7 +113,7 @@ class CommitLog(DataSource):
         return "commit_log"
 
     def schema(self) -> str:
-        return "sha string, author string, ts long, parents array<string>, message string, files array<string>, added int, removed int"
+        return "sha string, author string, email string, ts long, parents array<string>, message string, files array<string>, added int, removed int"
 
     def reader(self, schema) -> DataSourceReader:
         return _Log(self.options)

@@ -80,6 +80,21 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
+def collected(stream: DataFrame, mode: str, root: str) -> DataFrame:
+    """What a stream has given once its present input is read, as a table below root.
+
+    Complete results replace the table at each batch; others add a folder for each batch, written again if it is repeated."""
+    out, kind = f"{root}/out", stream.schema
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else n}")
+
+    stream.sparkSession.createDataFrame([], kind).write.parquet(f"{out}/batch=-1")
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(kind).parquet(out).select(*kind.names)
+
+
 def conversation_state(turns: DataFrame, keep: int = 10) -> DataFrame:
     """Each turn with up to keep earlier texts of its conversation, oldest first (batch form of session state)."""
     from pyspark.sql import Window as W

@@ -53,7 +53,7 @@ def test_tree_to_graph(spark, tmp_path):
     tree = repository.files(spark, _tree(tmp_path))
     assert {r["path"]: r["binary"] for r in tree.collect()} == {"src/lib.rs": False, "src/io.py": False, "src/bad.py": False, "blob.bin": True}
     docs = repository.file_documents(tree, "demo")
-    assert docs.filter(basename(F.col("path")) == "blob.bin").first()["content"] == "Binary file: blob.bin (2 bytes)"
+    assert docs.filter(basename(F.col("path")) == "blob.bin").first()["content"] == "# Binary File: blob.bin\n\n- **Size**: 2 bytes\n- **Type**: Binary\n"
     text = tree.filter("not binary").select("path", F.decode("content", "UTF-8").alias("content"))
     nodes, edges = code.code_graph(text)
     names = {r["id"]: r["name"] for r in nodes.collect()}
@@ -72,7 +72,10 @@ def test_commit_log(spark, tmp_path):
         git("commit", "-qm", f"Change {n}")
     log = repository.commits(spark, str(tmp_path)).collect()
     assert [(r["message"], r["files"], r["added"]) for r in log] == [("Change 1", ["f1.txt"], 2), ("Change 0", ["f0.txt"], 2)]
-    assert repository.commit_documents(repository.commits(spark, str(tmp_path)), "demo").count() == 2
+    made = repository.commit_documents(repository.commits(spark, str(tmp_path)), "demo").collect()
+    assert [r["tags"] for r in made] == [["commit", "demo", "T"]] * 2 and all(r["path"] == f"repos/demo/commits/{r['id'][:8]}.md" for r in made)
+    assert "**Author**: T <t@example.com>" in made[0]["content"] and "- **Changes**: 2 insertions(+), 0 deletions(-)" in made[0]["content"] and made[0]["content"].endswith("## Files Changed\n- f1.txt\n")
+    assert "- **Parents**: none (initial commit)" in made[1]["content"]
 
 
 def _stream(spark, tmp_path, rows):
