@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize, trigrams
+from ..operators import definitions as D
 from ..operators import graph, search, tables, vector
 from ..operators import symbols as S
+from ..sources import code
 from . import model
 from .graph_queries import _NODES, _ids, _nodes
 from .model import DAG, DOCS, SYMBOLS, TRADE, VECTORS
@@ -142,13 +144,48 @@ def trigram_sets(spark, sf_dir):
     return b.select("item_id", F.size(t).cast("long").alias("trigrams"), F.size(F.array_distinct(t)).cast("long").alias("distinct_trigrams"))
 
 
-QUERIES = {f.__name__: f for f in (import_lines, reference_lines, text_dependencies, nested_symbols, file_symbols, type_symbols, any_term_symbols, file_replaced, signature_index, impact_paths, graph_statistics, limited_callers, edge_changes, dependents_by_relation, from_dependents, described_edges, symbol_documents, similar_percent, hashed_embeddings, stale_embeddings, index_updated, trigram_sets)}
+def match_locations(spark, sf_dir):
+    d = model.docs(spark, sf_dir).filter("content is not null").select("id", D.match_locations(F.col("content"), "that the").alias("m"))
+    n = lambda kind: F.size(F.filter("m", lambda x: x["kind"] == kind)).cast("long")
+    return d.select("id", n("exact").alias("exact"), n("term").alias("term"), F.array_min(F.transform("m", lambda x: x["start"])).alias("first"), D.match_type(F.col("m")).alias("type"))
+
+
+def code_snippets(spark, sf_dir):
+    return _words(spark, sf_dir).select("id", D.code_snippet(F.col("body"), "kind", 80).alias("snippet"))
+
+
+def _files(spark, sf_dir):
+    return _words(spark, sf_dir).select(F.concat(F.lit("src/p"), "id", F.lit(".rs")).alias("path"), F.col("body").alias("content"))
+
+
+def parsed_symbols(spark, sf_dir):
+    return code.symbols(_files(spark, sf_dir)).select("path", "name", "type", "visibility", "start", "end", "qualified")
+
+
+def parsed_references(spark, sf_dir):
+    return code.references(_files(spark, sf_dir)).select("path", "name", "kind", "line")
+
+
+def parsed_graph(spark, sf_dir):
+    return code.code_graph(_files(spark, sf_dir))[1].groupBy("relation").agg(F.count("*").alias("edges"))
+
+
+QUERIES = {f.__name__: f for f in (match_locations, code_snippets, parsed_symbols, parsed_references, parsed_graph, import_lines, reference_lines, text_dependencies, nested_symbols, file_symbols, type_symbols, any_term_symbols, file_replaced, signature_index, impact_paths, graph_statistics, limited_callers, edge_changes, dependents_by_relation, from_dependents, described_edges, symbol_documents, similar_percent, hashed_embeddings, stale_embeddings, index_updated, trigram_sets)}
 
 _AB = "w AS (SELECT p_partkey AS id, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part)"
+_BODY = "'fn ' || a || '(x: &str) -> ' || upper(b[1]) || lower(b[2:]) || replace(' {~    // skip(1)~    let y: Kind = ', '~', chr(10)) || b || replace('(x);~    ', '~', chr(10)) || a || replace('!(y)~    let n: Vec<u8> = 1;~}', '~', chr(10))"
+_TIMES = "((length(t) - length(replace(t, '{0}', ''))) / {1})::BIGINT"
 _FUZZY_ONE = "SELECT id FROM (SELECT id, CASE WHEN lower(name) = '{q}' THEN 1.0 WHEN starts_with(lower(name), '{q}') THEN 0.8 WHEN contains(lower(name), '{q}') THEN 0.6 WHEN o > 0.5 THEN o * 0.5 END::DOUBLE AS s FROM (SELECT *, len(list_intersect(list_distinct(string_split(lower(name), '')), list_distinct(string_split('{q}', ''))))::DOUBLE / len(list_distinct(list_concat(string_split(lower(name), ''), string_split('{q}', '')))) AS o FROM symbols)) WHERE s IS NOT NULL ORDER BY s DESC, id LIMIT 60"
 _GRAMS = "y AS (SELECT {key}, string_split({t}, '') AS c FROM {src}), g AS (SELECT {key}, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS trigram FROM y), k AS (SELECT * FROM g WHERE regexp_matches(trigram, '[\\p{{L}}\\p{{N}}]'))"
 _VERBS = "CASE relation WHEN 'child_of' THEN 'is child of' ELSE 'has custom relationship with' END"
 ORACLE = {
+    "match_locations": f"""WITH {DOCS}, a AS (SELECT id, lower(content) AS t FROM docs WHERE content IS NOT NULL), b AS (SELECT id, t, {_TIMES.format("that the", 8)} AS exact, {_TIMES.format("that", 4)} AS x, {_TIMES.format("the", 3)} AS y FROM a),
+        c AS (SELECT *, least(x, 10) + least(y, greatest(1, 10 - least(x, 10))) AS term FROM b)
+        SELECT id, exact, term, nullif(least(CASE WHEN contains(t, 'that') THEN instr(t, 'that') ELSE 1000000 END, CASE WHEN contains(t, 'the') THEN instr(t, 'the') ELSE 1000000 END), 1000000) - 1 AS first, CASE WHEN exact > 0 THEN 'exact_phrase' WHEN term > 1 THEN 'proximity' ELSE 'term' END AS type FROM c""",
+    "code_snippets": f"WITH {_AB} SELECT id, CASE WHEN length({_BODY}) <= 80 THEN {_BODY} ELSE '// Lines 1-6' || chr(10) || {_BODY} END AS snippet FROM w",
+    "parsed_symbols": f"WITH {_AB} SELECT 'src/p' || id || '.rs' AS path, a AS name, 'function' AS type, 'private' AS visibility, 1 AS start, 6 AS \"end\", 'src/p' || id || '.rs::' || a AS qualified FROM w",
+    "parsed_references": f"WITH {_AB} SELECT 'src/p' || id || '.rs' AS path, b AS name, 'function_call' AS kind, 3 AS line FROM w UNION ALL SELECT 'src/p' || id || '.rs', a, 'macro_invocation', 4 FROM w",
+    "parsed_graph": f"WITH {_AB}, f AS (SELECT a AS name, id, row_number() OVER (PARTITION BY a ORDER BY length('src/p' || id || '.rs'), 'src/p' || id || '.rs::' || a) AS n FROM w), e AS (SELECT w.id AS s, f.id AS d FROM w JOIN f ON w.b = f.name AND n = 1 UNION ALL SELECT w.id, f.id FROM w JOIN f ON w.a = f.name AND n = 1) SELECT 'calls' AS relation, count(*) AS edges FROM e WHERE s <> d GROUP BY 1",
     "import_lines": f"WITH {_AB} SELECT id, CASE WHEN id % 8 IN (0, 3) THEN a WHEN id % 8 = 1 THEN './' || b WHEN id % 8 = 2 THEN a || '.' || b WHEN id % 8 = 6 THEN './' || a || '.css' END AS module FROM w",
     "reference_lines": f"WITH {_AB} SELECT id, CASE WHEN id % 8 = 4 THEN 'self.' || a END AS reference, {_pick_sql(['public', 'unknown', 'internal'], 'id')} AS visibility FROM w",
     "text_dependencies": f"WITH {_AB} SELECT id, array_to_string(list_sort(list_distinct([a, b, upper(b[1]) || lower(b[2:]), 'Kind', 'Vec'])), ',') AS names FROM w",

@@ -130,3 +130,22 @@ def test_relation_names(spark):
 
 def test_names_have_similarity(spark):
     assert one(spark, symbols.name_similarity(F.col("a"), F.col("b")), a="parse", b="parser") == pytest.approx(5 / 6 + 0.3 if 5 / 6 + 0.3 < 1 else 1.0)
+
+
+def test_definitions_around_matches():
+    from lodestone.operators import definitions as D
+
+    text = "use x;\n\npub fn one() {\n    let s = \"}\";\n    target();\n}\n\n// fn no {\nstruct Two {\n    target: u8,\n}\ntarget outside\n"
+    assert D.definitions(text, "target") == "// Lines 3-6\n" + "\n".join(text.split("\n")[2:6]) + D.BETWEEN + "// Lines 9-11\nstruct Two {\n    target: u8,\n}" + D.BETWEEN + "// Lines 9-11\nstruct Two {\n    target: u8,\n}"
+    assert D.definitions(text, "nothing") is None and D.definitions("a target", "target") is None and D.definitions(None, "x") is None
+    far = "fn f() {\n" + "    x();\n" * 200 + "}\n"
+    assert D.definitions("fn f() {\n" + "a\n" * 40 + "target\n}", "target") is None and D.definitions(far, "fn f").startswith("// Lines 1-101\n")
+
+
+def test_match_locations(spark):
+    from lodestone.operators import definitions as D
+
+    made = [tuple(m)[:3] for m in one(spark, D.match_locations(F.col("t"), "a.b c"), t="x A.B c a.b")]
+    assert made == [("exact", 2, 7), ("term", 2, 5), ("term", 8, 11), ("term", 6, 7)]
+    many = one(spark, D.match_locations(F.col("t"), "q z"), t="q " * 30 + "z z")
+    assert [m["kind"] for m in many] == ["exact"] + ["term"] * 11 and many[-1]["context"].startswith("...q")
