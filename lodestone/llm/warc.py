@@ -30,6 +30,8 @@ from .common import SLICE, Scratch, table
 REVISIT_BYTES = 1000
 #: Records in an archive file, which a reading task holds whole.
 FILE_RECORDS = 2000
+#: Bytes that a member is fed at once; what lies behind its end is copied, so they are few.
+FEED = 8192
 #: A valid gzip member without content.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 URN = "urn:lodestone:page:"
@@ -111,14 +113,16 @@ def _page(urn: str | None) -> int | None:
 
 def _member(data: bytes, at: int) -> tuple[dict | None, int]:
     """The record of a gzip member (None for an empty one) and where the member ends."""
-    z = zlib.decompressobj(31)
+    z, view, parts, to = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        record = z.decompress(memoryview(data)[at:])
+        while not z.eof and to < len(data):
+            parts.append(z.decompress(view[to : to + FEED]))
+            to = min(to + FEED, len(data))
     except zlib.error:
         raise Damage("gzip member") from None
     if not z.eof:
         raise Damage("gzip member")
-    end = len(data) - len(z.unused_data)
+    record, end = b"".join(parts), to - len(z.unused_data)
     if not record:
         return None, end
     made, stop = parse_record(record)
