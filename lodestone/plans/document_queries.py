@@ -80,7 +80,7 @@ def incremental_changes(spark, sf_dir):
 
 
 def change_sets(spark, sf_dir):
-    e = model.table(spark, sf_dir, "events").filter("event_id < 500")
+    e = model.table(spark, sf_dir, "events")
     push = F.concat(F.lit('{"commits":[{"added":["a'), F.col("event_id") % 7, F.lit('","b"],"removed":[]},{"added":["b"],"modified":["m'), F.col("user_id"), F.lit('"]}]}'))
     made = tables.change_sets(e.select("event_id", push.alias("payload")))
     return made.select("event_id", F.array_join("added", ",").alias("added"), F.array_join("modified", ",").alias("modified"), F.array_join("removed", ",").alias("removed"))
