@@ -38,12 +38,12 @@ def relevance_rerank(spark, sf_dir):
 
 
 def token_budget(spark, sf_dir):
-    d = model.docs(spark, sf_dir).select("id", (F.col("id") % 97).cast("double").alias("score"), F.substring("content", 1, 1500).alias("snippet"))
+    d = model.docs(spark, sf_dir).select("id", (F.col("id") % 97).cast("double").alias("score"), F.col("content").alias("snippet"))
     return rerank.select_within(d, 1200, 10).select("rank", "id", "tokens", "cut")
 
 
 def token_usage(spark, sf_dir):
-    d = model.docs(spark, sf_dir).select("id", (F.col("id") % 97).cast("double").alias("score"), F.substring("content", 1, 1500).alias("snippet"))
+    d = model.docs(spark, sf_dir).select("id", (F.col("id") % 97).cast("double").alias("score"), F.col("content").alias("snippet"))
     return _r(rerank.usage(rerank.select_within(d, 1200, 10), 1200))
 
 

@@ -1,5 +1,8 @@
 """Queries that read whole tables and whole texts, against plain programs."""
 
+import math
+import re
+
 from lodestone.plans import registry
 
 
@@ -7,3 +10,25 @@ def test_change_sets_of_every_event(spark, sf):
     made = sorted(tuple(r) for r in registry.queries()["change_sets"](spark, sf).select("event_id", "added", "modified", "removed").collect())
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id").collect()
     assert len(events) > 500 and made == sorted((r["event_id"], f"a{r['event_id'] % 7},b", f"m{r['user_id']}", None) for r in events)
+
+
+def _tokens(text):
+    return math.floor(len(re.findall(r"[^ \t\n\v\f\r]+", text)) * 1.3 + len(re.findall(r"[!-/:-@\[-`{-~]", text)) * 0.3 + 1e-9)
+
+
+def test_budget_of_whole_texts(spark, sf):
+    """Greedy choice by a plain program: the documents' whole texts count, not their beginnings."""
+    docs = sorted(((-(r["doc_id"] % 97), r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=lambda x: x[:2])[:20]
+    assert any(t and len(t) > 1500 for _, _, t in docs)
+    used, want, texts = 0, [], []
+    for _, i, t in docs:
+        for text, cut in ((t, False), (t[:200] + "..." if t and len(t) > 200 else t, True)):
+            if t is not None and len(want) < 10 and used + _tokens(text) <= 1200 and (not cut or len(want) < 5):
+                used += _tokens(text)
+                want.append((len(want) + 1, i, _tokens(text), cut))
+                texts.append(text)
+                break
+    queries = registry.queries()
+    assert [tuple(r) for r in queries["token_budget"](spark, sf).orderBy("rank").select("rank", "id", "tokens", "cut").collect()] == want
+    row = queries["token_usage"](spark, sf).first()
+    assert (row["tokens"], row["efficiency"], row["truncated"]) == (used, round(min(used / 1200, 1), 6), sum(t.endswith("...") for t in texts))
