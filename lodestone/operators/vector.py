@@ -122,6 +122,19 @@ def hashed_embedding(words: Column, size: int = 64) -> Column:
     return normalized(_let(hashed, counts))
 
 
+def hashed_embeddings(rows: DataFrame, size: int = 64) -> DataFrame:
+    """id and v: hashed_embedding of each row's words (id, words) by one pass over them; null for null words.
+
+    Ids are unique. What is dealt by id is at most size counts for each id and task."""
+    w = F.col("w")
+    signed = rows.select("id", F.explode("words").alias("w")).select("id", F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("at"), F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    counts = signed.groupBy("id", "at").agg(F.sum("sign").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("counts"))
+    zeros = F.create_map().cast("map<int,double>")
+    joined = rows.select("id", F.col("words").isNull().alias("none")).join(counts, "id", "left").withColumn("counts", F.coalesce("counts", zeros))
+    v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0.0)))
+    return joined.select("id", F.when(~F.col("none"), normalized(v)).alias("v"))
+
+
 def stale(docs: DataFrame, embedded: DataFrame) -> DataFrame:
     """Documents (id, content) whose content's hash is not the embedded one (id, content_hash)."""
     now = docs.withColumn("content_hash", F.sha2("content", 256))

@@ -117,8 +117,7 @@ def similar_percent(spark, sf_dir):
 
 
 def hashed_embeddings(spark, sf_dir):
-    d = model.docs(spark, sf_dir)
-    e = d.select("id", vector.hashed_embedding(F.slice(tokenize(F.col("content")), 1, 200), 16).alias("v"))
+    e = vector.hashed_embeddings(model.docs(spark, sf_dir).select("id", tokenize(F.col("content")).alias("words")), 16)
     return e.select("id", F.size("v").alias("dimensions"), F.round(vector.norm(F.col("v")), 6).alias("norm"))
 
 

@@ -3,6 +3,9 @@
 import math
 import re
 
+import pytest
+from lodestone.functions import sanitize
+from lodestone.operators import vector
 from lodestone.plans import registry
 
 
@@ -32,3 +35,27 @@ def test_budget_of_whole_texts(spark, sf):
     assert [tuple(r) for r in queries["token_budget"](spark, sf).orderBy("rank").select("rank", "id", "tokens", "cut").collect()] == want
     row = queries["token_usage"](spark, sf).first()
     assert (row["tokens"], row["efficiency"], row["truncated"]) == (used, round(min(used / 1200, 1), 6), sum(t.endswith("...") for t in texts))
+
+
+def test_embeddings_of_all_words(spark, tmp_path):
+    """Two words that cancel out fill the first 200 places; the 201st decides. Counts are by a plain program."""
+    names = [f"w{i}" for i in range(400)]
+    places = {r["w"]: (r["at"], r["sign"]) for r in spark.createDataFrame([(w,) for w in names], "w string").selectExpr("w", "pmod(xxhash64(w), 16) AS at", "IF(xxhash64(w, 1) % 2 = 0, 1, -1) AS sign").collect()}
+    a = names[0]
+    b = next(w for w in names if places[w] == (places[a][0], -places[a][1]))
+    c = next(w for w in names if places[w][0] != places[a][0])
+    texts = {1: f"{a} {b} " * 100 + c, 2: f"{a} {b} " * 100, 3: "", 4: None, 5: " ".join(names * 3)}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r["id"]: (r["dimensions"], r["norm"]) for r in registry.queries()["hashed_embeddings"](spark, str(tmp_path)).collect()}
+    assert {i: n for i, (_, n) in made.items()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: None, 5: 1.0}
+    words = spark.createDataFrame([(i, None if t is None else t.split()) for i, t in texts.items()], "id long, words array<string>")
+    for r in vector.hashed_embeddings(words, 16).collect():
+        if texts[r["id"]] is None:
+            assert r["v"] is None
+            continue
+        counts = [0.0] * 16
+        for w in texts[r["id"]].split():
+            counts[places[w][0]] += places[w][1]
+        length = math.sqrt(sum(x * x for x in counts))
+        assert r["v"] == [pytest.approx(x / length if length else 0.0) for x in counts]
