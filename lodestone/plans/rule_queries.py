@@ -32,7 +32,7 @@ def path_aware_clean(spark, sf_dir):
 
 def strict_clean(spark, sf_dir):
     d = model.docs(spark, sf_dir)
-    raw = F.concat(F.substring("content", 1, 60), F.lit(" (select)=drop, "), "path")
+    raw = F.concat("content", F.lit(" (select)=drop, "), "path")
     return d.select("id", sanitize.clean(raw, strict=True).alias("clean"))
 
 

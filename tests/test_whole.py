@@ -59,3 +59,17 @@ def test_embeddings_of_all_words(spark, tmp_path):
             counts[places[w][0]] += places[w][1]
         length = math.sqrt(sum(x * x for x in counts))
         assert r["v"] == [pytest.approx(x / length if length else 0.0) for x in counts]
+
+
+def test_strict_cleaning_of_whole_texts(spark, tmp_path):
+    def clean(x):
+        for p, by in ((r"[\x00-\x1f\x7f-\x9f]", " "), (r"\s+", " "), *sanitize.STEPS, *sanitize.STRICT_STEPS, *sanitize.LAST_STEPS, (r"\s+", " ")):
+            x = re.sub(p, by, x, flags=re.ASCII if "\\w" in p or "\\b" in p else 0).strip(" ")
+        return x
+
+    far = "plain words " * 20
+    texts = [far + "drop table x ../../etc <script>alert(1)</script> a..b, c=d", far + "SELECT name FROM users; delete from y", "union select", far * 40 + "%2e%2e [tail]"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r["id"]: r["clean"] for r in registry.queries()["strict_clean"](spark, str(tmp_path)).collect()}
+    assert made == {i: clean(f"{t} (select)=drop, s/en/doc_{i}.md") for i, t in enumerate(texts)}
+    assert "etc" in made[0] and "drop" not in made[0] and "tail" in made[3]
