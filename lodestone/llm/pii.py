@@ -1,13 +1,15 @@
 """Personal data: patterns, and terms that disclose it, by DataFrame functions alone.
 
 Four patterns find e-mail addresses, IP addresses, card and telephone numbers (base spans). Then the corpus tells which
-terms give them away: for each protected entity e and each term t beside it, counts over all documents estimate
+terms give them away: for each protected entity e and each term t of the documents that hold e, wherever it stands,
+counts over all documents estimate
 
-    disclosure(t, e) = PMI(e, t) / IC(e),   PMI = log2(N n(e,t) / (n(e) n(t))),   IC = log2(N / n(e)),
+    disclosure(t, e) = PMI(e, t) / IC(e) = 1 + log2 P(e|t) / IC(e),   IC = log2(N / n(e)),
 
 the share of e's information that t reveals. From GENERALISE on a term is replaced by a general word, from REMOVE on
-it goes. n(e,t) counts documents that hold t within CONTEXT characters of e, n(t) and n(e) those that hold them at all.
-Pairs of fewer than SUPPORT documents are no estimate and disclose nothing.
+it goes, everywhere in the documents that hold e. n(t), n(e) and n(e,t) count the documents that hold t, e and both.
+P(e|t) = (n(e,t) + a n(e) / N) / (n(t) + a) draws few documents towards independence: a = SUPPORT^2 / n(e,t)^1.5 is the
+weight of that prior, in documents. No pair is left out for its count: a pair of one document needs 13.3 bits of e.
 
 Null and empty texts have no spans (sanitise leaves them as they are). Texts are read whole; positions are code
 points. Repeated rows have equal results, one each. Rows without doc_id are kept. An empty table gives an empty
@@ -32,8 +34,12 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 #: A text without any of these has no base span; each is a cheap test.
 MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.75, 0.95
+#: Words of four letters or more, and shorter ones that may be names: of two or three letters, capitalised or of a script
+#: without case.
+TERM = r"\p{L}{4,}|(?<!\p{L})[\p{Lu}\p{Lt}\p{Lo}]\p{L}{1,2}(?!\p{L})"
+SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
+#: Terms of more than this share of all documents, and of too many to disclose anything, are few and never dealt by term.
+COMMON = 0.005
 #: Matches whose positions are summed in one go; keeps the work linear in the number of matches.
 BLOCK = 256
 
@@ -51,14 +57,14 @@ def maybe_any(text: Column) -> Column:
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """Every match with its start (code points) and CONTEXT characters on either side up to the next match."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pair = F.zip_with(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), F.slice(gaps, 2, F.size(hits)), lambda a, b: F.struct(a.alias("before"), b.alias("after"))),
-        hits,
-        lambda g, m: F.struct(F.length(g["before"]).alias("gap"), F.length(m).alias("size"), m.alias("match"), F.right(g["before"], F.lit(CONTEXT)).alias("left"), (F.length(g["before"]) > CONTEXT).alias("left_cut"), F.left(g["after"], F.lit(CONTEXT)).alias("right"), (F.length(g["after"]) > CONTEXT).alias("right_cut")),
-    )
-    return _running(pair, lambda x: x["gap"] + x["size"], lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), *(x[c].alias(c) for c in ("match", "left", "left_cut", "right", "right_cut"))))
+    """Every match with its start and end (code points)."""
+    return _running(_gapped(text, pattern), lambda x: x["gap"] + x["size"], lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["match"].alias("match")))
+
+
+def _gapped(text: Column, pattern: str) -> Column:
+    """Every match with its size and the number of code points between it and the one before."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
 
 
 def _running(items: Column, width, make) -> Column:
@@ -86,34 +92,12 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _terms(side: Column, lead: Column, trail: Column, start: Column, entity: Column) -> Column:
-    """Terms of one side's context with their places; a term that the context's outer edge may cut is left out.
-
-    side begins at start in the text."""
-    skip = F.when(lead, F.length(F.regexp_extract(side, r"^\p{L}*", 0))).otherwise(0)
-    rest = F.substring(side, skip + 1, F.lit(CONTEXT))
-    rest = F.when(trail, F.regexp_replace(rest, r"\p{L}+$", "")).otherwise(rest)
-    hits = F.regexp_extract_all(rest, F.lit(TERM), F.lit(0))
-    pair = F.zip_with(F.slice(F.split(rest, TERM, -1), 1, F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    placed = F.aggregate(
-        pair,
-        F.struct((start + skip).alias("at"), F.array().cast("array<struct<entity:bigint,term:bigint,start:int,end:int>>").alias("all")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(s["all"], F.array(F.struct(entity.alias("entity"), F.xxhash64(F.lower(x["match"])).alias("term"), (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end")))).alias("all"),
-        ),
-        lambda s: s["all"],
-    )
-    return placed
-
-
 def _base(text: Column, rank: int, kind: str) -> Column:
-    """The valid spans of one kind, with their contexts and the hash of what they name."""
+    """The valid spans of one kind, with the hash of what they name."""
 
     def span(x: Column) -> Column:
         name = F.lower(x["match"]) if kind == "email" else F.regexp_replace(x["match"], "[^0-9.]", "")
-        sides = (x[c].alias(c) for c in ("left", "left_cut", "right", "right_cut"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.xxhash64(F.lit(rank), name).alias("entity"), *sides)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.xxhash64(F.lit(rank), name).alias("entity"))
 
     return F.transform(F.filter(_placed(text, PATTERNS[kind]), lambda x: _valid(kind, x["match"])), span)
 
@@ -122,44 +106,48 @@ def _count(spans: str, rank: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
 
 
-def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep's columns, spans (start, rank, end; base ones in order) and near (entity, term, start, end) for every row."""
+def detect(docs: DataFrame, keep: list[str], terms: bool = True) -> DataFrame:
+    """keep's columns and spans (start, rank, end; base ones in order) for every row; with terms also entities, and
+    places (term, start, end) of all terms of the rows that have spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(*keep, text.alias("_t"))
-    kind_type = "array<struct<start:int,end:int,rank:int,entity:bigint,left:string,left_cut:boolean,right:string,right_cut:boolean>>"
     for rank, kind in enumerate(PATTERNS):
-        found = found.withColumn(f"_{kind}", F.when(_maybe(kind, F.col("_t")), _base(F.col("_t"), rank, kind)).otherwise(F.array().cast(kind_type)))
-    found = found.select(*keep, F.concat(*(f"_{kind}" for kind in PATTERNS)).alias("_all"))
-    near = F.flatten(
-        F.transform(
-            F.col("_all"),
-            lambda s: F.concat(
-                _terms(s["left"], s["left_cut"], F.lit(False), s["start"] - F.length(s["left"]), s["entity"]),
-                _terms(s["right"], F.lit(False), s["right_cut"], s["end"], s["entity"]),
-            ),
-        )
-    )
-    near = F.filter(near, lambda t: ~F.exists(F.col("_all"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found.select(*keep, F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).alias("spans"), F.when(F.size("_all") > 0, near).otherwise(F.array().cast("array<struct<entity:bigint,term:bigint,start:int,end:int>>")).alias("near"))
+        found = found.withColumn(f"_{kind}", F.when(_maybe(kind, F.col("_t")), _base(F.col("_t"), rank, kind)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,entity:bigint>>")))
+    found = found.select(*keep, "_t", F.concat(*(f"_{kind}" for kind in PATTERNS)).alias("_all"))
+    spans = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).alias("spans")
+    if not terms:
+        return found.select(*keep, spans)
+    # a column of its own, so that blocks of it do not match again
+    found = found.withColumn("_g", F.when(F.size("_all") > 0, _gapped(F.col("_t"), TERM)).otherwise(F.array().cast("array<struct<gap:int,size:int,match:string>>")))
+    place = lambda x, at: F.struct(F.xxhash64(F.lower(x["match"])).alias("term"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"))
+    return found.select(*keep, spans, F.array_distinct(F.transform("_all", lambda s: s["entity"])).alias("entities"), _running(F.col("_g"), lambda x: x["gap"] + x["size"], place).alias("places"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """n_t: in how many documents a term stands; over every document and whole texts."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("t")).select(F.xxhash64("t").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t))))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term and share for the pairs whose share of disclosed information is generalise or more."""
-    by_doc = found.filter(F.size("near") > 0)
-    pairs = by_doc.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    entities = by_doc.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+def disclosing(scratch: Scratch, docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """term and share for each _id, _h with an entity of which the term tells generalise or more: its largest share."""
+    by_doc = found.filter(F.size("entities") > 0)
+    counts = scratch.cut(term_counts(docs), "counts").df
     total = docs.agg(F.count("*").alias("n"))
-    joined = pairs.join(entities, "entity").join(term_counts(docs), "term").crossJoin(F.broadcast(total))  # total is one row
-    ic = F.log2(F.col("n") / F.col("n_e"))
-    pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return joined.filter(F.col("n_e") < F.col("n")).select("entity", "term", (pmi / ic).alias("share")).filter(F.col("share") >= generalise)
+    entities = by_doc.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = scratch.cut(entities.crossJoin(F.broadcast(total)).filter(F.col("n_e") < F.col("n")), "entities").df  # total is one row
+    # P(e|t) is below n(e) / n(t), so a term of more documents than this tells too little of any entity, whatever n(e,t)
+    most = entities.agg(F.max("n").alias("n"), F.max(F.col("n_e") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)).alias("most"))
+    counts = counts.crossJoin(F.broadcast(most))  # one row
+    common = counts.filter(F.col("n_t") > F.greatest("most", F.col("n") * COMMON)).select("term")
+    rare = counts.filter(F.col("n_t") <= F.col("most")).select("term", "n_t")
+    held = by_doc.select("_id", "_h", "entities", F.explode(F.array_distinct(F.transform("places", lambda p: p["term"]))).alias("term")).join(F.broadcast(common), "term", "left_anti")
+    held = scratch.cut(held.join(rare, "term"), "held").df.withColumn("entity", F.explode("entities")).drop("entities")
+    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("n_t").alias("n_t")).join(entities, "entity")
+    p, a = F.col("n_e") / F.col("n"), F.lit(float(support) ** 2) / F.pow("n_et", F.lit(1.5))
+    share = 1 - F.log2((F.col("n_et") + a * p) / (F.col("n_t") + a)) / F.log2(p)
+    flagged = pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    return scratch.cut(held.join(flagged, ["entity", "term"]).groupBy("_id", "_h", "term").agg(F.max("share").alias("share")), "flagged").df
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -169,24 +157,30 @@ def _key(docs: DataFrame) -> DataFrame:
 
 def term_spans(found: DataFrame, flagged: DataFrame) -> DataFrame:
     """extra: the flagged terms' spans (start, rank, end, share) for each _id, _h that has any."""
-    near = found.filter(F.size("near") > 0).select("_id", "_h", F.explode("near").alias("t")).select("_id", "_h", "t.*")
-    hits = near.join(flagged, ["entity", "term"]).groupBy("_id", "_h", "start", "end").agg(F.max("share").alias("share"))
+    docs = flagged.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).distinct()
+    flagged = flagged.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("term").alias("_term2"), "share")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2"))
+    once = found.filter(F.size("entities") > 0).join(docs, same, "left_semi").dropDuplicates(["_id", "_h"])
+    hits = once.select("_id", "_h", F.explode("places").alias("t")).select("_id", "_h", "t.*").join(flagged, same & (F.col("term") == F.col("_term2")))
     rank = F.lit(KINDS.index("term"))
     return hits.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "share"))).alias("extra"))
 
 
 def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
+    """rows with extra, without the terms that a base span covers; null if none is left."""
     extra = extra.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "extra")
-    return rows.join(extra, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left").drop("_id2", "_h2")
+    rows = rows.join(extra, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left").drop("_id2", "_h2")
+    rows = rows.withColumn("extra", F.filter("extra", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+    return rows.withColumn("extra", F.when(F.size("extra") > 0, F.col("extra")))
 
 
 def find(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, spans (base) and extra (terms, null if none) for every document."""
     scratch = Scratch(spark, "pii")
     found = scratch.cut(detect(_key(docs), ["doc_id", "_id", "_h"]), "found").df
-    extra = scratch.cut(term_spans(found, disclosing(docs, found, support, generalise)), "extra").df
-    plain = found.filter(F.size("near") == 0).withColumn("extra", F.lit(None).cast(extra.schema["extra"].dataType))
-    return plain.unionByName(_with_extra(found.filter(F.size("near") > 0), extra)).select("doc_id", "spans", "extra")
+    extra = scratch.cut(term_spans(found, disclosing(scratch, docs, found, support, generalise)), "extra").df
+    plain = found.filter(F.size("entities") == 0).withColumn("extra", F.lit(None).cast(extra.schema["extra"].dataType))
+    return plain.select("doc_id", "spans", "extra").unionByName(_with_extra(found.filter(F.size("entities") > 0), extra).select("doc_id", "spans", "extra"))
 
 
 def _named(spans: Column) -> Column:
@@ -227,9 +221,9 @@ def sanitise(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, gener
     # the row travels as one column, so that its names meet no others
     maybe = docs.filter(maybe_any(F.col("text"))).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text")
     found = scratch.cut(detect(_key(maybe), ["_id", "_h"]), "found")
-    extra = scratch.cut(term_spans(found.df, disclosing(docs, found.df, support, generalise)), "extra").df
+    extra = scratch.cut(term_spans(found.df, disclosing(scratch, docs, found.df, support, generalise)), "extra").df
     found.drop()
-    here = _with_extra(detect(_key(maybe), ["row", "_id", "_h"]), extra)
+    here = _with_extra(detect(_key(maybe), ["row", "_id", "_h"], False), extra)
     spans = F.array_sort(F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lit(None).cast("double").alias("share"))), F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>"))))
     text = _replace(F.col("row.text"), spans, remove)
     changed = here.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns))

@@ -1,5 +1,6 @@
 """Edge cases that every operator has to define: nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
+import math
 import sys
 from collections import Counter
 from pathlib import Path
@@ -109,3 +110,21 @@ def test_targets_fill_up(spark):
     made = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(mixing.sizes(d)).collect()}
     assert made["s0"] == (510, 1020.0) and sum(t for _, t in made.values()) == pytest.approx(1.5 * 1620)
     assert {None, "s0", "s1"} == set(made) and all(t <= 2 * s for s, t in made.values())
+
+
+def test_disclosing_terms_anywhere(spark):
+    """A name far from the address goes wherever it stands in the address's documents, a short one too; others' texts stay."""
+    far = "things that people wrote about in general " * 5
+    rows = [(i, f"zanzibarite {far} and Ann wrote {far} bob@example.com {far} Zanzibarite") for i in range(6)] + [(i, f"{far} number {i}") for i in range(6, 60)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, docs(spark, rows)).collect()}
+    assert clean[0] == f" {far} and  wrote {far} [EMAIL] {far} " and clean[30] == rows[30][1]
+
+
+def test_disclosing_terms_of_few_documents(spark):
+    """Two documents in 200 are an estimate, though a cautious one; a term as often elsewhere is none."""
+    rows = [(i, "zanzibarite people bob@example.com") for i in range(2)] + [(i, f"things that people wrote in general {'quokka' if i < 6 else ''}") for i in range(2, 200)] + [(200, "quokka amy@example.com")]
+    found = {r["doc_id"]: r["extra"] for r in pii.find(spark, docs(spark, rows)).collect()}
+    (one,) = found[0]
+    ic, a = math.log2(201 / 2), 9 / 2**1.5
+    assert (one["start"], one["end"]) == (0, 11) and one["share"] == pytest.approx(1 + math.log2((2 + a * 2 / 201) / (2 + a)) / ic) and 0.75 <= one["share"] < 0.95
+    assert not found[200] and found[50] is None
