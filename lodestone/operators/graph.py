@@ -150,26 +150,34 @@ def cycles(edges: DataFrame, doublings: int = 6) -> DataFrame:
     return mutual.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).select("component", F.col("src").alias("id"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """component and id for every node, for graphs of any size: colours spread forward, then are claimed backward.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """component (its largest node) and id for every node, for graphs of any size: colours spread forward, then are claimed backward.
 
-    Each round settles every component whose largest node no larger one reaches; settled nodes leave the graph."""
+    Each round settles, in every colour, the component of the node that the colour comes from; settled nodes and edges
+    between colours leave the graph. Colours rank by hash, so that a chain falls apart at many places a round, however
+    its nodes are named. Rounds go on until no node is left."""
     left = _cut(edges.select("src", "dst").distinct())
     nodes = _cut(left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct())
     done = []
-    for _ in range(rounds):
-        if not nodes.take(1):
-            break
-        colour = _spread(nodes.withColumn("c", F.col("id")), left)
+    while nodes.take(1):
+        colour = _spread(nodes.withColumn("c", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("root"))), left)
         same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst")
-        claimed = _spread(colour.select("id", F.when(F.col("id") == F.col("c"), F.col("c")).alias("c")), reverse(same)).filter("c is not null")
+        same = _cut(same)
+        claimed = _spread(colour.select("id", F.when(F.col("id") == F.col("c.root"), F.col("c")).alias("c")), reverse(same)).filter("c is not null")
         claimed = _cut(claimed)
-        done.append(claimed.select(F.col("c").alias("component"), "id"))
-        nodes = _cut(nodes.join(claimed, "id", "left_anti"))
-        left = _cut(left.join(claimed.select(F.col("id").alias("src")), "src", "left_anti").join(claimed.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        largest = claimed.groupBy("c").agg(F.max("id").alias("component"))
+        done.append(_cut(claimed.join(largest, "c").select("component", "id")))
+        nodes = _fresh(_cut(nodes.join(claimed, "id", "left_anti")))
+        left = _fresh(_cut(same.join(claimed.select(F.col("id").alias("src")), "src", "left_anti").join(claimed.select(F.col("id").alias("dst")), "dst", "left_anti")))
     return reduce(DataFrame.unionByName, done) if done else nodes.select(F.col("id").alias("component"), "id")
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """A cut table without the size estimate of its plan: joined to itself each round, that number's digits would double."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node's largest label among those that reach it."""
     before = None

@@ -5,7 +5,7 @@ import re
 
 import pytest
 from lodestone.functions import sanitize
-from lodestone.operators import vector
+from lodestone.operators import graph, vector
 from lodestone.plans import registry
 
 
@@ -73,3 +73,11 @@ def test_strict_cleaning_of_whole_texts(spark, tmp_path):
     made = {r["id"]: r["clean"] for r in registry.queries()["strict_clean"](spark, str(tmp_path)).collect()}
     assert made == {i: clean(f"{t} (select)=drop, s/en/doc_{i}.md") for i, t in enumerate(texts)}
     assert "etc" in made[0] and "drop" not in made[0] and "tail" in made[3]
+
+
+def test_strong_components_of_many_levels(spark):
+    """56 nodes, each with edges to all of lower names, and a cycle at the far end: by falling names one settles a round."""
+    names = [f"n{i:02}" for i in range(56)]
+    edges = spark.createDataFrame([*((a, b) for a in names for b in names if a > b), ("n00", "n01")], "src string, dst string")
+    made = sorted(tuple(r) for r in graph.strong_components(edges).select("id", "component").collect())
+    assert made == sorted((n, "n01" if n == "n00" else n) for n in names)
