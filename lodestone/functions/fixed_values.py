@@ -151,3 +151,6 @@ RELATION_LABELS = {
 WORD_VERBS = {"uses": "Uses", "contains": "Contains"}
 WORD_IMPACTS = {"uses": "Usage Impact", "contains": "Containment Impact", "parameter": "Parameter Impact", "exception": "Exception Impact"}
 OTHER_VERB, OTHER_IMPACT = "Has custom relationship with", "Custom Relationship Impact"
+
+# Types of a standard library that a bare name may mean.
+STD_TYPES = ("String", "Vec", "HashMap", "Option", "Result")

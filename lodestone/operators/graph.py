@@ -1,7 +1,7 @@
 """Relationship queries over a directed multigraph: nodes(id, ...) and edges(src, dst, relation, ...).
 
 Bounded traversals are unrolled joins that keep one row for each node and level, so plans stay lazy and their size is
-the depth asked for. Open-ended ones (components) iterate with tables cut by checkpoint().
+the depth asked for. Open-ended ones (components) iterate with tables cut off from their lineage in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,18 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import OTHER_IMPACT, OTHER_VERB, RELATION_LABELS, RELATIONS, WORD_IMPACTS, WORD_VERBS
-
-#: Where the session names no checkpoint folder, as in tests.
-LOCAL_CHECKPOINTS = "file:///tmp/lodestone-checkpoints"
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return df.checkpoint()
-
+from ..functions.fixed_values import OTHER_IMPACT, OTHER_VERB, RELATION_LABELS, RELATIONS, STD_TYPES, WORD_IMPACTS, WORD_VERBS
+from ..sources.shared import cut
 
 def reverse(edges: DataFrame) -> DataFrame:
     turned = {"src": "dst", "dst": "src"}
@@ -57,18 +47,26 @@ def risk(count: Column) -> Column:
     return F.when(count <= 5, "low").when(count <= 20, "medium").when(count <= 50, "high").otherwise("critical")
 
 
-def call_chain(edges: DataFrame, source: DataFrame, target: DataFrame, depth: int = 10) -> DataFrame:
-    """The shortest path (array of ids) from source's nodes to each of target's; the smallest of equal ones."""
-    step = edges.select("src", "dst").filter("src <> dst").distinct()
-    front = source.select(F.col("id").alias("at"), F.array("id").alias("path"))
-    found = []
-    for d in range(1, depth + 1):
-        nxt = front.join(step, front["at"] == step["src"]).filter(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        front = nxt.groupBy("at").agg(F.min("path").alias("path"))
-        found.append(front.withColumn("hops", F.lit(d)))
-    all_ = reduce(DataFrame.unionByName, found).join(target.select(F.col("id").alias("at")), "at", "left_semi")
-    best = all_.groupBy("at").agg(F.min(F.struct("hops", "path")).alias("b"))
-    return best.select(F.col("at").alias("id"), "b.hops", "b.path")
+def call_chain(edges: DataFrame, source: DataFrame, target: DataFrame, depth: int | None = None) -> DataFrame:
+    """The shortest path (array of ids) from source's nodes to each of target's; the smallest of equal ones.
+
+    Levels go on until every target is found or no node is new, however long the chains are; depth, if given, is the
+    most edges that are asked for. A node keeps one path, for one level; what has been passed keeps its id alone."""
+    step = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    ends = target.select(F.col("id").alias("at")).distinct()
+    front = cut(source.select(F.col("id").alias("at"), F.array("id").alias("path")).dropDuplicates(["at"]))
+    seen, left, found = cut(front.select("at")), cut(ends), []
+    d = 0
+    while (depth is None or d < depth) and left.take(1):
+        d += 1
+        nxt = front.join(step, front["at"] == step["src"]).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        front = cut(nxt.groupBy("at").agg(F.min("path").alias("path")).join(seen, "at", "left_anti"))
+        if not front.take(1):
+            break
+        found.append(front.join(left, "at", "left_semi").select(F.col("at").alias("id"), F.lit(d).alias("hops"), "path"))
+        left = cut(left.join(front.select("at"), "at", "left_anti"))
+        seen = cut(seen.unionByName(front.select("at")))
+    return reduce(DataFrame.unionByName, found) if found else front.limit(0).select(F.col("at").alias("id"), F.lit(0).alias("hops"), "path")
 
 
 def impact_paths(edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
@@ -83,19 +81,31 @@ def impact_paths(edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFr
     return seen.filter("hops > 0").select(F.col("at").alias("id"), "hops", "path")
 
 
-def max_depth(nodes: DataFrame, edges: DataFrame) -> int:
-    """The longest of the shortest ways from a root (a node that nothing points to).
+def _starts(nodes: DataFrame, edges: DataFrame, step: DataFrame, roots: bool) -> DataFrame:
+    """Searches (root, id at level 1): of nodes that point to the same nodes one is enough, since nothing leads back to a
+    root. The sets are compared by two sums of hashes and their size, so that none is gathered."""
+    if not roots:
+        return step.select(F.col("src").alias("root"), F.col("dst").alias("id"))
+    first = step.join(unused(nodes, edges).select(F.col("id").alias("src")), "src", "left_semi")
+    wide = "decimal(38,0)"
+    sets = first.groupBy("src").agg(F.sum(F.xxhash64("dst").cast(wide)).alias("x"), F.sum(F.xxhash64("dst", F.lit(1)).cast(wide)).alias("y"), F.count("*").alias("n"))
+    one = sets.groupBy("x", "y", "n").agg(F.min("src").alias("src")).select("src")
+    return first.join(one, "src", "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("id"))
 
-    Each round keeps a row for each root and node that it newly reaches, and ends when none is new."""
-    step = _cut(edges.select("src", "dst").distinct())
-    front = unused(nodes, edges).select(F.col("id").alias("root"), "id")
-    seen, depth = _cut(front), 0
-    front = seen
-    while True:
-        front = _cut(front.join(step, front["id"] == step["src"]).select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti"))
-        if not front.take(1):
-            return depth
-        seen, depth = _cut(seen.unionByName(front)), depth + 1
+
+def max_depth(nodes: DataFrame, edges: DataFrame, roots: bool = True) -> int:
+    """The longest of the shortest ways from a root (a node that nothing points to), or with roots=False from any node.
+
+    Each round keeps a row for each search and node that it newly reaches, and ends when none is new."""
+    step = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    front = cut(_starts(nodes, edges, step, roots))
+    seen, depth = front, 0
+    while front.take(1):
+        depth += 1
+        new = front.join(step, front["id"] == step["src"]).select("root", F.col("dst").alias("id")).filter("id <> root").distinct()
+        front = cut(new.join(seen, ["root", "id"], "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return depth
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,6 +115,21 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.select("nodes", "edges", (F.col("edges") / F.col("nodes")).alias("mean_out"), "strong", F.lit(max_depth(nodes, edges)).alias("depth"))
 
 
+def bridge_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row over nodes (id, file) and edges: as graph_stats(), but strong counts every strong component, one of a single
+    node too, depth is from any node, and imports are the edges between different files. Depth has a row a pair of nodes
+    that reach each other: for graphs of a repository's size."""
+    here = nodes.select(F.col("id").alias("src"), F.col("file").alias("f"))
+    there = nodes.select(F.col("id").alias("dst"), F.col("file").alias("g"))
+    imports = edges.join(here, "src").join(there, "dst").filter(~F.col("f").eqNullSafe(F.col("g"))).agg(F.count("*").alias("imports"))
+    strong = strong_components(edges)
+    lone = nodes.select("id").join(strong.select("id"), "id", "left_anti").agg(F.count("*").alias("lone"))
+    loops = strong.agg(F.countDistinct("component").alias("strong"))
+    counts = nodes.agg(F.count("*").alias("nodes"), F.countDistinct("file").alias("files")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(imports).crossJoin(loops).crossJoin(lone)  # one row each
+    mean = F.when(F.col("nodes") > 0, F.col("edges") / F.col("nodes")).otherwise(0.0)
+    return counts.select("nodes", "edges", "files", "imports", (F.col("strong") + F.col("lone")).alias("strong"), F.lit(max_depth(nodes, edges, roots=False)).alias("depth"), mean.alias("mean_out"))
+
+
 def limited(rows: DataFrame, order: list, limit: int) -> DataFrame:
     """The first rows, each with truncated: whether there are more."""
     total = rows.agg((F.count("*") > limit).alias("truncated"))
@@ -134,56 +159,57 @@ def simple_paths(edges: DataFrame, source: DataFrame, target: DataFrame, depth:
     return out if limit is None else out.orderBy("length", "path").limit(limit)
 
 
-def closure(edges: DataFrame, doublings: int = 6) -> DataFrame:
-    """src, dst for every pair joined by a path of up to 2 ** doublings edges. For small graphs: it has a row a pair."""
-    pairs = edges.select("src", "dst").distinct()
-    for _ in range(doublings):
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst for every pair joined by a path of any length. It has a row a pair: for small graphs alone."""
+    pairs, before = cut(edges.select("src", "dst").distinct()), -1
+    while (now := pairs.count()) != before:
         more = pairs.select("src", F.col("dst").alias("m")).join(pairs.select(F.col("src").alias("m"), "dst"), "m").select("src", "dst")
-        pairs = _cut(pairs.unionByName(more).distinct())
+        pairs, before = cut(pairs.unionByName(more).distinct()), now
     return pairs
 
 
-def cycles(edges: DataFrame, doublings: int = 6) -> DataFrame:
-    """component (its smallest node) and id, for strongly connected components of two nodes or more."""
-    reach = closure(edges, doublings).filter("src <> dst")
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return mutual.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).select("component", F.col("src").alias("id"))
+def cycles(edges: DataFrame) -> DataFrame:
+    """component (its smallest node) and id, for strongly connected components of two nodes or more, of any length."""
+    strong = strong_components(edges)
+    named = strong.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return strong.join(named, "component").select(F.col("least").alias("component"), "id")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """component (its largest node) and id for every node, for graphs of any size: colours spread forward, then are claimed backward.
-
-    Each round settles, in every colour, the component of the node that the colour comes from; settled nodes and edges
-    between colours leave the graph. Colours rank by hash, so that a chain falls apart at many places a round, however
-    its nodes are named. Rounds go on until no node is left."""
-    left = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct())
-    done = []
+    """component (its largest node) and id for every node, for graphs of any size.
+
+    Nodes rank by hash, so that a chain falls apart at many places a round, however its nodes are named. Each round finds
+    for every node the greatest rank that reaches it and the greatest that it reaches. Where both are one, that node's
+    component is whole and leaves; edges between nodes whose pairs differ are in no cycle and leave too. Nodes without
+    edges in and out are components of their own. Rounds go on until no node is left."""
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    nodes, left, done = cut(ids), cut(edges.select("src", "dst").filter("src <> dst").distinct()), []
     while nodes.take(1):
-        colour = _spread(nodes.withColumn("c", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("root"))), left)
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst")
-        same = _cut(same)
-        claimed = _spread(colour.select("id", F.when(F.col("id") == F.col("c.root"), F.col("c")).alias("c")), reverse(same)).filter("c is not null")
-        claimed = _cut(claimed)
-        largest = claimed.groupBy("c").agg(F.max("id").alias("component"))
-        done.append(_cut(claimed.join(largest, "c").select("component", "id")))
-        nodes = _fresh(_cut(nodes.join(claimed, "id", "left_anti")))
-        left = _fresh(_cut(same.join(claimed.select(F.col("id").alias("src")), "src", "left_anti").join(claimed.select(F.col("id").alias("dst")), "dst", "left_anti")))
+        inner = cut(left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")), "id", "left_semi"))
+        done.append(cut(nodes.join(inner, "id", "left_anti").select(F.col("id").alias("component"), "id")))
+        left = cut(left.join(inner.select(F.col("id").alias("src")), "src", "left_semi").join(inner.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        own = inner.withColumn("c", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("root")))
+        both = cut(_spread(own, left).join(_spread(own, reverse(left)).withColumnRenamed("c", "b"), "id"))
+        whole = both.filter("c = b")
+        done.append(cut(whole.join(whole.groupBy("c").agg(F.max("id").alias("component")), "c").select("component", "id")))
+        rest = both.filter("c <> b")
+        here, there = rest.select(F.col("id").alias("src"), "c", "b"), rest.select(F.col("id").alias("dst"), F.col("c").alias("c2"), F.col("b").alias("b2"))
+        left = cut(left.join(here, "src").join(there, "dst").filter("c = c2 and b = b2").select("src", "dst"))
+        nodes = cut(rest.select("id"))
     return reduce(DataFrame.unionByName, done) if done else nodes.select(F.col("id").alias("component"), "id")
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """A cut table without the size estimate of its plan: joined to itself each round, that number's digits would double."""
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
-
-
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node's largest label among those that reach it."""
+    """Each node's largest label among those that reach it.
+
+    What reaches the root of a node's label reaches the node, so labels also jump to their root's label: a long chain
+    takes rounds in the logarithm of its length."""
     before = None
     while True:
         sent = edges.join(labels.select(F.col("id").alias("src"), "c"), "src").select(F.col("dst").alias("id"), "c")
-        labels = _cut(labels.unionByName(sent).groupBy("id").agg(F.max("c").alias("c")))
+        higher = labels.select("c").distinct().join(labels.select(F.col("id").alias("r"), F.col("c").alias("up")), F.col("c.root") == F.col("r")).filter("up > c").select("c", "up")
+        jumped = labels.join(higher, "c").select("id", F.col("up").alias("c"))
+        labels = cut(labels.unionByName(sent).unionByName(jumped).groupBy("id").agg(F.max("c").alias("c")))
         now = labels.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels
@@ -193,13 +219,13 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component (its smallest node), by labels that jump to their own label's label."""
     both = edges.select("src", "dst").unionByName(reverse(edges).select("src", "dst")).distinct()
-    labels, before = _cut(nodes.select("id", F.col("id").alias("c"))), None
-    both = _cut(both)
+    labels, before = cut(nodes.select("id", F.col("id").alias("c"))), None
+    both = cut(both)
     while True:
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "c")
         least = labels.unionByName(near).groupBy("id").agg(F.min("c").alias("c"))
         jumped = least.join(labels.select(F.col("id").alias("c"), F.col("c").alias("c2")), "c", "left").select("id", F.least("c", "c2").alias("c"))
-        labels = _cut(jumped)
+        labels = cut(jumped)
         now = labels.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.select("id", F.col("c").alias("component"))
@@ -244,6 +270,20 @@ def update_edges(edges: DataFrame, where: Column, relation: str) -> DataFrame:
     return edges.withColumn("relation", F.when(where, relation).otherwise(F.col("relation")))
 
 
+def insert_nodes(nodes: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Nodes with new ones; of those with one id the last by order stays, an old one only where no new one has its id."""
+    latest = F.max(F.struct(F.col("_new"), F.col(order), F.struct(*nodes.columns).alias("row")))["row"].alias("row")
+    both = nodes.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy("id").agg(latest).select("row.*")
+
+
+def insert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with new ones between known nodes; a multigraph, so equal edges stand side by side."""
+    ids = nodes.select("id").distinct()
+    known = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.unionByName(known.select(*edges.columns))
+
+
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without gone's nodes (id) and every edge at them."""
     ids = gone.select("id")
@@ -252,26 +292,76 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
 
 
 def containers(refs: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each reference (ref, file, line) the narrowest of spans (id, file, start, end) around it; null if none."""
-    inside = refs.join(spans, "file").filter(F.col("line").between(F.col("start"), F.col("end")))
+    """For each reference (ref, file, line) the narrowest of spans (id, file, start, end) around it; null if none.
+
+    A span's level is the logarithm of its width; it lies in the one or two cells of 2 ** level lines that hold its ends.
+    A line asks its cell on each level that occurs, so a pair meets only where span and line are about as near as the
+    span is wide, however many spans a file has."""
+    level = F.ceil(F.log2((F.col("end") - F.col("start") + 1).cast("double"))).cast("int")
+    cut = spans.filter(F.col("end") >= F.col("start")).select("id", "file", "start", "end", level.alias("level"))
+    dealt = cut.withColumn("cell", F.explode(F.expr("array_distinct(array(shiftright(cast(start as bigint), level), shiftright(cast(end as bigint), level), shiftright(cast(start as bigint), level) + 1))"))).filter(F.expr("cell <= shiftright(cast(end as bigint), level)"))
+    levels = cut.agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one row of at most 64 numbers
+    asked = refs.filter("line is not null").crossJoin(F.broadcast(levels)).select("ref", "file", "line", F.explode("levels").alias("level")).withColumn("cell", F.expr("shiftright(cast(line as bigint), level)"))
+    inside = asked.join(dealt, ["file", "level", "cell"]).filter(F.col("line").between(F.col("start"), F.col("end")))
     best = inside.groupBy("ref").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "id"))["id"].alias("container"))
     return refs.join(best, "ref", "left")
 
 
-def resolve(refs: DataFrame, names: DataFrame) -> DataFrame:
-    """For each reference (ref, name) a symbol (id, qualified): an exact name first, then the shortest that ends in it."""
-    simple = F.element_at(F.split("qualified", "::"), -1)
-    exact = refs.join(names, F.col("name") == F.col("qualified")).select("ref", F.lit(0).alias("p"), F.length("qualified").alias("n"), "qualified", "id")
-    suffix = refs.join(names.withColumn("last", simple), F.element_at(F.split("name", "::"), -1) == F.col("last")).filter(F.col("qualified").endswith(F.concat(F.lit("::"), F.col("name"))))
-    suffix = suffix.select("ref", F.lit(1).alias("p"), F.length("qualified").alias("n"), "qualified", "id")
-    best = exact.unionByName(suffix).groupBy("ref").agg(F.min(F.struct("p", "n", "qualified", "id")).alias("b"))
-    return refs.join(best.select("ref", F.col("b.id").alias("target"), F.when(F.col("b.p") == 0, "exact").otherwise("suffix").alias("how")), "ref", "left")
-
-
-def build_edges(refs: DataFrame, spans: DataFrame, names: DataFrame) -> DataFrame:
+#: Parts that a name many references use is dealt in.
+SALT = 16
+
+
+def resolve(refs: DataFrame, names: DataFrame, imports: DataFrame | None = None, avoid_tests: bool = False) -> DataFrame:
+    """For each reference (ref, name) a symbol (id, qualified): an exact name first, then by the imports of its file, then a
+    standard type, then the shortest name that ends in it (with avoid_tests those outside test and example modules first).
+
+    imports(file, path, items, alias, wildcard) needs refs to have a file. A name keeps its best symbol before references
+    meet it, and what many references share is dealt in SALT parts, so no key gathers references times symbols."""
+    named = names.groupBy("qualified").agg(F.min("id").alias("id"))
+    cuts = F.split("qualified", "::")
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(cuts), F.lit(2))), lambda i: F.array_join(F.slice(cuts, i, F.size(cuts)), "::"))
+    test = F.col("qualified").rlike("::(test|example)") if avoid_tests else F.lit(False)
+    ends = named.filter(F.size(cuts) > 1).select(F.explode(tails).alias("name"), F.struct(test.alias("t"), F.length("qualified").alias("n"), "qualified", "id").alias("b"))
+    ends = ends.groupBy("name").agg(F.min("b").alias("b")).select("name", F.lit(3).alias("p"), F.col("b.qualified").alias("qualified"), F.col("b.id").alias("id"))
+    full = named.select(F.col("qualified").alias("name"), F.lit(0).alias("p"), "qualified", "id")
+    std = named.join(F.broadcast(refs.sparkSession.createDataFrame([(t, f"std::{t}") for t in STD_TYPES], "name string, qualified string")), "qualified").select("name", F.lit(2).alias("p"), "qualified", "id")
+    known = full.unionByName(std).unionByName(ends).groupBy("name").agg(F.min(F.struct("p", "qualified", "id")).alias("b"))
+    asked = refs.select("ref", "name", F.pmod(F.xxhash64("ref"), F.lit(SALT)).alias("salt"))
+    used = known.join(refs.select("name").distinct(), "name", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    found = asked.join(used, ["name", "salt"]).select("ref", F.col("b.p").alias("p"), F.col("b.id").alias("id"))
+    if imports is not None:
+        way = _imported(refs, imports)
+        salted = named.select("qualified", "id").join(way.select("qualified").distinct(), "qualified", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+        by_import = way.withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(SALT))).join(salted, ["qualified", "salt"])
+        found = found.unionByName(by_import.groupBy("ref").agg(F.min(F.struct("at", "qualified", "id")).alias("b")).select("ref", F.lit(1).alias("p"), F.col("b.id").alias("id")))
+    best = found.groupBy("ref").agg(F.min(F.struct("p", "id")).alias("b"))
+    how = F.get(F.array(*map(F.lit, ("exact", "import", "standard", "suffix"))), F.col("b.p"))
+    return refs.join(best.select("ref", F.col("b.id").alias("target"), how.alias("how")), "ref", "left")
+
+
+def _imported(refs: DataFrame, imports: DataFrame) -> DataFrame:
+    """ref, at (the import's line) and the qualified name that an import of its file makes of a reference's name.
+
+    An import says under which first word its names go: its items, its alias, the last word of its path, or any (*)."""
+    word, path = F.substring_index("name", "::", 1), F.col("path")
+    base = F.regexp_replace(path, r"(::)?\*?$", "")
+    entry = lambda w, rest: F.struct(w.alias("word"), rest.alias("to"))
+    # to: what stands for the first word
+    items = F.transform("items", lambda i: entry(i, F.concat(path, F.lit("::"), i)))
+    last = F.array(entry(F.element_at(F.split(path, "::"), -1), path))
+    alias = F.when(F.col("alias").isNotNull(), F.array(entry(F.col("alias"), path))).otherwise(F.array_except(last, last))
+    ways = imports.filter("not wildcard").select("file", F.col("line").alias("at"), F.explode(F.concat(F.coalesce(items, F.array_except(last, last)), alias, last)).alias("e")).select("file", "at", "e.*").distinct()
+    rest = F.expr("substring(name, length(substring_index(name, '::', 1)) + 1, length(name))")
+    asked = refs.select("ref", "file", "name", word.alias("word"))
+    plain = asked.join(ways, ["file", "word"]).select("ref", "at", F.concat("to", rest).alias("qualified"))
+    stars = imports.filter("wildcard").select("file", F.col("line").alias("at"), base.alias("base")).distinct()
+    return plain.unionByName(asked.join(stars, "file").select("ref", "at", F.concat("base", F.lit("::"), "name").alias("qualified")))
+
+
+def build_edges(refs: DataFrame, spans: DataFrame, names: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """src, dst, relation: references with the symbol around them and the symbol they name, without self edges."""
     placed = containers(refs, spans).select("ref", "container", "relation")
-    aimed = resolve(refs, names).select("ref", "target")
+    aimed = resolve(refs, names, imports).select("ref", "target")
     return placed.join(aimed, "ref").filter("container is not null and target is not null and container <> target").select(F.col("container").alias("src"), F.col("target").alias("dst"), "relation")
 
 

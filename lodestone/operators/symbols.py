@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import CODE_PATTERNS, PRIMITIVE_TYPES, SIGNATURE_TYPES, SYMBOL_CODES
 from ..functions.paths import any_of, wildcard
 from ..functions.text import tokenize
+from ..sources.shared import cut
 
 
 def _letters(x: Column) -> Column:
@@ -179,13 +180,15 @@ def parents(spans: DataFrame) -> DataFrame:
     return spans.join(best, "id", "left")
 
 
-def qualified(nested: DataFrame, depth: int = 5) -> DataFrame:
-    """parents()'s rows with a name each, and qualified: the names from the outermost of up to depth levels, by ::."""
-    up = nested.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("parent").alias("_up"))
-    out = nested.withColumn("qualified", F.col("name")).withColumn("_at", F.col("parent"))
-    for _ in range(depth):
-        out = out.join(up, F.col("_at") == F.col("_id"), "left").withColumn("qualified", F.concat_ws("::", "_name", "qualified")).withColumn("_at", F.col("_up")).drop("_id", "_name", "_up")
-    return out.drop("_at")
+def qualified(nested: DataFrame) -> DataFrame:
+    """parents()'s rows with a name each, and qualified: the names from the outermost level on, by ::, however deep.
+
+    Each round doubles the levels that are joined: a name so far, and the symbol above it."""
+    at = cut(nested.select("id", F.col("name").alias("qualified"), F.col("parent").alias("up")))
+    while at.filter("up is not null").take(1):
+        above = at.select(F.col("id").alias("up"), F.col("qualified").alias("q"), F.col("up").alias("next"))
+        at = cut(at.join(above, "up", "left").select("id", F.concat_ws("::", "q", "qualified").alias("qualified"), F.col("next").alias("up")))
+    return nested.join(at.select("id", "qualified"), "id")
 
 
 def any_term(symbols: DataFrame, terms: list[str], limit: int = 100) -> DataFrame:

@@ -45,7 +45,7 @@ def _spans(spark, sf_dir):
 
 
 def nested_symbols(spark, sf_dir):
-    return S.qualified(S.parents(_spans(spark, sf_dir)), 3).select("id", "parent", "qualified")
+    return S.qualified(S.parents(_spans(spark, sf_dir))).select("id", "parent", "qualified")
 
 
 def file_symbols(spark, sf_dir):

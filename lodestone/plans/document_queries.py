@@ -128,6 +128,6 @@ ORACLE = {
     "upsert_latest": f"WITH {_SMALL} SELECT id, CASE WHEN size * 2 % 5000 >= size THEN 'new' ELSE path END AS path, greatest(size * 2 % 5000, size) AS size FROM d",
     "delete_anti": f"WITH {_SMALL} SELECT * FROM d WHERE size >= 800",
     "incremental_changes": f"WITH {_SMALL} SELECT id, path, CASE WHEN id % 10 = 1 THEN 1 ELSE size END AS size FROM d WHERE id % 10 <> 2",
-    "change_sets": "SELECT event_id, 'a' || event_id % 7 || ',b' AS added, 'm' || user_id AS modified, NULL::VARCHAR AS removed FROM events WHERE event_id < 500",
+    "change_sets": "SELECT event_id, 'a' || event_id % 7 || ',b' AS added, 'm' || user_id AS modified, NULL::VARCHAR AS removed FROM events",
     "front_matter": f"WITH {DOCS} SELECT id, sha256('---' || chr(10) || 'tags:' || chr(10) || '- ' || tags[1] || chr(10) || '- ' || tags[2] || chr(10) || '---' || chr(10) || content) AS sha256, tags[1] || ',' || tags[2] AS tags FROM docs",
 }

@@ -35,7 +35,7 @@ def risk_levels(spark, sf_dir):
 
 
 def call_chain(spark, sf_dir):
-    found = graph.call_chain(model.dag(spark, sf_dir), _ids(spark, "p12"), _ids(spark, "r0", "r1", "r2", "r3", "r4"), 4)
+    found = graph.call_chain(model.dag(spark, sf_dir), _ids(spark, "p12"), _ids(spark, "r0", "r1", "r2", "r3", "r4"))
     return found.select("id", "hops", F.array_join("path", ">").alias("path"))
 
 

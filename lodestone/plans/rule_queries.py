@@ -27,7 +27,7 @@ def _pick_sql(values, by) -> str:
 def path_aware_clean(spark, sf_dir):
     c = model.table(spark, sf_dir, "conversations")
     joined = F.when(F.col("turn") % 3 == 0, F.regexp_replace("text", " ", "/")).otherwise(F.col("text"))
-    return c.filter(F.octet_length("text") <= sanitize.QUERY_BYTES).select("conv_id", "turn", sanitize.path_aware(joined).alias("clean"))
+    return c.select("conv_id", "turn", sanitize.path_aware(joined).alias("clean"))
 
 
 def strict_clean(spark, sf_dir):
@@ -215,11 +215,11 @@ _LANGUAGE = "CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) " + " ".join(f"W
 _DESCRIBED = _case("kind", {k: v[1] for k, v in RELATIONS.items()}, "'references'")
 _LOW = "length({c}) - length(replace(lower({c}), 'tion', ''))"
 ORACLE = {
-    "path_aware_clean": f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN replace(text, ' ', '/') ELSE text END AS raw FROM conversations WHERE strlen(text) <= 1024),
+    "path_aware_clean": f"""WITH a AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN replace(text, ' ', '/') ELSE text END AS raw FROM conversations),
         b AS (SELECT *, {_clean_sql("raw", ())} AS x FROM a), c AS (SELECT *, regexp_replace(x, '{_SQL}', '', 'g') AS y FROM b),
-        d AS (SELECT *, CASE WHEN contains(y, '/') THEN y ELSE regexp_replace(y, '{_STEPS[1][0]}', '', 'g') END AS z FROM c), e AS (SELECT conv_id, turn, {_clean_sql("z", _STEPS[-2:])} AS x FROM d)
-        SELECT conv_id, turn, CASE WHEN len(list_filter(string_split(x, ' '), lambda t: strlen(t) BETWEEN 1 AND 100)) > 0 THEN x ELSE '*' END AS clean FROM e""",
-    "strict_clean": f"WITH {DOCS}, r AS (SELECT id, substring(content, 1, 60) || ' (select)=drop, ' || path AS raw FROM docs) SELECT id, {_clean_sql('raw', sanitize.STEPS + sanitize.STRICT_STEPS + sanitize.LAST_STEPS)} AS clean FROM r",
+        d AS (SELECT *, CASE WHEN contains(y, '/') THEN y ELSE regexp_replace(y, '{_STEPS[1][0]}', '', 'g') END AS z FROM c), e AS (SELECT conv_id, turn, text, {_clean_sql("z", _STEPS[-2:])} AS x FROM d)
+        SELECT conv_id, turn, CASE WHEN strlen(text) > 1024 THEN NULL WHEN len(list_filter(string_split(x, ' '), lambda t: strlen(t) BETWEEN 1 AND 100)) > 0 THEN x ELSE '*' END AS clean FROM e""",
+    "strict_clean": f"WITH {DOCS}, r AS (SELECT id, content || ' (select)=drop, ' || path AS raw FROM docs) SELECT id, {_clean_sql('raw', sanitize.STEPS + sanitize.STRICT_STEPS + sanitize.LAST_STEPS)} AS clean FROM r",
     "tag_rules": f"WITH t AS (SELECT o_orderkey AS id, {_pick_sql(TAGS, 'o_orderkey')} AS tag FROM orders) SELECT id, CASE WHEN strlen(tag) <= 50 AND regexp_full_match(tag, '[\\p{{L}}\\p{{N}}_-]*') THEN lower(tag) END AS clean, trim(tag) <> '' AND strlen(tag) < 128 AND regexp_full_match(tag, '[\\p{{L}}\\p{{N}}_ -]*') AS valid FROM t",
     "validate_documents": f"WITH {DOCS} SELECT id, array_to_string(list_filter([CASE WHEN id % 7 = 0 THEN 'title' END, CASE WHEN id % 5 = 0 THEN 'tags' END, CASE WHEN size >= 104857600 THEN 'size' END, CASE WHEN id % 11 = 0 THEN 'updated' END], lambda x: x IS NOT NULL), ',') AS problems FROM docs",
     "settings_merge": f"""WITH {MEASUREMENTS} SELECT id, CASE WHEN id % 4 = 0 THEN 'next' WHEN id % 3 = 0 THEN 'main' WHEN id % 3 = 1 THEN 'dev' END AS branch, CASE WHEN id % 4 = 2 THEN '1' END AS extra,

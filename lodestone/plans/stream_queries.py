@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.graph import LOCAL_CHECKPOINTS
+from ..sources.shared import shared_dir
 from ..streaming import streams
 from . import model
 from .model import MEASUREMENTS
@@ -24,8 +24,7 @@ def _plain(df):
 
 
 def _read(spark, stream, mode):
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return _plain(streams.collected(stream, mode, f"{root}/streams/{uuid.uuid4().hex}"))
+    return _plain(streams.collected(stream, mode, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"))
 
 
 def stream_windows(spark, sf_dir):
