@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the cluster names no checkpoint folder, as in tests.
-LOCAL_CHECKPOINTS = "file:///tmp/lodestone-checkpoints"
+from ..sources.shared import shared_dir
+
 #: Rows whose texts are held as Python objects at once.
 SLICE = 256
 
@@ -19,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
 class Scratch:
     """Tables written below the shared folder, so that a lost executor costs no more than its own tasks.
 
@@ -64,6 +59,22 @@ def remove(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that join_hot() broadcasts at most.
+HOT = 4096
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """rows joined to unique, which has one row for each value of keys, with n: how many of the rows have it.
+
+    No more than HOT values can have over total / HOT rows each. Those are broadcast; the others meet by hash, where one
+    value cannot give a task more than that share."""
+    few = F.col(n) <= total // HOT
+    hot = unique.filter(~few).select(*keys, F.struct(*(c for c in unique.columns if c not in keys)).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    met = marked.filter("_hot is not null").select(*rows.columns, "_hot.*")
+    return met.unionByName(marked.filter("_hot is null").drop("_hot").join(unique.filter(few), keys))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

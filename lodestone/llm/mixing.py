@@ -7,11 +7,12 @@ and a fraction. Fractions are rounded by pivots: two documents compare, one pass
 to the other as either can give or hold, the way drawn so that expectations stay, and at least one of them becomes
 whole. Each chunk of documents leaves one residual; residuals meet in the chunks of the next level, so a source of n
 documents needs log(n) small levels and no task ever holds more than a chunk. The one item left at the top goes to the
-nearer whole, so a source misses its target by half of one item's words at most.
+nearer whole, so a source misses its target by half of one document's words at most.
 
 Draws are hashes of document keys, so reruns agree whatever the partitioning. Null or empty texts have size 0 and are
-never taken. Rows that agree in doc_id, source and text are rounded as one item and share its copies. A null source is
-a source. An empty table gives an empty result; extra columns are ignored by plan() and kept by mix().
+never taken. Of rows that agree in doc_id, source and text as many take one copy more as their fractions add up to; what
+is left of one row's fraction is rounded like any other, so repeats never make an item heavier than one row. A null
+source is a source. An empty table gives an empty result; extra columns are ignored by plan() and kept by mix().
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, table
+from .common import Scratch, join_hot, n_words, table
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Items that are rounded together; and their least number for another level.
 CHUNK = 64
 SEED = 20_241
+#: Numbers that one row is spread to at once.
+SPREAD = 65_536
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -91,23 +94,30 @@ def _level(fractions: DataFrame) -> DataFrame:
     return chunks.select("source", "chunk", F.aggregate("items", start.cast(_STATE), _pivot).alias("s")).select("source", "chunk", "s.*")
 
 
+def _source_key(source: str = "source") -> Column:
+    """A key that is never null, for joins."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
 def plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, source, h, size, rows, source_size, target and copies (of each of its rows), one row for each item."""
+    """doc_id, source, h, size, rows, source_size, target, whole and more, one row for each item: more of its rows are
+    taken whole + 1 times, the others whole times."""
     scratch = Scratch(spark, "mix")
     items = scratch.cut(sizes(docs), "items").df
     per = scratch.cut(targets(items, weights, share, cap), "targets").df
+    counts = per.agg(F.sum("n").alias("items"), F.max("n").alias("most")).first()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = items.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    joined = joined.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
+    named = per.select(_source_key().alias("_k"), "source_size", "target", "n")
+    joined = join_hot(items.withColumn("_k", _source_key()), named, ["_k"], counts["items"] or 0).drop("_k")
+    joined = joined.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("all", (F.col("rate") - F.col("whole")) * F.col("rows"))
+    joined = joined.withColumn("sure", F.floor("all")).withColumn("p", F.col("all") - F.col("sure"))
     joined = joined.withColumn("key", F.xxhash64("doc_id", "source", "h"))
-    # an item's mass counts all its rows; ties between equal keys are broken by h
-    weight = F.col("size") * F.col("rows")
-    fractional = (F.col("p") > 0) & (weight > 0)
+    # ties between equal keys are broken by h
+    fractional = (F.col("p") > 0) & (F.col("size") > 0)
     n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk))
-    level = joined.filter(fractional).select("source", n_chunks.alias("chunks"), F.pmod(F.xxhash64("key", F.lit(SEED)), n_chunks).alias("chunk"), "key", "h", weight.alias("size"), (F.col("p") * weight).alias("mass"), F.lit(0).cast("bigint").alias("copies"))
-    most = per.agg(F.max("n")).first()[0] or 0
+    level = joined.filter(fractional).select("source", F.pmod(F.xxhash64("key", F.lit(SEED)), n_chunks).alias("chunk"), "key", "h", "size", (F.col("p") * F.col("size")).alias("mass"), F.lit(0).cast("bigint").alias("copies"))
     parts, left = [], None
-    chunks = max(1, -(-most // chunk))
+    chunks = max(1, -(-(counts["most"] or 0) // chunk))
     while True:
         out = scratch.cut(_level(level), "level").df
         parts.append(out.select("source", F.explode("done").alias("i")))
@@ -121,25 +131,40 @@ def plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share:
     rounded = parts[0]
     for part in parts[1:]:
         rounded = rounded.unionByName(part)
-    rounded = rounded.select(F.col("i.key").alias("k2"), F.col("i.h").alias("h2"), (F.col("i.mass") > 0).cast("bigint").alias("more"))
-    whole = joined.filter(~fractional).withColumn("copies", F.col("whole"))
-    split = joined.filter(fractional).join(rounded, (F.col("key") == F.col("k2")) & (F.col("h") == F.col("h2"))).withColumn("copies", F.col("whole") + F.col("more"))
-    names = ["doc_id", "source", "h", "size", "rows", "source_size", "target", "copies"]
-    return whole.select(*names).unionByName(split.select(*names))
+    rounded = rounded.select(F.col("i.key").alias("k2"), F.col("i.h").alias("h2"), (F.col("i.mass") > 0).cast("bigint").alias("one"))
+    kept = joined.filter(~fractional).withColumn("more", F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(0)))
+    split = joined.filter(fractional).join(rounded, (F.col("key") == F.col("k2")) & (F.col("h") == F.col("h2"))).withColumn("more", F.col("sure") + F.col("one"))
+    names = ["doc_id", "source", "h", "size", "rows", "source_size", "target", "whole", "more"]
+    return kept.select(*names).unionByName(split.select(*names))
+
+
+def _times(df: DataFrame, n: Column) -> DataFrame:
+    """Each row n times, in two steps, so that no row is ever spread to a list of more than SPREAD."""
+    outer = df.withColumn("_n", n.cast("bigint")).filter("_n > 0").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / SPREAD))))
+    return outer.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(SPREAD), F.col("_n") - F.col("_o") * SPREAD).cast("int")))).drop("_n", "_o", "_i")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = plan(spark, table(spark, sf_dir, "documents"))
-    one = made.filter(F.col("rows") == 1).withColumn("r", F.lit(1))
-    more = made.filter(F.col("rows") > 1).withColumn("r", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return one.unionByName(more).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").alias("copies"))
+    one = made.filter("rows = 1").withColumn("copies", F.col("whole") + F.col("more"))
+    many = made.filter("rows > 1")
+    extra = _times(many.withColumn("copies", F.col("whole") + 1), F.col("more"))
+    plain = _times(many.withColumn("copies", F.col("whole")), F.col("rows") - F.col("more"))
+    return one.unionByName(extra).unionByName(plain).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The same columns, each row as often as it is taken."""
+    """The same columns, each row as often as it is taken. Equal rows go through as one row and their number."""
     scratch = Scratch(spark, "mixed")
-    copies = scratch.cut(plan(spark, docs, **how).filter(F.col("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("copies").cast("int").alias("_n")), "copies").df
+    made = scratch.cut(plan(spark, docs, **how).filter("size > 0 and whole + more > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("whole").alias("_w"), F.col("more").alias("_m"), F.col("rows").alias("_r")), "copies").df
     # the row travels as one column, so that its names meet no others
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", F.xxhash64("text").alias("_k"))
-    joined = rows.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h"))
+    once = rows.join(made.filter("_r = 1").hint("merge"), same).select("row", (F.col("_w") + F.col("_m")).alias("_c"))
+    if not made.filter("_r > 1").take(1):
+        return _times(once, F.col("_c")).select("row.*")
+    many = rows.groupBy("row", "doc_id", "source", "_k").agg(F.count("*").alias("_rows")).join(made.filter("_r > 1").hint("merge"), same)
+    before = W.partitionBy("_d", "_s", "_h").orderBy(F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1)
+    more = F.greatest(F.lit(0), F.least(F.col("_rows"), F.col("_m") - F.coalesce(F.sum("_rows").over(before), F.lit(0))))
+    many = many.withColumn("_c", F.col("_w") * F.col("_rows") + more).select("row", "_c")
+    return _times(once.unionByName(many), F.col("_c")).select("row.*")

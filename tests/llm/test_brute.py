@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import struct
@@ -13,6 +14,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -126,6 +128,154 @@ def test_near_duplicate_families(spark):
     assert made == {i: c for i, (_, c) in _components(docs).items()}
 
 
+def _linked_components(texts, width=4):
+    """As _components(), by one matrix of documents and shingles: for families whose pairs are too many to loop over."""
+    sets = {i: {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} for i, t in texts.items() for w in [t.split()]}
+    place = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    ids, m = list(sets), np.zeros((len(sets), len(place)), np.float32)
+    for n, i in enumerate(ids):
+        m[n, [place[s] for s in sets[i]]] = 1
+    size, common = m.sum(axis=1), m @ m.T
+    links = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    made = {}
+    for start in range(len(ids)):
+        todo = [start] if ids[start] not in made else []
+        while todo:
+            at = todo.pop()
+            made.setdefault(ids[at], ids[start])
+            todo += [k for k in np.flatnonzero(links[at]).tolist() if ids[k] not in made and not made.update({ids[k]: ids[start]})]
+    return made
+
+
+@pytest.mark.parametrize(("group", "parts"), [(2000, 4), (150, 4), (150, 11)])
+def test_near_duplicate_crowds(spark, group, parts):
+    """A family of 1,000 near copies that all share long prefixes, strays whose only links are at 0.8 to members of it,
+    and another family of one template without links. The components are the plain ones, however the rows are dealt."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    base, docs = [word() for _ in range(150)], {}
+    for i in range(1000):
+        w = base[:]
+        for at in rnd.sample(range(20, 150), rnd.randint(0, 2)):
+            w[at] = f"{base[at]}x{rnd.randint(0, 3)}"
+        docs[i] = " ".join(w)
+    for i in range(1000, 1040):  # the edits of a member, and so many more words that the similarity is just enough or not
+        docs[i] = docs[i - 1000] + " " + " ".join(word() for _ in range(rnd.randint(33, 40)))
+    for i in range(1040, 1240):  # half of each text is the template
+        docs[i] = " ".join(base[:60]) + " " + " ".join(word() for _ in range(60))
+    shuffled = list(docs.items())
+    rnd.shuffle(shuffled)
+    df = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(parts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        made = {r["doc_id"]: r["component_id"] for r in near_dup.classes(spark, df, 4, group).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made == _linked_components(docs)
+
+
+def test_hot_keys_meet_as_a_join_would(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    rows = spark.createDataFrame([(k, i) for k in range(12) for i in range(40 if k == 3 else 2)] + [(None, 1)], "k int, i int")
+    sizes = rows.filter("k is not null").groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("k") * 2)
+    made = common.join_hot(rows, sizes, ["k"], rows.count())
+    assert sorted(map(tuple, made.select("k", "i", "n", "v").collect())) == sorted(map(tuple, rows.join(sizes, "k").select("k", "i", "n", "v").collect()))
+
+
+def _spark_hash(*values):
+    """Spark's hash of longs, strings and (as bytes) other values, one seeding the next; nulls pass the seed on."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else struct.pack("<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+SEED = struct.pack("<i", mixing.SEED)
+
+
+def _rounded(rows, chunk=64):
+    """copies of every row by a plain program: rows are (doc_id, source, text)."""
+    items = Counter((i, s, _spark_hash(t)) for i, s, t in rows)
+    words = {(i, s, _spark_hash(t)): len(re.findall(SPACE, t or "")) for i, s, t in rows}
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(words[k] * n for k, n in items.items() if k[1] == s) for s in names}
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}
+    target, rest, open_ = {}, 1.5 * sum(size.values()), set(names)
+    while True:
+        level = rest / sum(weight[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if weight[s] * level >= 2 * size[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            rest -= target[s]
+            open_.remove(s)
+    target |= {s: weight[s] * level for s in open_}
+    out = {}
+    for s in names:
+        rate = target[s] / size[s] if size[s] else 0.0
+        whole, chunks = math.floor(rate), max(1, -(-sum(k[1] == s for k in items) // chunk))
+        level = defaultdict(list)
+        for k, n in items.items():
+            if k[1] == s:
+                extra = (rate - whole) * n
+                sure = math.floor(extra)
+                out[k] = [whole, sure if words[k] else 0]
+                if extra > sure and words[k]:
+                    key = _spark_hash(k[0], s, k[2])
+                    level[_spark_hash(key, SEED) % chunks].append((key, k[2], words[k], (extra - sure) * words[k], k))
+        while True:
+            following = defaultdict(list)
+            for c, group in level.items():
+                a = None
+                for b in sorted(group, key=lambda x: x[:2]):
+                    if a is None:
+                        a = b
+                        continue
+                    give, take = min(a[3], b[2] - b[3]), min(b[3], a[2] - a[3])
+                    draw = (_spark_hash(a[0], b[0], SEED) % (1 << 40) + 0.5) / (1 << 40)
+                    if draw * (give + take) < take:
+                        ma, mb = (0.0 if a[3] <= b[2] - b[3] else a[3] - (b[2] - b[3])), (float(b[2]) if b[2] - b[3] <= a[3] else b[3] + a[3])
+                    else:
+                        ma, mb = (float(a[2]) if a[2] - a[3] <= b[3] else a[3] + b[3]), (0.0 if b[3] <= a[2] - a[3] else b[3] - (a[2] - a[3]))
+                    pair, a = [(*a[:3], ma, a[4]), (*b[:3], mb, b[4])], None
+                    for x in pair[::-1]:
+                        if 0 < x[3] < x[2]:
+                            a = x
+                        else:
+                            out[x[4]][1] += x[3] > 0
+                if a is not None:
+                    following[c // chunk].append(a)
+            if chunks == 1:
+                break
+            chunks, level = -(-chunks // chunk), following
+        for group in following.values():
+            for x in group:
+                out[x[4]][1] += 2 * x[3] >= x[2]
+    return {k: (w, m) for k, (w, m) in out.items()}, target
+
+
+def test_mixing_by_a_plain_program(spark, sf):
+    """Every item's copies on a whole table, with repeated rows, a null source and a heavy row repeated many times."""
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += rows[:20] * 3 + [(7_000, None, "a b c d e"), (7_001, None, "x " * 30), (None, "s1", "y " * 11), (7_002, "many", "long text " * 50), (7_003, "many", "one two three")] + [(7_002, "many", "long text " * 50)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want, target = _rounded(rows)
+    made = {(r["doc_id"], r["source"], r["h"]): (r["whole"], r["more"]) for r in mixing.plan(spark, df).collect()}
+    assert made == want
+    mixed = Counter(tuple(r) for r in mixing.mix(spark, df).collect())
+    left = Counter(rows)
+    assert {k: n for k, n in mixed.items()} == {r: n for r in left if (n := want[r[0], r[1], _spark_hash(r[2])][0] * left[r] + want[r[0], r[1], _spark_hash(r[2])][1]) and len((r[2] or "").split())}
+    taken = sum(n * len(t.split()) for (_, s, t), n in mixed.items() if s == "many")
+    assert abs(taken - target["many"]) <= 50
+
+
 def test_repeat_words():
     rnd = random.Random(1)
     for _ in range(300):
