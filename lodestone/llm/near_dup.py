@@ -2,15 +2,16 @@
 
 Documents with equal shingle sets form a class; its smallest doc_id stands for it. TREES sorted orders of the classes'
 signatures, DEPTH values each, are made by one range sort, so that no order, region or group of copies has to fit in a
-task. Neighbours in an order that agree in a long enough prefix are candidates: BASE values, or deeper where more than
-CROWD neighbours agree, as deep as that region needs. Candidates chain up to groups, and every link inside a group is
-confirmed (or not) on full sets: 100 |A and B| >= 80 |A or B|. A link of similarity 0.8 shares no prefix of BASE values
-in any tree once in 7 million times.
+task. Neighbours in an order that agree in BASE values or more are candidates, in sparse and crowded regions alike: a
+link of similarity 0.8 shares no such prefix in any tree once in 8 million times. Candidates chain up to groups, and
+every link inside a group is confirmed (or not) on full sets: 100 |A and B| >= 80 |A or B|.
 
 A group is searched by growing components: each reached class is compared with those not yet reached, so groups of
 copies cost little more than one comparison each and no pairs are listed. Groups over GROUP classes are dealt out in
-chunks: chunks are searched alone, then their components' leaders among each other, then what is still outside the
-group's largest component against every chunk; so no pair of different components stays untested, whatever the size.
+chunks by regions of the first order, each as deep as it has to be to hold no more than GROUP rows, so that close
+classes meet first. Chunks are searched alone, then their components' leaders among each other, then what is still
+outside the group's largest component against every chunk; so no pair of different components stays untested, whatever
+the size, and the depth of a region changes the work alone.
 
 Null or empty texts, and texts without words, have no shingles and link with nothing. Rows without doc_id link with
 nothing either and are kept; their component_id is null. Repeated rows share a class. Texts are read whole. An empty
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SLICE, Cut, Scratch, table
+from .common import SLICE, Scratch, join_hot, table
 
 WIDTH = 5
-TREES, DEPTH, BASE, CROWD = 40, 8, 5, 64
+TREES, DEPTH, BASE = 40, 8, 5
 #: Classes that one task compares at once.
 GROUP = 2000
-#: Rows of a sorted order that are looked at together.
-RUN_ROWS = 100_000
+#: Rows of a sorted order that are looked at together, and those of a partition, about.
+RUN_ROWS, ORDER_ROWS = 100_000, 1_000_000
 
 _rng = np.random.default_rng(20_240_601)
 _MUL = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -152,17 +153,25 @@ def _agree(tree: np.ndarray, front: np.ndarray, back: np.ndarray) -> np.ndarray:
 
 
 def neighbours(tree: np.ndarray, front: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """True where a row and the one before it are candidates: regions of over CROWD rows ask for longer prefixes."""
-    same = _agree(tree, front, back)
-    need = np.full(len(same), BASE)
-    for depth in range(BASE, DEPTH):
+    """True where a row and the one before it are candidates."""
+    return _agree(tree, front, back) >= BASE
+
+
+def regions(same: np.ndarray, group: int) -> np.ndarray:
+    """The first row of each row's region: rows of one prefix, longer where more than group rows share it; the longest
+    prefixes are cut after group rows."""
+    first = np.zeros(len(same), np.int64)
+    open_ = np.ones(len(same), bool)
+    for depth in range(BASE, DEPTH + 1):
         starts = np.flatnonzero(same < depth)
         length = np.diff(np.append(starts, len(same)))
-        crowded = np.repeat(length > CROWD, length)
-        if not crowded.any():
-            break
-        need[crowded] = depth + 1
-    return same >= need
+        at, size = np.repeat(starts, length), np.repeat(length, length)
+        if depth == DEPTH:
+            at, size = at + (np.arange(len(same)) - at) // group * group, 0
+        here = open_ & (size <= group)
+        first[here] = at[here]
+        open_ &= ~here
+    return first
 
 
 class _Forest:
@@ -191,21 +200,27 @@ class _Forest:
         return nodes, [self.root(x) for x in nodes]
 
 
-def _chains(ordered: DataFrame) -> DataFrame:
-    """Candidate links (a, b) of sorted partitions, as stars; and each partition's first and last row (edge true)."""
+def _chains(ordered: DataFrame, group: int) -> DataFrame:
+    """From sorted partitions: candidate links (kind 0: a, b), as stars; each partition's first and last row (kind 1: tree,
+    front, back, a); and the region (b) of each row (a) of the first order (kind 2). Regions end with what is looked at
+    together; they deal work out and decide nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, first, last = _Forest(), None, None
 
-        def out(edge, *columns):
-            n = len(columns[0])
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([edge] * n, pa.bool_()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["edge", "tree", "front", "back", "a", "b"])
+        def out(kind, *columns):
+            n = len(columns[-1])
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *(pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["kind", "tree", "front", "back", "a", "b"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, RUN_ROWS):
                 part = whole.slice(at, RUN_ROWS)
                 tree, front, back, node = (part.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "front", "back", "node"))
+                here = tree == 0
+                if here.any():
+                    same = _agree(tree, front.view(np.uint64), back.view(np.uint64))[here]
+                    yield out(2, None, None, None, node[here], node[here][regions(same, group)])
                 if last is not None:
                     tree, front, back, node = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (tree, front, back, node), strict=True))
                 first = first or tuple(int(x[0]) for x in (tree, front, back, node))
@@ -217,11 +232,10 @@ def _chains(ordered: DataFrame) -> DataFrame:
             return
         nodes, roots = forest.stars()
         for at in range(0, len(nodes), 10_000):
-            a, b = nodes[at : at + 10_000], roots[at : at + 10_000]
-            yield out(False, [None] * len(a), [None] * len(a), [None] * len(a), a, b)
-        yield out(True, *([x, y] for x, y in zip(first, last, strict=True)), [None, None])
+            yield out(0, None, None, None, nodes[at : at + 10_000], roots[at : at + 10_000])
+        yield out(1, *([x, y] for x, y in zip(first, last, strict=True)), [None, None])
 
-    return ordered.mapInArrow(run, "edge boolean, tree int, front long, back long, a long, b long")
+    return ordered.mapInArrow(run, "kind int, tree int, front long, back long, a long, b long")
 
 
 def _seams(edges: DataFrame) -> DataFrame:
@@ -240,12 +254,12 @@ def _seams(edges: DataFrame) -> DataFrame:
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches), for the nodes of links (a, b), by large and small stars.
 
-    Every round is written, so a lost executor repeats one round's tasks alone."""
+    Nodes of very many links are met by broadcast, so that no star lands in one task. Every round is written, so a lost executor repeats one round's tasks alone."""
     high, low = F.greatest("a", "b"), F.least("a", "b")
     edges = scratch.cut(links.filter("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "links")
 
     def star(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+        return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
     def mark(e: DataFrame):
         return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -253,10 +267,10 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     before = mark(edges.df)
     while before["n"]:
         both = edges.df.unionByName(edges.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = star(both).select("u", F.least("u", "m").alias("m"))
-        large = scratch.cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = star(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = scratch.cut(join_hot(both, least, ["u"], 2 * before["n"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = star(large.df)
-        small = large.df.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_hot(large.df, least, ["u"], large.df.count()).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
         new = scratch.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         edges.drop()
@@ -355,28 +369,26 @@ def _outside(rows: list[dict], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def _links(scratch: Scratch, members: DataFrame, sizes: DataFrame, width: int, group: int) -> DataFrame:
-    """Links (a, b) that make up the components of members (node, root, text), whatever their groups' sizes."""
-    rows = members.join(sizes, "root")
-    links = [scratch.cut(_by_group(rows.filter(F.col("n") <= group), ["root"], ["node"], width, _grown), "links").df]
-    large = sizes.filter(F.col("n") > group)
-    if not large.take(1):
+def _links(scratch: Scratch, members: DataFrame, total: int, width: int, group: int) -> DataFrame:
+    """Links (a, b) that make up the components of members (node, root, n: the group's size, cell, text), whatever the
+    sizes of their groups."""
+    links = [scratch.cut(_by_group(members.filter(F.col("n") <= group), ["root"], ["node"], width, _grown), "links").df]
+    big = members.filter(F.col("n") > group).withColumn("chunk", F.xxhash64("cell"))  # of a hot root: never dealt by root
+    if not big.take(1):
         return links[0]
-    # of a hot root: dealt by node, never by root
-    big = scratch.cut(rows.filter(F.col("n") > group).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group)).cast("int")), "large").df
     here, chunks = big, None
     while True:
         made = scratch.cut(_by_group(here, ["root", "chunk"], ["node"], width, _grown), "chunks").df
         links.append(made)
         followers = made.select(F.col("a").alias("node")).distinct()
-        leaders = scratch.cut(here.join(followers, "node", "left_anti").select("root", "node", "text"), "leaders").df
+        leaders = scratch.cut(here.select("root", "node", "text").join(followers, "node", "left_anti"), "leaders").df
         left = leaders.groupBy("root").agg(F.count("*").alias("n"))
-        total = leaders.count()
-        if chunks is not None and total >= chunks or not left.filter(F.col("n") > 1).take(1):
+        count = leaders.count()
+        if chunks is not None and count >= chunks or not left.filter(F.col("n") > 1).take(1):
             break
         done = not left.filter(F.col("n") > group).take(1)
-        chunks = total
-        here = leaders.join(left, "root").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(total)), F.ceil(F.col("n") / group)).cast("int"))
+        chunks = count
+        here = join_hot(leaders, left, ["root"], count).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(count)), F.ceil(F.col("n") / group)))
         if done:
             links.append(scratch.cut(_by_group(here, ["root", "chunk"], ["node"], width, _grown), "leaders").df)
             break
@@ -384,20 +396,22 @@ def _links(scratch: Scratch, members: DataFrame, sizes: DataFrame, width: int, g
     for x in links[2:]:
         so_far = so_far.unionByName(x)
     labels = components(scratch, so_far).withColumnRenamed("root", "label")
-    labelled = scratch.cut(big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled").df
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group)).cast("int")
+    labelled = scratch.cut(big.withColumn("chunk", chunk).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled").df
     by_label = labelled.groupBy("root", "label").agg(F.count("*").alias("k"))
-    main = by_label.groupBy("root").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
-    marked = labelled.join(main, "root")
-    outside = marked.filter(F.col("label") != F.col("main")).withColumn("lot", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group)).cast("int"))
-    # lots of outsiders that exist; each meets every chunk of its group
-    lots = outside.select("root", "lot").distinct()
-    own = marked.join(lots, "root").select("root", "chunk", "lot", "node", "label", F.lit(False).alias("out"), "text")
-    sent = outside.withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / group) - 1).cast("int")))).select("root", "chunk", "lot", "node", "label", F.lit(True).alias("out"), "text")
+    # a group's main component, and the lots that all others are dealt in; each lot meets every chunk of its group
+    main = by_label.groupBy("root").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("rows"))
+    main = main.select("root", F.col("m.label").alias("main"), F.ceil((F.col("rows") - F.col("m.k")) / group).cast("int").alias("lots"), "rows")
+    marked = join_hot(labelled, main.filter("lots > 0"), ["root"], total, "rows")
+    lot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    own = marked.withColumn("lot", every(F.col("lots"))).select("root", "chunk", "lot", "node", "label", F.lit(False).alias("out"), "text")
+    sent = marked.filter(F.col("label") != F.col("main")).withColumn("chunk", every(F.ceil(F.col("n") / group))).select("root", "chunk", lot.alias("lot"), "node", "label", F.lit(True).alias("out"), "text")
     links.append(scratch.cut(_by_group(own.unionByName(sent), ["root", "chunk", "lot"], ["node", "label", "out"], width, _outside), "outside").df)
-    total = links[0]
+    made = links[0]
     for x in links[1:]:
-        total = total.unionByName(x)
-    return total
+        made = made.unionByName(x)
+    return made
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
@@ -406,28 +420,30 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, group: int
     signed = scratch.cut(_signed(docs, width), "signed")
     ids = signed.df.select("doc_id", "n_shingles", "lo", "hi")
     linking = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    reps = scratch.cut(ids.filter(linking).groupBy("lo", "hi").agg(F.min("doc_id").cast("long").alias("node")), "classes").df
+    reps = scratch.cut(ids.filter(linking).groupBy("lo", "hi").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("n")), "classes").df
     # one row for each class, even where its doc_id is repeated
-    first = scratch.cut(signed.df.filter(linking).select(F.col("doc_id").cast("long").alias("node"), "lo", "hi", "sig").join(reps.withColumnsRenamed({"lo": "lo2", "hi": "hi2"}), "node").filter("lo = lo2 and hi = hi2").select("node", "sig"), "signatures")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = scratch.cut(signed.df.filter(linking).select(F.col("doc_id").cast("long").alias("node"), "lo", "hi", "sig").join(reps.select("node", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "node").filter("lo = lo2 and hi = hi2").select("node", "sig"), "signatures")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-first.df.count() * TREES // ORDER_ROWS))
     order = ["tree", "front", "back", "node"]
-    chains = scratch.cut(_chains(_orders(first.df).repartitionByRange(parts, *order).sortWithinPartitions(*order)), "chains")
+    chains = scratch.cut(_chains(_orders(first.df).repartitionByRange(parts, *order).sortWithinPartitions(*order), group), "chains")
     first.drop()
-    candidates = chains.df.filter(~F.col("edge")).select("a", "b").unionByName(_seams(chains.df.filter("edge")))
+    candidates = chains.df.filter("kind = 0").select("a", "b").unionByName(_seams(chains.df.filter("kind = 1")))
     groups = scratch.cut(components(scratch, candidates), "groups")
+    sizes, grouped = groups.df.groupBy("root").agg(F.count("*").alias("n")), groups.df.count()
+    cells = chains.df.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("cell")).groupBy("node").agg(F.min("cell").alias("cell"))
+    placed = scratch.cut(join_hot(groups.df, sizes, ["root"], grouped).join(cells, "node"), "placed")
     chains.drop()
-    sizes = groups.df.groupBy("root").agg(F.count("*").alias("n"))
     # candidates grow with the corpus: never broadcast; texts cross the network packed
-    texts = _packed(docs).join(groups.df.hint("merge"), "node")
-    texts = texts.groupBy("node", "root").agg(F.first("text").alias("text")) if _repeats(ids) else texts
+    texts = _packed(docs).join(placed.df.hint("merge"), "node")
+    texts = texts.groupBy("node", "root", "n", "cell").agg(F.first("text").alias("text")) if _repeats(ids) else texts
     members = scratch.cut(texts, "members")
-    links = _links(scratch, members.df, sizes, width, group)
+    links = _links(scratch, members.df, grouped, width, group)
     roots = scratch.cut(components(scratch, links), "roots").df
-    named = reps.join(roots, "node", "left").select("lo", "hi", F.coalesce("root", "node").alias("component_id"))
-    linked = ids.filter(linking).join(named, ["lo", "hi"]).select("doc_id", "n_shingles", "component_id")
+    named = reps.join(roots, "node", "left").select("lo", "hi", F.coalesce("root", "node").alias("component_id"), "n")
+    linked = join_hot(ids.filter(linking), named, ["lo", "hi"], ids.count()).select("doc_id", "n_shingles", "component_id")
     alone = ids.filter(~linking).select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"))
     result = scratch.cut(linked.unionByName(alone), "result").df
-    for cut in (members, signed):
+    for cut in (members, placed, signed):
         cut.drop()
     return result
 
