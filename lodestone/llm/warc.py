@@ -1,7 +1,10 @@
 """WARC archives: a writer with revisit records, and a reader that salvages what damage leaves.
 
-Each record is a gzip member of its own. Archives are written by Spark's text writer, so they go wherever the
-cluster's file systems reach; after each record it puts an empty gzip member, which readers pass over.
+Which payloads are revisits is decided on ids and digests; then each record is made once, as a gzip member of its own.
+Members are gathered to archives of ARCHIVE_BYTES or one longer record, so what a task holds is bounded in bytes when
+they are written and when they are read. Archives go through Spark's text writer, so they go wherever the cluster's file
+systems reach; it ends each with an empty gzip member, which readers pass over. (Archives from elsewhere are read whole,
+one at a time in a task.)
 
 The reader checks the member's sum, the version line, the lengths and the payload's digest. After a failed check it
 looks for the next member or version line that holds a valid record, goes on from there, and logs the bytes between as
@@ -24,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Scratch, table
+from .common import SLICE, Scratch, join_hot, table
 
 #: Payloads of fewer bytes are always written in full.
 REVISIT_BYTES = 1000
-#: Records in an archive file, which a reading task holds whole.
-FILE_RECORDS = 2000
+#: Bytes of members in an archive file, which a reading task holds whole.
+ARCHIVE_BYTES = 32 << 20
 #: Bytes that a member is fed at once; what lies behind its end is copied, so they are few.
 FEED = 8192
 #: A valid gzip member without content.
@@ -156,41 +159,55 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         yield "gap", gap, len(data) - gap, reason
 
 
-def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
-    """A record for each row; of equal payloads of least bytes or more the one of the largest page_id is written in
-    full. Payloads cross the network once, as finished gzip members."""
+def revisits(scratch: Scratch, pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+    """page_id, digest and first: the rows whose payload, of least bytes or more, stands in full under a larger page_id."""
+    ids = _with_digest(pages).filter((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    ids = scratch.cut(ids, "ids")
+    groups = ids.df.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    found = join_hot(ids.df, groups, ["digest"], ids.df.count()).filter("page_id <> first").select("page_id", "digest", "first").distinct()
+    made = scratch.cut(found, "revisits").df
+    ids.drop()
+    return made
+
+
+def _with_digest(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    full = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    first = full.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "first")
+    return pages.select("page_id", "url", payload.alias("payload")).select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
+
+
+def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """A record for each row; of equal payloads of least bytes or more the one of the largest page_id is written in full.
+
+    A payload crosses the network only where the revisits are too many to be broadcast, and then as it is, once."""
+    again = revisits(Scratch(pages.sparkSession, "warc-ids"), pages, least)
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["members"])
 
-    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                ids, urls, size, digest, member = batch.column("page_id"), batch.column("url"), [], [], []
-                for page_id, url, html in zip(ids.to_pylist(), urls.to_pylist(), batch.column("html").to_pylist(), strict=True):
-                    data = (html or "").encode("utf-8", "surrogatepass")
-                    size.append(len(data))
-                    digest.append(hashlib.sha1(data).hexdigest())
-                    member.append(pack(make_record("response", page_id, url, data, len(data), digest[-1])))
-                yield pa.RecordBatch.from_arrays([ids, urls, pa.array(size, pa.int64()), pa.array(digest), pa.array(member, pa.binary())], ["page_id", "url", "size", "digest", "member"])
-
-    def revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
-                rows = whole.slice(at, SLICE).to_pylist()
-                out = [r["member"] if r["first"] is None else pack(make_record("revisit", r["page_id"], r["url"], b"", r["size"], r["digest"], r["first"])) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-
-    made = pages.select("page_id", "url", "html").mapInArrow(responses, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, size long, digest string, member binary")
-    joined = made.filter(F.col("size") >= least).join(first, F.col("digest") == F.col("d"), "left").drop("d")
-    again = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
-    joined = joined.withColumn("first", F.when(again, F.col("first"))).withColumn("member", F.when(~again, F.col("member")))
-    joined = joined.withColumn("member", F.when(F.col("first").isNull(), F.col("member")))
-    short = made.filter(F.col("size") < least).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
-    rows = joined.unionByName(short.select(*joined.columns)).mapInArrow(revisits, "member binary")
+                for r in whole.slice(at, SLICE).to_pylist():
+                    kind = "response" if r["first"] is None else "revisit"
+                    member = pack(make_record(kind, r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["first"]))
+                    if held and size + len(member) > archive_bytes:
+                        yield out()
+                        held, size = [], 0
+                    held.append(member)
+                    size += len(member)
+        if held:
+            yield out()
+
+    rows = _with_digest(pages)
+    may = (F.col("size") >= least) & F.col("page_id").isNotNull()
+    known = rows.filter(may).join(again, ["page_id", "digest"], "left")
+    known = known.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
+    others = rows.filter(~may).withColumn("first", F.lit(None).cast(again.schema["first"].dataType))
+    made = known.unionByName(others).mapInArrow(archives, "members binary")
     separator = EMPTY_MEMBER.decode("latin-1")
-    rows.select(F.col("member").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("members").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
