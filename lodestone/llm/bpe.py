@@ -1,8 +1,8 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 The last token of a word's encoding is unique for each of its prefixes: it is the vocabulary match ending there that
-forms a compatible pair with the last token of what precedes it. One automaton pass gives the matches, longest first;
-the pair test undoes the two tokens' merges and looks for an earlier merge across their border. Back-pointers then
+forms a compatible pair with the last token of what precedes it. One pass of an automaton over the vocabulary (of failure
+links, after Aho and Corasick) gives the tokens that are suffixes of each prefix, longest first; the pair test undoes the two tokens' merges and looks for an earlier merge across their border. Back-pointers then
 give exactly the ids that merging by rank gives, in time linear in the word.
 
 Null texts encode as empty; empty texts give no ids, the digests of nothing and n_tokens 0. Texts are encoded whole;
@@ -145,11 +145,11 @@ def lower(text: str) -> str:
 class Remembered(dict):
     """What make() gives for a key, in two generations: the older one goes when the younger is full."""
 
-    def __init__(self, make: Callable[[str], tuple[bytes, str]]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, key: str) -> tuple[bytes, str]:
+    def __missing__(self, key: str) -> bytes:
         made = self.older.get(key) or self.make(key)
         if len(key) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER_WORDS:
@@ -162,6 +162,8 @@ class Remembered(dict):
 class Encoder:
     def __init__(self, spec: dict):
         self.vocab = Vocabulary(spec)
+        self.names = [self.vocab.special_names.get(i, name) for i, name in enumerate(self.vocab.names)]
+        self.names += [self.vocab.special_names.get(i, "") for i in range(len(self.names), max(self.vocab.special_names, default=-1) + 1)]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.vocab.special)) + ")") if self.vocab.special else None
@@ -170,43 +172,41 @@ class Encoder:
         self.new_lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.new_split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """The ids' bytes and the tokens' names of a lower-case piece; no word crosses white space."""
+    def _piece(self, piece: str) -> bytes:
+        """The ids' bytes of a lower-case piece; no word crosses white space."""
         words = self.words(piece)
         if not piece.isascii() and self.new.search(piece):  # letters newer than Python's tables: the library's classes
             words = [w for w, _ in self.new_split.pre_tokenize_str(self.new_lower.normalize_str(piece))]
         ids = [i for w in words for i in self.vocab.encode_word(w.encode("utf-8"))]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.vocab.names[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str | None) -> list[tuple[bytes, str]]:
-        """The ids' bytes and the tokens' names, for each piece that holds a token, in order."""
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         out, known = [], self.known.__getitem__
         for part in self.specials.split(text or "") if self.specials else [text or ""]:
             if self.specials and part in self.vocab.special:
-                out.append((struct.pack("<I", self.vocab.special[part]), part))
+                out.append(struct.pack("<I", self.vocab.special[part]))
             elif part:
                 part = lower(unicodedata.normalize("NFC", part))
                 # split() also cuts at these four, which the pattern takes as symbols
                 out += map(known, [part] if any(map(part.__contains__, "\x1c\x1d\x1e\x1f")) else part.split())
-        return [x for x in out if x[0]]
+        return b"".join(out)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([x[0] for x in self.encode(text)]), "<i4")
+        return np.frombuffer(self.encode(text), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder: tokens are joined by one space."""
-        return " ".join([self.vocab.special_names.get(i) or self.vocab.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
     def ids_and_digest(self, text: str | None) -> tuple[int, np.ndarray, str]:
-        pieces = self.encode(text)
-        ids = np.frombuffer(b"".join([x[0] for x in pieces]), "<i4")
-        return len(ids), ids, hashlib.sha256(" ".join([x[1] for x in pieces]).encode("utf-8")).hexdigest()
+        ids = self.ids(text)
+        return len(ids), ids, hashlib.sha256(self.decode(ids.tolist()).encode("utf-8")).hexdigest()
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of ids and of the decoded text."""
-        pieces = self.encode(text)
-        data = b"".join([x[0] for x in pieces])
-        decoded = " ".join([x[1] for x in pieces])
+        """Number of ids, SHA-256 of ids and of the text that the ids decode to."""
+        data = self.encode(text)
+        decoded = self.decode(np.frombuffer(data, "<i4").tolist())
         return len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
