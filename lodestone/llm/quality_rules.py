@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule has a measured cost and a measured share of rejections, both from a bounded sample; rules run in the
-order of rejections per second, and a document's first rejection ends its cascade. The order changes only the work:
-a document is kept if no rule rejects it, whatever the order.
+Rules are chosen one after the other on a bounded sample: the next is the one with the most rejections per second among
+the documents that the rules before it let pass, where what those have counted costs nothing more. A document's first
+rejection ends its cascade. The order changes only the work: a document is kept if no rule rejects it, whatever the order.
 
 Nulls and empty texts have no words, so the base rule on short texts rejects them. Very long texts are read whole.
 Repeated rows are judged alike, each on its own. An empty table gives an empty result. Extra columns are ignored.
@@ -36,6 +36,12 @@ class Facts:
     def __init__(self, text: str | None):
         self.text, self._made = text or "", {}
 
+    def again(self) -> Facts:
+        """The same text with the counts made so far."""
+        other = Facts(self.text)
+        other._made = dict(self._made)
+        return other
+
     def _get(self, name: str, make: Callable[[], object]):
         if name not in self._made:
             self._made[name] = make()
@@ -141,25 +147,35 @@ RULES = (*BASE, Rule("symbol_heavy", symbol_heavy), Rule("repeated_lines", repea
 
 @dataclass
 class Cascade:
-    """Rules in the order of rejections per second of cost; equal ranks keep their given order."""
+    """Rules in the order of conditional rejections per second of cost; equal ranks keep their given order."""
 
     rules: tuple[Rule, ...] = RULES
+    #: cost in seconds and share of rejections of each rule, at its place
     stats: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     @classmethod
     def fitted(cls, texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> Cascade:
-        stats = {}
-        for rule in rules:
-            facts = [Facts(t) for t in texts]  # anew: a rule's cost holds what it has to count
-            began = time.perf_counter()
-            hits = sum(map(rule.rejects, facts))
-            stats[rule.name] = ((time.perf_counter() - began) / max(1, len(texts)) + 1e-9, hits / max(1, len(texts)))
-        order = sorted(rules, key=lambda r: -stats[r.name][1] / stats[r.name][0])
+        left, passed, order, stats = list(rules), [Facts(t) for t in texts], [], {}
+        while left:
+            tried = {}
+            for rule in left:
+                facts = [f.again() for f in passed]  # a rule's cost holds what it has to count beyond the rules before it
+                began = time.perf_counter()
+                hits = [rule.rejects(f) for f in facts]
+                tried[rule.name] = ((time.perf_counter() - began) / max(1, len(facts)) + 1e-9, sum(hits) / max(1, len(facts)), [f for f, hit in zip(facts, hits, strict=True) if not hit])
+            best = max(left, key=lambda r: tried[r.name][1] / tried[r.name][0])
+            stats[best.name], passed = tried[best.name][:2], tried[best.name][2]
+            order.append(best)
+            left.remove(best)
         return cls(tuple(order), stats)
 
     def keeps(self, f: Facts) -> bool:
         return not any(rule.rejects(f) for rule in self.rules)
 
+    def evaluated(self, f: Facts) -> int:
+        """How many rules run on a text."""
+        return next((n for n, rule in enumerate(self.rules, 1) if rule.rejects(f)), len(self.rules))
+
 
 def fit_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> Cascade:
     """Costs and selectivities from at most sample_rows rows."""
