@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import sys
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 from lodestone.llm import bpe, html_text, mixing, near_dup, neighbours, pii, quality_model, quality_rules, registry, warc  # noqa: E402
 from oracle import connect, rows  # noqa: E402
 
@@ -55,6 +57,44 @@ def test_pii_spans(spark, sf, texts):
     assert all(made[i]["base_sha256"] == hashlib.sha256(_base_spans(t).encode()).hexdigest() for i, t in texts.items())
 
 
+def _disclosing_spans(texts):
+    """All spans of every text by a plain program: base ones, and terms by counts over whole documents."""
+    import regex
+
+    base, terms = {}, {}
+    for i, t in texts.items():
+        base[i] = [(int(a), KIND[k], int(b)) for k, a, b in (x.split(":") for x in _base_spans(t).split(",") if x)]
+        terms[i] = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(pii.TERM, t)]
+    named = {i: {(r, texts[i][a:b].lower() if r == 0 else re.sub("[^0-9.]", "", texts[i][a:b])) for a, r, b in base[i]} for i in texts}
+    n_t, n_e, n_et = Counter(), Counter(), Counter()
+    for i in texts:
+        held = {t for *_, t in terms[i]}
+        n_t.update(held)
+        n_e.update(named[i])
+        n_et.update((e, t) for e in named[i] for t in held)
+    share = {}
+    for (e, t), both in n_et.items():
+        p, a = n_e[e] / len(texts), pii.SUPPORT**2 / both**1.5
+        share[e, t] = 1 - math.log2((both + a * p) / (n_t[t] + a)) / math.log2(p) if p < 1 else 0
+    for i in texts:
+        flagged = {t for *_, t in terms[i] if any(share[e, t] >= pii.GENERALISE for e in named[i])}
+        extra = [(a, 4, b) for a, b, t in terms[i] if t in flagged and not any(c < b and a < d for c, _, d in base[i])]
+        yield i, ",".join(f"{pii.KINDS[r]}:{a}:{b}" for a, r, b in sorted(base[i] + extra))
+
+
+KIND = {k: n for n, k in enumerate(pii.KINDS)}
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_pii_all_spans(spark, scale):
+    at = f"/root/testdata/{scale}"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    made = {r["doc_id"]: (r["spans"], r["n_term"]) for r in pii.op1_pii(spark, at).collect()}
+    want = dict(_disclosing_spans(texts))
+    assert {i: s for i, (s, _) in made.items()} == want
+    assert all(n == s.count("term:") for s, n in made.values())
+
+
 def test_pii_patterns_on_odd_texts(spark):
     rnd = random.Random(3)
     odd = ["".join(rnd.choice(["a", "@", ".", "b-", "_", "1", "12", "255", "4012 8888 8888 1881", "+1", " ", "(", "é🙂", "x@y.z", "1.2.3.4", "-"]) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
@@ -324,6 +364,47 @@ def test_bpe_on_odd_texts(coder, text):
     assert ours.ids(text).tolist() == ids and ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_cascade_order():
+    """Rules go by rejections a second among what is left; one that another makes needless comes after those that still
+    reject; and the cascade stops at the first rejection."""
+    import time
+
+    def rule(name, rejects, seconds):
+        def run(f):
+            time.sleep(seconds)
+            return rejects(int(f.text))
+
+        return quality_rules.Rule(name, run)
+
+    rules = (rule("never", lambda n: False, 0), rule("dear", lambda n: n % 2 == 0, 0.004), rule("cheap", lambda n: n % 3 == 0, 0.0005), rule("same", lambda n: n % 6 == 0, 0.0005))
+    fitted = quality_rules.Cascade.fitted([str(n) for n in range(60)], rules)
+    assert [r.name for r in fitted.rules][:2] == ["cheap", "dear"] and fitted.stats["cheap"][1] == pytest.approx(1 / 3) and fitted.stats["dear"][1] == pytest.approx(1 / 2) and fitted.stats["same"][1] == 0
+    assert fitted.evaluated(quality_rules.Facts("3")) == 1 and fitted.evaluated(quality_rules.Facts("2")) == 2 and fitted.evaluated(quality_rules.Facts("1")) == 4
+
+
+def test_quality_model_by_numpy(spark):
+    """Every score from numpy's means, covariances and log determinants of the training rows, by the plain formula."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    x = {i: np.array(quality_model.statistics(t)) for i, t in docs.items()}
+    train = {c: np.array([x[i] for i in docs if not held[i] and labels.get(i) == c]) for c in (0, 1)}
+    n = {c: len(t) for c, t in train.items()}
+    covs = {c: np.cov(t.T, bias=True) for c, t in train.items()}
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / (n[0] + n[1])
+    log = {}
+    for c in (0, 1):
+        shrunk = 0.99 * (0.9 * covs[c] + 0.1 * pooled) + 0.01 * np.trace(pooled) / len(pooled) * np.eye(len(pooled))
+        inverse, (_, det) = np.linalg.inv(shrunk), np.linalg.slogdet(shrunk)
+        log[c] = {i: -0.5 * ((v - train[c].mean(axis=0)) @ inverse @ (v - train[c].mean(axis=0)) + det) + math.log(n[c]) for i, v in x.items()}
+    made = {r["doc_id"]: r for r in quality_model.op5_quality_model(spark, sf).collect()}
+    assert set(made) == set(docs) and min(n.values()) > 40
+    for i, r in made.items():
+        want = 1 / (1 + math.exp(-max(-500, min(500, log[1][i] - log[0][i]))))
+        assert r["held_out"] == held[i] and r["score"] == pytest.approx(want, rel=1e-5, abs=1e-7) and r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_quality_model_held_out(spark, sf):
     made = {r["doc_id"]: r for r in quality_model.op5_quality_model(spark, "/root/testdata/sf0.01").collect()}
     labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if made[r["doc_id"]]["held_out"]]
@@ -331,26 +412,82 @@ def test_quality_model_held_out(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in made.values())
 
 
-def test_neighbour_recall(spark, sf):
-    t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
-    x, ids = np.array([np.asarray(v, np.float64) for v in t.embedding]), t.vec_id.to_numpy()
+def _recall(spark, ids, x, block_bytes, every=20):
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
     found = defaultdict(dict)
-    vectors = neighbours.usable(spark.read.parquet(f"{sf}/embeddings.parquet"))
-    for r in neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"), block=200, lot=10).collect():
+    usable = neighbours.usable(rows)
+    for r in neighbours.search(usable, usable.filter(F.col("vec_id") % every == 0), block_bytes=block_bytes).collect():
         found[r["query_id"]][r["vec_id"]] = r["score"]
     hit = total = 0
-    for i in np.flatnonzero(ids % 20 == 0):
-        scores = x @ x[i]
-        best = [j for j in np.lexsort((ids, -scores)) if j != i][:20]
-        hit, total = hit + len(set(ids[best]) & set(found[ids[i]])), total + 20
-        assert len(found[ids[i]]) == 20 and all(abs(s - scores[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, s in found[ids[i]].items())
-    assert hit >= 0.95 * total
+    for at in np.flatnonzero(ids % every == 0):
+        scores = x @ x[at]
+        best = [j for j in np.lexsort((ids, -scores)) if j != at][:20]
+        hit, total = hit + len(set(ids[best].tolist()) & set(found[ids[at]])), total + len(best)
+        assert len(found[ids[at]]) == len(best) and all(abs(s - scores[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, s in found[ids[at]].items())
+    return hit / total
+
+
+def test_neighbour_recall(spark, sf):
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.array([np.asarray(v, np.float64) for v in t.embedding]), t.vec_id.to_numpy()
+    assert _recall(spark, ids, x, 40_000) >= 0.9
+
+
+def test_neighbours_over_blocks(spark):
+    """4,000 vectors in some 30 blocks: clusters, where the bound skips blocks, and one large group of copies."""
+    from measure_neighbours import vectors
+
+    x = vectors(4000, 40, 16)
+    x[1000:2000] = x[1000]
+    assert _recall(spark, np.arange(4000), x, 16_384) >= 0.9
+    usable = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    cells = neighbours._cells(usable, 16_384)
+    tops = {s: c.top for s, c in cells.items()}
+    p = neighbours.project(x, tops[16], cells[16].matrix)
+    number = cells[16].of(p)
+    boxes = {16: (np.unique(number), *(np.array([f(p[number == c], axis=0) for c in np.unique(number)]) for f in (np.min, np.max)), np.array([-(-int((number == c).sum()) * 128 // 16_384) for c in np.unique(number)]))}
+    queries = usable.filter("vec_id % 20 = 0").withColumn("kth", F.lit(0.95))
+    met, blocks = neighbours._asked(queries, cells, boxes, False).count(), int(boxes[16][3].sum())
+    assert blocks >= 20 and met < 0.5 * 200 * (blocks - 1)
+
+
+@pytest.mark.parametrize(("clusters", "most"), [(0, 0.6), (60, 0.05)])
+def test_neighbour_stop(clusters, most):
+    from measure_neighbours import measured, vectors
+
+    recall, share = measured(vectors(6000, clusters))
+    assert recall >= 0.9 and share <= most
+
+
+def test_copies_with_many_ids():
+    """Ids repeat at a point and at several points: each counts once, with its best score."""
+    x = np.array([[1.0, 0.0]] * 60 + [[0.9, 0.1]] * 3)
+    ids = np.array([5] * 30 + list(range(10, 40)) + [5, 7, 8])
+    found, scores = neighbours.Index(ids, x).search(np.array([1.0, 0.0]), 10)
+    assert found.tolist() == [5, *range(11, 30)] and set(scores) == {1.0}
 
 
 def test_chi_square_quantile():
     assert neighbours.chi_square_quantile(0.95, 10) == pytest.approx(18.307, abs=1e-3) and neighbours.chi_square_quantile(0.5, 2) == pytest.approx(1.386, abs=1e-3)
 
 
+def test_archives_by_bytes(spark, tmp_path):
+    """Archives hold so many bytes or one record, whatever the number of records; revisits carry no payload; all comes back."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdef0123456789") for _ in range(rnd.choice([10, 1500, 6000]))) for _ in range(40)]
+    rows = [(i, f"http://x/{i}", texts[i % 40]) for i in range(120)] + [(None, "http://y", texts[1])] * 2
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"{tmp_path}/a", archive_bytes=8000)
+    files = [f.read_bytes() for f in Path(f"{tmp_path}/a").glob("part-*")]
+    held = [[m for w, _, _, m in warc.salvage(f) if w == "record"] for f in files]
+    assert len(files) > 5 and all(len(f) <= 8000 + len(warc.EMPTY_MEMBER) or len(h) == 1 for f, h in zip(files, held, strict=True))
+    made = sorted((r["page_id"] is None, r["page_id"] or 0, r["kind"], r["refers_to"], r["payload"]) for r in warc.read_archives(spark, f"{tmp_path}/a", payloads=True).collect())
+    want = []
+    for i, _, t in rows:
+        again = i is not None and len(t) >= 1000 and i < 80
+        want.append((i is None, i or 0, "revisit" if again else "response", 80 + i % 40 if again else None, None if again else t.encode()))
+    assert made == sorted(want)
+
+
 def test_salvage():
     parts = [warc.pack(warc.make_record("response", i, "http://a", b"x" * 50 + bytes([i]), 51, hashlib.sha1(b"x" * 50 + bytes([i])).hexdigest())) for i in range(6)]
     whole = warc.EMPTY_MEMBER.join(parts) + warc.EMPTY_MEMBER
