@@ -35,7 +35,7 @@ from .common import SLICE, Scratch, join_hot, table
 WIDTH = 5
 TREES, DEPTH, BASE = 40, 8, 5
 #: Classes that one task compares at once.
-GROUP = 500
+GROUP = 2000
 #: Rows of a sorted order that are looked at together, and those of a partition, about.
 RUN_ROWS, ORDER_ROWS = 100_000, 1_000_000
 
