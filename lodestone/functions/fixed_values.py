@@ -154,3 +154,13 @@ OTHER_VERB, OTHER_IMPACT = "Has custom relationship with", "Custom Relationship
 
 # Types of a standard library that a bare name may mean.
 STD_TYPES = ("String", "Vec", "HashMap", "Option", "Result")
+
+# What a search suggests and warns of.
+SUGGESTIONS = {
+    "error": ("Show error recovery patterns", "Find error handling best practices"),
+    "test": ("Show related test patterns", "Find testing utilities"),
+    "many": ("Narrow search with more specific terms",),
+    "none": ("Try broader search terms", "Check for typos in query"),
+}
+OVER_BUDGET = "Results exceed token budget (%d > %d). Some content may be truncated."
+MANY_RESULTS = "Large result set returned. Consider refining query."

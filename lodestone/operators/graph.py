@@ -30,7 +30,7 @@ def callees(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """id and the least depth (1 or more) at which it is reached along edges from roots (id)."""
-    step = edges.select("src", "dst").distinct()
+    step = edges.select("src", "dst")  # parallel edges fall together with what they reach
     front, levels = roots.select("id").distinct(), []
     for d in range(1, depth + 1):
         front = front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct()
@@ -266,6 +266,25 @@ def relation_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
+def nodes_of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.filter(F.col("node_type") == kind)
+
+
+def edges_of(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:
+    """The edges out of ids (id), into them, or both; one at both ends once."""
+    out = F.lit(direction in ("out", "both"))
+    into = F.lit(direction in ("in", "both"))
+    ends = ids.select("id").distinct()
+    marked = edges.join(ends.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(ends.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+    return marked.filter(out & F.col("_s").isNotNull() | into & F.col("_d").isNotNull()).select(*edges.columns)
+
+
+def node_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """By node_type: nodes, mean degrees, and how many stand alone."""
+    d = degrees(nodes, edges)
+    return d.groupBy("node_type").agg(F.count("*").alias("nodes"), F.avg("in_degree").alias("mean_in"), F.avg("out_degree").alias("mean_out"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("alone"))
+
+
 def update_edges(edges: DataFrame, where: Column, relation: str) -> DataFrame:
     return edges.withColumn("relation", F.when(where, relation).otherwise(F.col("relation")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import MANY_RESULTS, OVER_BUDGET, SUGGESTIONS
 from ..functions.text import occurrences, token_estimate
 
 WEIGHTS = {"relevance": 0.4, "exact": 0.3, "importance": 0.2, "freshness": 0.1}
@@ -87,6 +88,31 @@ def callees(content: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.startswith("fn") & ~w.startswith("if")))), 1, 5)
 
 
+def related_types(content: Column) -> Column:
+    """Up to five words with a capital first letter, from lines with an impl or a colon and a space."""
+    lines = F.filter(F.split(content, "\n"), lambda line: line.contains("impl ") | line.contains(": "))
+    words = F.flatten(F.transform(lines, lambda line: F.filter(F.split(line, r"\s+"), lambda w: w.rlike(r"^\p{Lu}"))))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+$", "")))), 1, 5)
+
+
+def importance(content: Column) -> Column:
+    """By what is visible outside, then by being a test."""
+    return F.when(content.contains("pub "), 0.9).when(content.contains("#[test]") | content.contains("#[cfg(test)]"), 0.3).otherwise(0.5)
+
+
+def suggestions(query: Column, found: Column) -> Column:
+    """What a reader may try next, for a query that found so many rows."""
+    about = lambda word: query.contains(word) | query.contains(word.capitalize())
+    tests = {"error": about("error"), "test": about("test"), "many": found > 10, "none": found == 0}
+    return F.flatten(F.array(*(F.when(test, F.array(*map(F.lit, SUGGESTIONS[name]))).otherwise(F.array().cast("array<string>")) for name, test in tests.items())))
+
+
+def warnings(tokens: Column, budget: Column | int, found: Column) -> Column:
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    over = F.format_string(OVER_BUDGET, tokens, budget)
+    return F.array_compact(F.array(F.when(tokens > budget, over), F.when(found >= 50, F.lit(MANY_RESULTS))))
+
+
 def select_within(hits: DataFrame, budget: int, limit: int) -> DataFrame:
     """Greedy choice in score order among 2 * limit hits (id, score, snippet): those that fit; while fewer than half
     the limit are chosen, one that does not fit may be cut to 200 characters. The rows are few and fold in one array."""

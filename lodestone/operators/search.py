@@ -1,19 +1,22 @@
 """Full-text search by trigrams: inverted index, thresholds, relevance, top-k, and a relaxed fallback.
 
 An ad-hoc search needs no index and no shuffle: containment tests narrow the scan, occurrences are counted for what is
-left, and the top k comes from TakeOrderedAndProject. Where many searches share a corpus, postings() is written once
-(bucketed by trigram) and search_postings() joins a query's few trigrams to it.
+left, and the top k comes from TakeOrderedAndProject. Where many searches share a corpus, write_index() lays its postings
+out by trigram once, and search_index() reads those of a query's trigrams alone.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.paths import wildcard
 from ..functions.text import basename, occurrences, preview, query_trigrams, trigrams, word_count
+from ..sources import stores
 
 
 def searchable(path: str = "path", content: str = "content") -> Column:
@@ -43,72 +46,168 @@ def length_factor(words: Column, safe: bool = False) -> Column:
     return F.when(words > 0, 1 / (1 + (F.greatest(log, F.lit(0.0)) if safe else log))).otherwise(1.0)
 
 
-def _matched(docs: DataFrame, query: str, as_set: bool) -> tuple[DataFrame, dict[str, int], int]:
+def _counts(query: str, as_set: bool) -> dict[str, int]:
     grams: dict[str, int] = {}
     for t in query_trigrams(query):
         grams[t] = 1 if as_set else grams.get(t, 0) + 1
+    return grams
+
+
+def _times(text: Column, gram: str) -> Column:
+    """Occurrences, which may overlap only where a trigram begins as it ends."""
+    if gram[0] != gram[2]:
+        return occurrences(text, gram)
+    return F.regexp_count(text, F.lit("(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in gram) + ")"))
+
+
+def _measured(docs: DataFrame, make) -> DataFrame:
+    """id and what make(lower-case text) gives, a struct. The text is made once a row, since a generator's result is not
+    worked out again by what stands above it."""
+    low = F.transform(F.array(F.lower(searchable())), make)
+    return docs.select("id", F.inline(low))
+
+
+def _matched(text: Column, grams: dict[str, int]) -> Column:
     count = F.lit(0)
     for t, times in grams.items():
-        count = count + F.when(F.col("_s").contains(t), times).otherwise(0)
-    return docs.withColumn("_s", F.lower(searchable())).withColumn("matched", count), grams, sum(grams.values())
+        count = count + F.when(text.contains(t), times).otherwise(0)
+    return count
 
 
-def _score(matched: DataFrame, grams: dict[str, int], n: int, safe: bool) -> Column:
-    """Occurrences may overlap only where a trigram can overlap itself."""
+def _score(text: Column, matched: Column, grams: dict[str, int], safe: bool) -> Column:
     tf = F.lit(0)
     for t, times in grams.items():
-        tf = tf + times * F.regexp_count("_s", F.lit("(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in t) + ")"))
-    return F.col("matched") / n * 10.0 + tf + length_factor(word_count(F.col("_s")), safe) * 5.0
+        tf = tf + times * _times(text, t)
+    return matched / sum(grams.values()) * 10.0 + tf + length_factor(word_count(text), safe) * 5.0
 
 
 def text_search(docs: DataFrame, query: str, limit: int = 10, safe: bool = False) -> DataFrame:
     """id, matched and score, best first. An empty query finds nothing."""
-    matched, grams, n = _matched(docs, query, False)
+    grams = _counts(query, False)
     if not grams:
         return docs.limit(0).select("id", F.lit(0).alias("matched"), F.lit(0.0).alias("score"))
-    found = matched.filter(F.col("matched") >= threshold(n)).withColumn("score", _score(matched, grams, n, safe))
-    return found.select("id", "matched", "score").orderBy(F.desc("score"), "id").limit(limit)
+    enough = threshold(sum(grams.values()))
+    found = _measured(docs, lambda s: F.struct(_matched(s, grams).alias("matched"), F.when(_matched(s, grams) >= enough, _score(s, _matched(s, grams), grams, safe)).alias("score")))
+    return found.filter("score is not null").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def set_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """id and matched: by the number of distinct query trigrams. An empty query finds every document."""
-    matched, grams, n = _matched(docs, query, True)
-    return matched.filter(F.col("matched") >= set_threshold(n, query)).select("id", "matched").orderBy(F.desc("matched"), "id").limit(limit)
+    grams = _counts(query, True)
+    found = _measured(docs, lambda s: F.struct(_matched(s, grams).alias("matched")))
+    return found.filter(F.col("matched") >= set_threshold(sum(grams.values()), query)).orderBy(F.desc("matched"), "id").limit(limit)
 
 
 def relaxed_search(docs: DataFrame, query: str, limit: int = 10, safe: bool = False) -> DataFrame:
     """As text_search, by the strictest threshold that finds anything, else the five best counts."""
-    matched, grams, n = _matched(docs, query, False)
-    some = matched.filter("matched > 0")
+    grams = _counts(query, False)
+    if not grams:
+        return text_search(docs, query, limit)
+    some = _measured(docs, lambda s: F.struct(_matched(s, grams).alias("matched"), F.when(_matched(s, grams) > 0, _score(s, _matched(s, grams), grams, safe)).alias("score"))).filter("matched > 0")
     best = some.agg(F.max("matched").alias("best"))  # one row
-    least = F.coalesce(*(F.when(F.col("best") >= t, t) for t in relaxed_thresholds(n)), F.lit(1))
-    found = some.crossJoin(F.broadcast(best)).filter(F.col("matched") >= least).withColumn("score", _score(matched, grams, n, safe))
+    least = F.coalesce(*(F.when(F.col("best") >= t, t) for t in relaxed_thresholds(sum(grams.values()))), F.lit(1))
+    found = some.crossJoin(F.broadcast(best)).filter(F.col("matched") >= least)
     return found.select("id", "matched", "score").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """trigram, id and tf: the inverted index. Write it with bucketBy(n, 'trigram') to search without a shuffle."""
+    """trigram, id and tf: the inverted index."""
     grams = docs.select("id", F.explode(trigrams(searchable())).alias("trigram"))
     return grams.groupBy("trigram", "id").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
     s = searchable()
-    return docs.select("id", word_count(s).cast("long").alias("words"), F.size(trigrams(s)).cast("long").alias("trigrams"), F.size(F.array_distinct(trigrams(s))).cast("long").alias("distinct_trigrams"), F.sha2(preview(F.col("content")), 256).alias("preview_sha256"))
+    made = docs.select("id", word_count(s).cast("long").alias("words"), trigrams(s).alias("_t"), "content")
+    return made.select("id", "words", F.size("_t").cast("long").alias("trigrams"), F.size(F.array_distinct("_t")).cast("long").alias("distinct_trigrams"), F.sha2(preview(F.col("content")), 256).alias("preview_sha256"))
+
+
+def index_stats(docs: DataFrame) -> DataFrame:
+    """One row: documents with a trigram, occurrences, pairs of document and trigram, and distinct trigrams.
+
+    Pairs are counted in each document; only the trigrams themselves, which are few, are shuffled."""
+    t = docs.select(trigrams(searchable()).alias("_t"))
+    sums = t.select(F.size("_t").cast("long").alias("n"), F.size(F.array_distinct("_t")).cast("long").alias("d")).agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("d"), F.lit(0)).alias("pairs"))
+    kinds = t.select(F.explode("_t").alias("g")).groupBy("g").agg(F.lit(1)).agg(F.count("*").alias("distinct_trigrams"))
+    return sums.crossJoin(kinds)  # one row each
 
 
-def search_postings(index: DataFrame, stats: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """text_search over an index; the query's trigrams are few and their number is checked by the query's length."""
+def write_index(docs: DataFrame, root: str, buckets: int = 64) -> None:
+    """The postings, laid out by trigram, each with its document's words, so that a search joins nothing."""
+    # what is worked out beside a generator is worked out for each of its rows
+    made = docs.select("id", word_count(searchable()).cast("long").alias("words"), trigrams(searchable()).alias("_t"))
+    grams = made.select("id", "words", F.explode("_t").alias("trigram"))
+    stores.write_keyed(grams.groupBy("trigram", "id", "words").agg(F.count("*").alias("tf")), root, "trigram", ("id",), buckets)
+
+
+def search_index(spark: SparkSession, root: str, query: str, limit: int = 10, safe: bool = False) -> DataFrame:
+    """text_search over a written index: it reads the buckets of the query's trigrams."""
     grams: dict[str, int] = {}
     for t in query_trigrams(query):
         grams[t] = grams.get(t, 0) + 1
     n = sum(grams.values())
-    asked = index.sparkSession.createDataFrame(list(grams.items()), "trigram string, times long")
-    # as a literal test the query's trigrams pass below an aggregation and reach the scan of a stored index
-    hits = index.filter(F.col("trigram").isin(*grams)).join(F.broadcast(asked), "trigram").groupBy("id").agg(F.sum("times").alias("matched"), F.sum(F.col("times") * F.col("tf")).alias("tf"))
-    scored = hits.filter(F.col("matched") >= threshold(n)).join(stats, "id")
-    score = F.col("matched") / n * 10.0 + F.col("tf") + length_factor(F.col("words")) * 5.0
-    return scored.select("id", "matched", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    if not grams:
+        return stores.read_keyed(spark, root).limit(0).select("id", F.lit(0).alias("matched"), F.lit(0.0).alias("score"))
+    times = F.coalesce(*(F.when(F.col("trigram") == t, m) for t, m in grams.items()))
+    hits = stores.read_keyed(spark, root, *grams).groupBy("id").agg(F.sum(times).alias("matched"), F.sum(times * F.col("tf")).alias("tf"), F.max("words").alias("words"))
+    score = F.col("matched") / n * 10.0 + F.col("tf") + length_factor(F.col("words"), safe) * 5.0
+    return hits.filter(F.col("matched") >= threshold(n)).select("id", "matched", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+#: A query's bounds.
+MOST_LIMIT = 100_000
+
+
+@dataclass(frozen=True)
+class Query:
+    """What a search asks for; of() routes a text with a star to the paths, others to the contents."""
+
+    text: str | None = None
+    pattern: str | None = None
+    tags: tuple[str, ...] = ()
+    since: str | None = None
+    until: str | None = None
+    limit: int = 10
+    offset: int = 0
+    context: str = field(default="none", kw_only=True)
+
+    @classmethod
+    def of(cls, text: str, **more) -> Query:
+        made = cls(**({"pattern": text} if "*" in text else {"text": text}), **more)
+        if not 1 <= made.limit <= MOST_LIMIT or made.offset < 0:
+            raise ValueError(f"limit has to be 1 to {MOST_LIMIT} and offset 0 or more")
+        return made
+
+    def within(self, docs: DataFrame) -> DataFrame:
+        """The documents with every tag and of the time that is asked for."""
+        for tag in self.tags:
+            docs = docs.filter(F.array_contains("tags", tag))
+        docs = docs.filter(F.col("updated_at") >= F.lit(self.since).cast("timestamp_ntz")) if self.since else docs
+        return docs.filter(F.col("updated_at") < F.lit(self.until).cast("timestamp_ntz")) if self.until else docs
+
+    def run(self, docs: DataFrame) -> DataFrame:
+        """id and score, a page: by id with score 0 for a path pattern, else best first."""
+        held = self.within(docs)
+        if self.pattern is not None:
+            found = held.filter(wildcard(F.col("path"), self.pattern)).select("id", F.lit(0.0).alias("score")).orderBy("id")
+        else:
+            found = text_search(held, self.text or "", self.offset + self.limit).select("id", "score").orderBy(F.desc("score"), "id")
+        return found.offset(self.offset).limit(self.limit)
+
+
+def search_content(docs: DataFrame, query: Query, as_of: Column) -> tuple[str, DataFrame]:
+    """The kind of search and its rows: none for an empty query, re-ranked and within a token budget for the contexts
+    medium and full (id, score, snippet, tokens), else as it is."""
+    from . import rerank
+
+    if not (query.text or query.pattern):
+        return "regular", docs.limit(0).select("id", F.lit(0.0).alias("score"))
+    if query.pattern is None and query.context in ("medium", "full"):
+        held = query.within(docs)
+        hits = text_search(held, query.text, 3 * query.limit)
+        scored = rerank.optimized(held, hits, query.text, as_of, query.context)
+        return "optimized", rerank.select_within(scored, rerank.PRESETS[query.context][0], query.limit)
+    return ("wildcard" if query.pattern == "*" else "regular"), query.run(docs)
 
 
 # How much more a match in these fields counts.

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def nearest_rank(x: Column, share: float) -> Column:
-    """The value at floor(n * share) of the sorted values, which exact percentiles of Spark do not give."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, F.least(F.floor(F.size(values) * share) + 1, F.size(values)).cast("int"))
-
-
 def ranked_percentiles(df: DataFrame, by: str, x: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles by group without gathering a group: positions come from a sort and a count."""
     counts = df.groupBy(by).agg(F.count(x).alias("_n"))
@@ -21,6 +19,26 @@ def ranked_percentiles(df: DataFrame, by: str, x: str, shares: dict[str, float])
     return placed.groupBy(by).agg(*(F.max(F.when(F.col("_r") == at(s), F.col(x))).alias(name) for name, s in shares.items()))
 
 
+def memory_efficiency(raw: Column, allocated: Column) -> Column:
+    """Bytes of data for each byte taken; 0 where none is taken."""
+    return F.when(allocated == 0, 0.0).otherwise(raw / allocated)
+
+
+def relation_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of true counts: nodes, edges, relations, nodes with an edge out and in, and edges a node."""
+    e = edges.agg(F.count("*").alias("edges"), F.countDistinct("relation").alias("relations"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    both = nodes.agg(F.count("*").alias("nodes")).crossJoin(e)  # one row each
+    return both.withColumn("edges_per_node", F.when(F.col("nodes") > 0, F.col("edges") / F.col("nodes")).otherwise(0.0))
+
+
+def balance(df: DataFrame, part: Column) -> DataFrame:
+    """One row: parts, rows, the least and most rows of a part, their mean, most over mean (skew) and mean over most (how
+    evenly parts are used); what a tree's depth and fill are to a sorted file."""
+    per = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    row = per.agg(F.count("*").alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+    return row.withColumns({"skew": F.col("most") / F.col("mean"), "utilisation": F.col("mean") / F.col("most")})
+
+
 def basic(df: DataFrame, by: str, x: str) -> DataFrame:
     """n, mean, median (mean of the middle two), least, most, population deviation and sample variance."""
     c = F.col(x)
@@ -106,23 +124,51 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
 def token_bucket(df: DataFrame, key: str, ts: str, rate: float) -> DataFrame:
     """allowed for each row of a key in time order: a bucket of rate tokens refills by rate tokens a second.
 
-    Keeps one number for each key, in Python, since each decision depends on the one before."""
-    import pandas as pd
+    Rows stream past in order; between them one key's two numbers are kept, since each decision depends on the one before."""
+    state: dict = {}
+
+    def one(k, t: datetime) -> bool:
+        if state.get("key", state) != k:
+            state.update(key=k, tokens=rate, last=t)
+        tokens = min(rate, state["tokens"] + (t - state["last"]).total_seconds() * rate)
+        state.update(tokens=tokens - (tokens >= 1), last=t)
+        return tokens >= 1
+
+    return _folded(df, key, [ts, "id"], [key, ts], lambda: one, "allowed", pa.bool_())
+
+
+def flushes(df: DataFrame, key: str, ts: str, size: str, rows: int = 100, most_bytes: int = 10 << 20, millis: int = 50) -> DataFrame:
+    """flush: the number of the write that takes a row of a key's buffer. A buffer is written once it holds so many rows or
+    bytes; and before a row that comes millis or more after its first one."""
+    state: dict = {}
+
+    def one(k, t: datetime, n: int) -> int:
+        if state.get("key", state) != k:
+            state.update(key=k, flush=0, held=0, bytes=0, since=t)
+        elif state["held"] and (t - state["since"]) / timedelta(milliseconds=1) >= millis:
+            state.update(flush=state["flush"] + 1, held=0, bytes=0)
+        if not state["held"]:
+            state["since"] = t
+        mine = state["flush"]
+        state.update(held=state["held"] + 1, bytes=state["bytes"] + (n or 0))
+        if state["held"] >= rows or state["bytes"] >= most_bytes:
+            state.update(flush=mine + 1, held=0, bytes=0)
+        return mine
+
+    return _folded(df, key, [ts, "id"], [key, ts, size], lambda: one, "flush", pa.int64())
+
 
-    kind = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+def _folded(df: DataFrame, key: str, order: list[str], needs: list[str], make, name: str, kind: pa.DataType) -> DataFrame:
+    """df with make()'s function of needs, called for the rows of a key in order. No key is gathered: its rows stream."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, "id"])
-        tokens, last, allowed = rate, None, []
-        for t in rows[ts]:
-            if last is not None:
-                tokens = min(rate, tokens + (t - last).total_seconds() * rate)
-            last = t
-            allowed.append(tokens >= 1)
-            tokens -= tokens >= 1
-        return rows.assign(allowed=allowed)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for b in batches:
+            made = [one(*row) for row in zip(*(b.column(c).to_pylist() for c in needs), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, name])
 
-    return df.groupBy(key).applyInPandas(one, f"{kind}, allowed boolean")
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} {'boolean' if kind == pa.bool_() else 'long'}"
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def consistency(docs: DataFrame, indexed: DataFrame) -> DataFrame:

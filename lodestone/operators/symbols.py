@@ -38,6 +38,13 @@ def by_pattern(symbols: DataFrame, pattern: str, types: list[str] | None = None)
     return kept.groupBy("name", "file", "line").agg(F.min("id").alias("id"))
 
 
+def code_search(symbols: DataFrame, pattern: str, limit: int = 10, offset: int = 0, types: list[str] | None = None) -> DataFrame:
+    """A page of by_pattern()'s rows in id order, each with score 1; total counts all of them."""
+    found = by_pattern(symbols, pattern, types)
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy("id").offset(offset).limit(limit).select("id", "name", "file", "line", F.lit(1.0).alias("score")).crossJoin(F.broadcast(total))
+
+
 def type_of(code: Column) -> Column:
     """The name of a symbol type's stored code; null for other codes."""
     return F.get(F.array(*map(F.lit, SYMBOL_CODES)), code.cast("int"))

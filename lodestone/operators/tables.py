@@ -6,11 +6,13 @@ moves a pointer file, and readers follow the pointer.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def insert(docs: DataFrame, new: DataFrame) -> DataFrame:
@@ -24,10 +26,10 @@ def update(docs: DataFrame, new: DataFrame) -> DataFrame:
     return docs.join(known.select("id"), "id", "left_anti").unionByName(known)
 
 
-def upsert(docs: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """The last row of each id by an order column; the new rows win ties."""
+def upsert(docs: DataFrame, new: DataFrame, order: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The last row of each id (or other keys) by an order column; the new rows win ties."""
     both = docs.withColumn("_p", F.lit(0)).unionByName(new.withColumn("_p", F.lit(1)))
-    w = W.partitionBy("id").orderBy(F.desc(order), F.desc("_p"))
+    w = W.partitionBy(*keys).orderBy(F.desc(order), F.desc("_p"))
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_p")
 
 
@@ -40,6 +42,46 @@ def delete_everywhere(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFram
     return {name: delete(t, ids) for name, t in tables.items()}
 
 
+def renamed(versions: DataFrame, moves: DataFrame) -> DataFrame:
+    """A table of versions (path, ...) after files moved (path, to): a file keeps its history under the new path, and
+    renamed_from says where it was. A file that is moved onto another's path takes its place: the other's rows go."""
+    there = moves.select(F.col("path").alias("_from"), F.col("to").alias("_to"))
+    free = versions.join(there.select(F.col("_to").alias("path")).join(there.select(F.col("_from").alias("path")), "path", "left_anti"), "path", "left_anti")
+    moved = free.join(there, F.col("path") == F.col("_from"), "left")
+    return moved.withColumn("renamed_from", F.when(F.col("_to").isNotNull(), F.col("path"))).withColumn("path", F.coalesce("_to", "path")).drop("_from", "_to")
+
+
+def put_all(table: DataFrame, new: DataFrame, order: str, key: str = "key") -> DataFrame:
+    """An ordered map with new entries: of one key the last by order stays, and new ones win over old ones."""
+    last = new.groupBy(key).agg(F.max(F.struct(order, F.struct(*table.columns).alias("row")))["row"].alias("row")).select("row.*")
+    return table.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def remove_all(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def entries_between(table: DataFrame, low, high, key: str = "key") -> DataFrame:
+    """The entries from low to below high; the bounds reach the scan, which sorted files answer from their statistics."""
+    return table.filter((F.col(key) >= low) & (F.col(key) < high))
+
+
+def nearest_keys(table: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
+    """For each asked key (key) below and above: the greatest key at or below it and the least at or above it. One range
+    sort of both tables; each partition's ends go to the others as two rows."""
+    both = table.select(key, F.lit(True).alias("held")).unionByName(asked.select(key, F.lit(False).alias("held")))
+    sorted_ = both.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    local = W.partitionBy("_p").orderBy(key)
+    here = F.when(F.col("held"), F.col(key))
+    marked = sorted_.withColumn("_b", F.max(here).over(local.rangeBetween(W.unboundedPreceding, 0))).withColumn("_a", F.min(here).over(local.rangeBetween(0, W.unboundedFollowing)))
+    ends = sorted_.filter("held").groupBy("_p").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    low = ends.agg(F.array_sort(F.collect_list(F.struct("_p", "low", "high"))).alias("ends"))  # a row for each partition
+    found = marked.filter(~F.col("held")).crossJoin(F.broadcast(low))
+    before = F.array_max(F.transform(F.filter("ends", lambda e: e["_p"] < F.col("_p")), lambda e: e["high"]))
+    after = F.array_min(F.transform(F.filter("ends", lambda e: e["_p"] > F.col("_p")), lambda e: e["low"]))
+    return found.select(key, F.coalesce("_b", before).alias("below"), F.coalesce("_a", after).alias("above"))
+
+
 def apply_changes(docs: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows whose path changed are replaced or added; removed paths go."""
     gone = changed.select("path").unionByName(removed.select("path")).distinct()
@@ -77,10 +119,10 @@ def write_version(df: DataFrame, root: str) -> str:
     spark = df.sparkSession
     name = uuid.uuid4().hex
     df.write.parquet(f"{root}/{name}")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    spark.createDataFrame([(f"{name} {df.schema.json()}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
     return name
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame:
-    name = spark.read.text(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    name, kind = spark.read.text(f"{root}/current").first()[0].split(" ", 1)
+    return spark.read.schema(StructType.fromJson(json.loads(kind))).parquet(f"{root}/{name}")

@@ -73,6 +73,33 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int, damping: int = 60) -> Dat
     return all_.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: The most rows that a search gives.
+MOST_SEMANTIC, MOST_HYBRID, MOST_SIMILAR = 50, 50, 20
+
+
+def check_weights(semantic: float, text: float) -> None:
+    if abs(semantic + text - 1.0) > 0.01:
+        raise ValueError(f"the weights {semantic} and {text} do not add up to 1")
+
+
+def hybrid(meaning: DataFrame, words: DataFrame, k: int = 10, semantic: float = 0.7, text: float = 0.3) -> DataFrame:
+    """Fusion of two ranked lists by weights that add up to 1; at most MOST_HYBRID rows."""
+    check_weights(semantic, text)
+    return fuse([(meaning, semantic), (words, text)], min(k, MOST_HYBRID))
+
+
+def insert(vectors: DataFrame, new: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors with new ones (id, v), which replace those of their ids; and the new rows that were turned away, for
+    another number of dimensions or none at all."""
+    fits = F.coalesce(F.size("v") == dimensions, F.lit(False)) & F.col("id").isNotNull()
+    taken = new.filter(fits)
+    return vectors.join(taken.select("id"), "id", "left_anti").unionByName(taken), new.filter(~fits)
+
+
+def remove(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    return vectors.join(ids.select("id"), "id", "left_anti")
+
+
 def similarity_percent(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), distance)) * 100
 

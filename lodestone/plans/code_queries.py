@@ -165,11 +165,51 @@ def parsed_references(spark, sf_dir):
     return code.references(_files(spark, sf_dir)).select("path", "name", "kind", "line")
 
 
+SCRIPTS = {
+    "py": ("import {0}.{1} as m\nfrom {0} import {1}, x\n\n\nclass {2}(Base):\n    def {0}(self, n: int):\n        return {1}(self.go(n))\n", (("class", 5, 7), ("method", 6, 7))),
+    "js": ("import {{ {1} }} from './{0}'\n// function no() {{}}\nexport class {2} extends Base {{\n  {0}(n) {{ return {1}(this.go(`${{n}}`)) }}\n}}\n", (("class", 3, 5), ("method", 4, 4))),
+    "ts": ("import * as m from './{0}'\nexport interface {2} {{\n  {0}(n: number): void;\n}}\nexport const {1} = (n: {2}) => m.go(n);\n", (("interface", 2, 4), ("method", 3, 3))),
+}
+
+
+def _scripts(spark, sf_dir):
+    """Parts as files of three languages, whose names stand in classes, calls and imports."""
+    p = model.table(spark, sf_dir, "part")
+    a, b = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    kind = F.element_at(F.array(*map(F.lit, SCRIPTS)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    body = F.coalesce(*(F.when(kind == k, F.lit(t.replace("{{", "{").replace("}}", "}"))) for k, (t, _) in SCRIPTS.items()))
+    for place, value in (("{0}", a), ("{1}", b), ("{2}", F.initcap(b))):
+        body = F.replace(body, F.lit(place), value)
+    return p.select(F.concat(F.lit("app/p"), "p_partkey", F.lit("."), kind).alias("path"), body.alias("content"))
+
+
+def script_symbols(spark, sf_dir):
+    found = code.symbols(_scripts(spark, sf_dir)).filter("type in ('class', 'interface', 'method')")
+    return found.select("path", "name", "type", "start", "end", "parent")
+
+
+def script_imports(spark, sf_dir):
+    return code.imports(_scripts(spark, sf_dir)).select("path", "module", F.array_join("items", ",").alias("items"), "alias", "wildcard", "line")
+
+
+def script_references(spark, sf_dir):
+    return code.references(_scripts(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def parse_statistics(spark, sf_dir):
+    """Files of four languages, one in ten cut in the middle: how many hold errors, and the deepest brackets."""
+    files = _files(spark, sf_dir).unionByName(_scripts(spark, sf_dir).filter("path not like '%.py'"))
+    n = F.regexp_extract("path", r"p(\d+)\.", 1).cast("int")
+    cut = files.withColumn("content", F.when(n % 10 == 0, F.substring_index("content", "}", 1)).otherwise(F.col("content")))
+    made = code.parse_stats(cut)
+    return made.groupBy(F.substring_index("path", ".", -1).alias("extension")).agg(F.count("*").alias("files"), F.count_if(F.col("errors") > 0).alias("broken"), F.max("depth").alias("depth"))
+
+
 def parsed_graph(spark, sf_dir):
     return code.code_graph(_files(spark, sf_dir))[1].groupBy("relation").agg(F.count("*").alias("edges"))
 
 
-QUERIES = {f.__name__: f for f in (match_locations, code_snippets, parsed_symbols, parsed_references, parsed_graph, import_lines, reference_lines, text_dependencies, nested_symbols, file_symbols, type_symbols, any_term_symbols, file_replaced, signature_index, impact_paths, graph_statistics, limited_callers, edge_changes, dependents_by_relation, from_dependents, described_edges, symbol_documents, similar_percent, hashed_embeddings, stale_embeddings, index_updated, trigram_sets)}
+QUERIES = {f.__name__: f for f in (match_locations, code_snippets, parsed_symbols, parsed_references, parsed_graph, script_symbols, script_imports, script_references, parse_statistics, import_lines, reference_lines, text_dependencies, nested_symbols, file_symbols, type_symbols, any_term_symbols, file_replaced, signature_index, impact_paths, graph_statistics, limited_callers, edge_changes, dependents_by_relation, from_dependents, described_edges, symbol_documents, similar_percent, hashed_embeddings, stale_embeddings, index_updated, trigram_sets)}
 
 _AB = "w AS (SELECT p_partkey AS id, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part)"
 _BODY = "'fn ' || a || '(x: &str) -> ' || upper(b[1]) || lower(b[2:]) || replace(' {~    // skip(1)~    let y: Kind = ', '~', chr(10)) || b || replace('(x);~    ', '~', chr(10)) || a || replace('!(y)~    let n: Vec<u8> = 1;~}', '~', chr(10))"
@@ -183,15 +223,23 @@ ORACLE = {
         SELECT id, exact, term, nullif(least(CASE WHEN contains(t, 'that') THEN instr(t, 'that') ELSE 1000000 END, CASE WHEN contains(t, 'the') THEN instr(t, 'the') ELSE 1000000 END), 1000000) - 1 AS first, CASE WHEN exact > 0 THEN 'exact_phrase' WHEN term > 1 THEN 'proximity' ELSE 'term' END AS type FROM c""",
     "code_snippets": f"WITH {_AB} SELECT id, CASE WHEN length({_BODY}) <= 80 THEN {_BODY} ELSE '// Lines 1-6' || chr(10) || {_BODY} END AS snippet FROM w",
     "parsed_symbols": f"WITH {_AB} SELECT 'src/p' || id || '.rs' AS path, a AS name, 'function' AS type, 'private' AS visibility, 1 AS start, 6 AS \"end\", 'src/p' || id || '.rs::' || a AS qualified FROM w",
-    "parsed_references": f"WITH {_AB} SELECT 'src/p' || id || '.rs' AS path, b AS name, 'function_call' AS kind, 3 AS line FROM w UNION ALL SELECT 'src/p' || id || '.rs', a, 'macro_invocation', 4 FROM w",
+    "parsed_references": f"WITH {_AB} SELECT 'src/p' || id || '.rs' AS path, b AS name, 'function_call' AS kind, 3 AS line FROM w UNION ALL SELECT 'src/p' || id || '.rs', a, 'macro_invocation', 4 FROM w UNION ALL SELECT 'src/p' || id || '.rs', unnest([upper(b[1]) || lower(b[2:]), 'Kind', 'Vec']), 'type_usage', unnest([1, 3, 5]) FROM w",
+    "script_symbols": f"""WITH {_AB}, s AS (SELECT *, upper(b[1]) || lower(b[2:]) AS c FROM w WHERE true), k AS (SELECT id % 3 AS k, * FROM s)
+        SELECT 'app/p' || id || ['.py', '.js', '.ts'][k + 1] AS path, c AS name, ['class', 'class', 'interface'][k + 1] AS type, [5, 3, 2][k + 1] AS start, [7, 5, 4][k + 1] AS "end", NULL AS parent FROM k
+        UNION ALL SELECT 'app/p' || id || ['.py', '.js', '.ts'][k + 1], a, 'method', [6, 4, 3][k + 1], [7, 4, 3][k + 1], c FROM k""",
+    "script_imports": f"""WITH {_AB}, k AS (SELECT id % 3 AS k, * FROM w) SELECT 'app/p' || id || '.py' AS path, a || '::' || b AS module, '' AS items, 'm' AS alias, false AS wildcard, 1 AS line FROM k WHERE k = 0
+        UNION ALL SELECT 'app/p' || id || '.py', a, b || ',x', NULL, false, 2 FROM k WHERE k = 0 UNION ALL SELECT 'app/p' || id || '.js', './' || a, b, NULL, false, 1 FROM k WHERE k = 1 UNION ALL SELECT 'app/p' || id || '.ts', './' || a, '', 'm', true, 1 FROM k WHERE k = 2""",
+    "script_references": "WITH n AS (SELECT p_partkey % 3 AS k FROM part), t AS (SELECT unnest(CASE k WHEN 0 THEN ['inheritance', 'function_call', 'method_call', 'type_annotation'] WHEN 1 THEN ['inheritance', 'function_call', 'method_call'] ELSE ['type_usage', 'method_call'] END) AS kind FROM n) SELECT kind, count(*) AS n FROM t GROUP BY 1",
+    "parse_statistics": "WITH n AS (SELECT p_partkey AS id, unnest(CASE p_partkey % 3 WHEN 0 THEN ['rs'] WHEN 1 THEN ['rs', 'js'] ELSE ['rs', 'ts'] END) AS extension FROM part) SELECT extension, count(*) AS files, count(*) FILTER (id % 10 = 0) AS broken, CASE extension WHEN 'rs' THEN 2 WHEN 'js' THEN 4 ELSE 2 END AS depth FROM n GROUP BY 1",
     "parsed_graph": f"WITH {_AB}, f AS (SELECT a AS name, id, row_number() OVER (PARTITION BY a ORDER BY length('src/p' || id || '.rs'), 'src/p' || id || '.rs::' || a) AS n FROM w), e AS (SELECT w.id AS s, f.id AS d FROM w JOIN f ON w.b = f.name AND n = 1 UNION ALL SELECT w.id, f.id FROM w JOIN f ON w.a = f.name AND n = 1) SELECT 'calls' AS relation, count(*) AS edges FROM e WHERE s <> d GROUP BY 1",
     "import_lines": f"WITH {_AB} SELECT id, CASE WHEN id % 8 IN (0, 3) THEN a WHEN id % 8 = 1 THEN './' || b WHEN id % 8 = 2 THEN a || '.' || b WHEN id % 8 = 6 THEN './' || a || '.css' END AS module FROM w",
     "reference_lines": f"WITH {_AB} SELECT id, CASE WHEN id % 8 = 4 THEN 'self.' || a END AS reference, {_pick_sql(['public', 'unknown', 'internal'], 'id')} AS visibility FROM w",
     "text_dependencies": f"WITH {_AB} SELECT id, array_to_string(list_sort(list_distinct([a, b, upper(b[1]) || lower(b[2:]), 'Kind', 'Vec'])), ',') AS names FROM w",
-    "nested_symbols": """WITH s AS (SELECT c_custkey AS id, 's' || c_custkey AS name, c_nationkey AS file, round(c_acctbal)::BIGINT AS a, round(c_acctbal)::BIGINT + c_custkey * 37 % 900 AS b FROM customer),
+    "nested_symbols": """WITH RECURSIVE s AS (SELECT c_custkey AS id, 's' || c_custkey AS name, c_nationkey AS file, round(c_acctbal)::BIGINT AS a, round(c_acctbal)::BIGINT + c_custkey * 37 % 900 AS b FROM customer),
         m AS (SELECT s.id, p.id AS parent, row_number() OVER (PARTITION BY s.id ORDER BY p.b - p.a, p.id DESC) AS n FROM s JOIN s p ON s.file = p.file AND p.a <= s.a AND s.b <= p.b AND (p.b - p.a > s.b - s.a OR p.b - p.a = s.b - s.a AND p.id < s.id)),
-        u AS (SELECT s.id, name, parent FROM s LEFT JOIN m ON s.id = m.id AND n = 1)
-        SELECT x.id, x.parent, concat_ws('::', z3.name, z2.name, z1.name, x.name) AS qualified FROM u x LEFT JOIN u z1 ON x.parent = z1.id LEFT JOIN u z2 ON z1.parent = z2.id LEFT JOIN u z3 ON z2.parent = z3.id""",
+        u AS (SELECT s.id, name, parent FROM s LEFT JOIN m ON s.id = m.id AND n = 1),
+        q AS (SELECT id, parent, name AS qualified, parent AS up FROM u UNION ALL SELECT q.id, q.parent, z.name || '::' || q.qualified, z.parent FROM q JOIN u z ON q.up = z.id)
+        SELECT id, parent, qualified FROM q WHERE up IS NULL""",
     "file_symbols": f"WITH {SYMBOLS} SELECT id, name, type, line FROM symbols WHERE file = 'Brand#11.rs'",
     "type_symbols": f"WITH {SYMBOLS} SELECT type, file, count(*) AS symbols FROM symbols WHERE type IN ('PROMO', 'SMALL') GROUP BY ALL",
     "any_term_symbols": f"WITH {SYMBOLS} " + " UNION ".join(f"SELECT * FROM ({_FUZZY_ONE.format(q=q)})" for q in ("green", "blue", "ivory")),

@@ -95,6 +95,14 @@ def front_matter(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (relevance_scores, snippet_window, relevance_rerank, token_budget, token_usage, insert_new, update_known, upsert_latest, delete_anti, incremental_changes, change_sets, front_matter)}
 
 _C = "lower(content)"
+_TOKENS = "floor(len(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')) * 1.3 + len(regexp_extract_all({0}, '[!-/:-@\\[-`{{-~]')) * 0.3 + 1e-9)::BIGINT"
+_WHOLE, _SHORT = "n < 10 AND used + a <= 1200", "n < 5 AND used + b <= 1200"
+#: The greedy choice, a row a step: what does not fit leaves id null.
+_CHOSEN = f"""WITH RECURSIVE {DOCS}, d AS (SELECT row_number() OVER (ORDER BY id % 97 DESC, id) AS r, id, content AS s, CASE WHEN length(content) > 200 THEN content[1:200] || '...' ELSE content END AS h FROM docs QUALIFY r <= 20),
+        t AS (SELECT r, id AS i, s, h, {_TOKENS.format("s")} AS a, {_TOKENS.format("h")} AS b FROM d),
+        f AS (SELECT 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS tokens, NULL::BOOLEAN AS cut, NULL::VARCHAR AS snippet UNION ALL
+              SELECT t.r, used + CASE WHEN {_WHOLE} THEN a WHEN {_SHORT} THEN b ELSE 0 END, n + CASE WHEN {_WHOLE} OR {_SHORT} THEN 1 ELSE 0 END, CASE WHEN {_WHOLE} OR {_SHORT} THEN i END,
+                     CASE WHEN {_WHOLE} THEN a WHEN {_SHORT} THEN b END, CASE WHEN {_WHOLE} THEN false WHEN {_SHORT} THEN true END, CASE WHEN {_WHOLE} THEN s WHEN {_SHORT} THEN h END FROM f JOIN t ON t.r = f.r + 1)"""
 
 
 def _exact(q):
@@ -123,6 +131,8 @@ ORACLE = {
     "relevance_rerank": f"""WITH h AS ({_ranked_sql(SHORT, "2", 40)}), {DOCS}, j AS (SELECT docs.*, score AS base, max(score) OVER () AS top FROM docs JOIN h ON docs.id = h.id),
         s AS (SELECT id, least(greatest(0.4::DOUBLE * least(greatest(base / top, 0.0), 1.0) + 0.3::DOUBLE * {_exact(SHORT)} + 0.2::DOUBLE * {_IMPORTANCE.format(c=_C, q=SHORT)} + 0.1::DOUBLE * {_FRESH}, 0.0), 1.0) AS score FROM j)
         SELECT id, round(score, 6) AS score FROM s ORDER BY round(s.score, 6) DESC, id LIMIT 15""",
+    "token_budget": f"{_CHOSEN} SELECT n AS rank, id, tokens, cut FROM f WHERE id IS NOT NULL",
+    "token_usage": f"{_CHOSEN} SELECT coalesce(sum(tokens), 0)::BIGINT AS tokens, round(least(coalesce(sum(tokens), 0) / 1200.0, 1.0), 6)::DOUBLE AS efficiency, count(*) FILTER (ends_with(snippet, '...')) AS truncated FROM f WHERE id IS NOT NULL",
     "insert_new": f"WITH {_SMALL}, u AS (SELECT * FROM d UNION ALL SELECT id + 500, path, size FROM d WHERE id + 500 NOT IN (SELECT id FROM d)) SELECT path LIKE '%7.md' AS seven, count(*) AS n, sum(size)::BIGINT AS size FROM u GROUP BY 1",
     "update_known": f"WITH {_SMALL}, n AS (SELECT id * 2 AS id, 'moved' AS path, size FROM d WHERE id % 3 = 0 AND id * 2 IN (SELECT id FROM d)) SELECT * FROM d WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n",
     "upsert_latest": f"WITH {_SMALL} SELECT id, CASE WHEN size * 2 % 5000 >= size THEN 'new' ELSE path END AS path, greatest(size * 2 % 5000, size) AS size FROM d",

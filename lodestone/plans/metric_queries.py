@@ -102,8 +102,7 @@ def rolling_percentiles(spark, sf_dir):
 
 
 def sample_terms(spark, sf_dir):
-    d = model.docs(spark, sf_dir).filter("size between 40 and 1000")
-    return stats.sample_terms(d)
+    return stats.sample_terms(model.docs(spark, sf_dir))
 
 
 def symbol_counts(spark, sf_dir):
@@ -167,7 +166,7 @@ ORACLE = {
     "metric_problems": f"""WITH {MEASUREMENTS}, a AS (SELECT key, CASE WHEN key % 10 = 0 THEN 0 ELSE count(*) END AS n, CASE WHEN key % 7 = 0 THEN 0 ELSE sum(size) * 30 END AS total FROM m GROUP BY key)
         SELECT key, array_to_string(list_filter([CASE WHEN total < n THEN 'size_below_count' END, CASE WHEN n = 0 AND total >= 1024 THEN 'size_without_documents' END, CASE WHEN n > 0 AND NOT (total > 0 AND total / n < 100000000) THEN 'odd_mean' END], lambda x: x IS NOT NULL), ',') AS problems FROM a""",
     "rolling_percentiles": f"WITH {MEASUREMENTS}, w AS (SELECT id, key, list(ms) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS v FROM m) SELECT id, key, round(list_sort(v)[least(floor(len(v) * 0.95)::INT + 1, len(v))], 6) AS p95 FROM w",
-    "sample_terms": f"""WITH {DOCS}, f AS (SELECT id, string_split({_clean_sql("content")}, ' ') AS w FROM docs WHERE size BETWEEN 40 AND 1000 ORDER BY id LIMIT 5),
+    "sample_terms": f"""WITH {DOCS}, f AS (SELECT id, string_split({_clean_sql("content")}, ' ') AS w FROM docs ORDER BY id LIMIT 5),
         t AS (SELECT id, list_filter(w, lambda t: CASE WHEN contains(t, '*') THEN t = '*' OR strlen(replace(t, '*', '')) BETWEEN 1 AND 100 ELSE strlen(t) BETWEEN 1 AND 100 AND regexp_matches(t, '\\p{{L}}') END)[1:3] AS w FROM f), u AS (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS place FROM t),
         g AS (SELECT lower(term) AS term, min(id * 10 + place) AS o FROM u WHERE lower(term) NOT IN ({_WORDS}) AND NOT regexp_matches(lower(term), 'password|secret|token|\\p{{N}}') AND strlen(term) > 2 GROUP BY 1) SELECT term FROM g ORDER BY o LIMIT 4""",
     "symbol_counts": f"WITH {SYMBOLS} SELECT count(*) AS symbols, count(DISTINCT file) AS files, count(DISTINCT name) AS names, count(DISTINCT type) AS types, round(count(*)::DOUBLE / count(DISTINCT file), 6) AS density FROM symbols",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, sanitize, text
 from ..functions.fixed_values import LANGUAGE_EXTENSIONS, RESERVED_NAMES, TEST_PREFIXES, TEST_SUFFIXES
 from ..operators import search
+from ..sources import stores
 from . import model
 from .model import DOCS, SEARCH
 
@@ -65,8 +66,9 @@ def text_search_paged(spark, sf_dir):
 
 
 def text_search_postings(spark, sf_dir):
-    docs = model.docs(spark, sf_dir)
-    return _rounded(search.search_postings(search.postings(docs), search.doc_stats(docs), RANKED))
+    """Over the index that the first search of these documents writes."""
+    at = stores.stored(spark, "trigrams-2", [f"{sf_dir}/documents.parquet"], lambda root: search.write_index(model.docs(spark, sf_dir), root))
+    return _rounded(search.search_index(spark, at, RANKED))
 
 
 def trigram_postings(spark, sf_dir):
@@ -78,8 +80,7 @@ def trigram_doc_stats(spark, sf_dir):
 
 
 def trigram_index_stats(spark, sf_dir):
-    index = search.postings(model.docs(spark, sf_dir))
-    return index.agg(F.countDistinct("id").alias("documents"), F.sum("tf").alias("occurrences"), F.count("*").alias("pairs"), F.countDistinct("trigram").alias("distinct_trigrams"))
+    return search.index_stats(model.docs(spark, sf_dir))
 
 
 def _wild(pattern):
@@ -103,7 +104,7 @@ def doc_list_tags_page(spark, sf_dir):
 
 
 def sanitize_terms(spark, sf_dir):
-    c = model.table(spark, sf_dir, "conversations").filter(F.octet_length("text") <= sanitize.QUERY_BYTES)
+    c = model.table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", sanitize.sanitized(F.col("text")).alias("clean"))
 
 
@@ -186,9 +187,9 @@ ORACLE = {
     "primary_search": _wild_sql("path LIKE 'src1%/en/%'") + " ORDER BY id LIMIT 25",
     "doc_filter_multi": f"WITH {DOCS} SELECT id, path, size FROM docs WHERE (contains(lower(content), 'tion') OR contains(lower(title), 'tion') OR contains(lower(path), 'tion')) AND list_contains(tags, 'en') AND starts_with(path, 'src1')",
     "doc_list_tags_page": f"WITH {DOCS}, h AS (SELECT id, path, count(*) OVER () AS total FROM docs WHERE list_contains(tags, 'en') AND list_contains(tags, 'src3') AND starts_with(path, 'src3/')) SELECT * FROM h ORDER BY id LIMIT 20 OFFSET 5",
-    "sanitize_terms": f"""WITH c AS (SELECT conv_id, turn, string_split({_clean_sql("text")}, ' ') AS w FROM conversations WHERE strlen(text) <= 1024),
-        k AS (SELECT conv_id, turn, array_to_string(list_filter(w, lambda t: CASE WHEN contains(t, '*') THEN t = '*' OR strlen(replace(t, '*', '')) BETWEEN 1 AND 100 ELSE strlen(t) BETWEEN 1 AND 100 AND regexp_matches(t, '\\p{{L}}') END)[1:50], ' ') AS clean FROM c)
-        SELECT conv_id, turn, CASE WHEN clean <> '' THEN clean END AS clean FROM k""",
+    "sanitize_terms": f"""WITH c AS (SELECT conv_id, turn, strlen(text) AS size, string_split({_clean_sql("text")}, ' ') AS w FROM conversations),
+        k AS (SELECT conv_id, turn, size, array_to_string(list_filter(w, lambda t: CASE WHEN contains(t, '*') THEN t = '*' OR strlen(replace(t, '*', '')) BETWEEN 1 AND 100 ELSE strlen(t) BETWEEN 1 AND 100 AND regexp_matches(t, '\\p{{L}}') END)[1:50], ' ') AS clean FROM c)
+        SELECT conv_id, turn, CASE WHEN clean <> '' AND size <= 1024 THEN clean END AS clean FROM k""",
     "stop_word_filter": f"WITH {DOCS}, w AS (SELECT id, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM docs) SELECT id, len(w) AS words, len(list_filter(w, lambda x: x NOT IN ({_LIST}))) AS kept FROM w",
     "validate_paths": f"WITH {DOCS}, {_RAW_SQL}, a AS (SELECT id, path FROM docs UNION ALL SELECT * FROM raw) SELECT id, path, array_to_string(list_filter([{', '.join(f'CASE WHEN {t} THEN {n!r} END' for n, t in _PROBLEMS.items())}], lambda x: x IS NOT NULL), ',') AS problems FROM a",
     "language_from_ext": f"WITH {DOCS}, {_RAW_SQL}, a AS (SELECT path FROM docs UNION ALL SELECT path FROM raw) SELECT CASE {_EXT} {' '.join(f'WHEN {k!r} THEN {v!r}' for v, ks in LANGUAGE_EXTENSIONS.items() for k in ks)} ELSE 'Other' END AS language, count(*) AS files FROM a GROUP BY 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -88,6 +89,27 @@ def branch(ref: Column) -> Column:
     return F.nullif(F.regexp_extract(ref, "^refs/(?:heads|tags)/(.+)$", 1), F.lit(""))
 
 
+COMMIT = "sha string, author string, email string, ts long, parents array<string>, message string, files array<string>, added int, removed int"
+
+
+def _record(text: str) -> tuple:
+    """A record of the log's format: fields between unit separators, the changes of files last."""
+    sha, author, email, ts, parents, message, stats = text.split("\x1f")
+    rows = [x.split("\t") for x in stats.strip().splitlines() if x.count("\t") == 2]
+    number = lambda x: int(x) if x.isdigit() else 0
+    return sha, author, email, int(ts), parents.split(), message.strip(), [r[2] for r in rows], sum(number(r[0]) for r in rows), sum(number(r[1]) for r in rows)
+
+
+def parsed_log(records: DataFrame) -> DataFrame:
+    """The commits of a log that was written elsewhere (record: one commit's text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([_record(x) for x in b["record"]], columns=[x.split()[0] for x in COMMIT.split(", ")])
+
+    return records.select("record").mapInPandas(run, COMMIT)
+
+
 class _Log(DataSourceReader):
     def __init__(self, options):
         self.path, self.limit = options["path"], int(options.get("limit", 1000))
@@ -98,11 +120,7 @@ class _Log(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         mark = "\x1e%H\x1f%an\x1f%ae\x1f%at\x1f%P\x1f%B\x1f"
         run = subprocess.run(["git", "-C", self.path, "log", f"-n{self.limit}", "--numstat", "-m", "--first-parent", f"--format={mark}"], capture_output=True, text=True, check=True)
-        for record in run.stdout.split("\x1e")[1:]:
-            sha, author, email, ts, parents, message, stats = record.split("\x1f")
-            rows = [x.split("\t") for x in stats.strip().splitlines() if x.count("\t") == 2]
-            number = lambda x: int(x) if x.isdigit() else 0
-            yield sha, author, email, int(ts), parents.split(), message.strip(), [r[2] for r in rows], sum(number(r[0]) for r in rows), sum(number(r[1]) for r in rows)
+        yield from map(_record, run.stdout.split("\x1e")[1:])
 
 
 class CommitLog(DataSource):
@@ -113,7 +131,7 @@ class CommitLog(DataSource):
         return "commit_log"
 
     def schema(self) -> str:
-        return "sha string, author string, email string, ts long, parents array<string>, message string, files array<string>, added int, removed int"
+        return COMMIT
 
     def reader(self, schema) -> DataSourceReader:
         return _Log(self.options)

@@ -60,13 +60,14 @@ def stale_jobs(stream: DataFrame, key: str, ts: str, silence_minutes: int = 45,
             state.remove()
             yield pd.DataFrame({key: [k[0]], "last": [last]})
             return
-        last = max([int(t.timestamp() * 1000) for b in batches for t in b[ts]], default=0)
+        last = max([int(b["_ms"].max()) for b in batches if len(b)], default=0)
         last = max(last, state.get[0]) if state.exists else last
         state.update((last,))
         state.setTimeoutTimestamp(last + silence_minutes * 60_000)
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, last long", "last long", "update", GroupStateTimeout.EventTimeTimeout)
+    beats = stream.select(key, ts, F.unix_millis(ts).alias("_ms")).withWatermark(ts, late)
+    return beats.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, last long", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def claim_order(batch: DataFrame, most: int) -> DataFrame:
@@ -74,6 +75,27 @@ def claim_order(batch: DataFrame, most: int) -> DataFrame:
     return batch.filter("status = 'queued'").orderBy(F.desc("priority"), "queued_at", "id").limit(most)
 
 
+def folded(stream: DataFrame, root: str, empty: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """A versioned table below root after apply(table, batch) for each micro-batch. A batch that is repeated after a
+    failure starts from the version before it, so apply has to give the same for rows that are there already."""
+    from ..operators import tables
+
+    spark = stream.sparkSession
+    tables.write_version(empty, f"{root}/table")
+
+    def take(batch: DataFrame, n: int) -> None:
+        tables.write_version(apply(tables.read_version(batch.sparkSession, f"{root}/table"), batch), f"{root}/table")
+
+    each_batch(stream, take, f"{root}/checkpoint").awaitTermination()
+    return tables.read_version(spark, f"{root}/table")
+
+
+def buffered(spark, kind, path: str, files: int = 100, most_bytes: int | None = None, **options) -> DataFrame:
+    """A stream of files whose micro-batches, as a write buffer's flushes, take so many files or bytes at most."""
+    reader = spark.readStream.schema(kind).options(**options)
+    return (reader.option("maxBytesPerTrigger", most_bytes) if most_bytes else reader.option("maxFilesPerTrigger", files)).parquet(path)
+
+
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
     """handle for each micro-batch; a batch that is repeated after a failure has the same number."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -36,6 +36,21 @@ def test_token_bucket_by_hand(spark, sf):
     assert made == want
 
 
+def test_stream_token_bucket_by_hand(spark, sf):
+    """The stream's buckets of one batch are those of the rows in order."""
+    import pandas as pd
+
+    made = {r["key"]: (r["n"], r["allowed"]) for r in registry.queries()["stream_token_bucket"](spark, sf).collect()}
+    events, want = pd.read_parquet(f"{sf}/events.parquet"), {}
+    for key, g in events.groupby("user_id"):
+        tokens, last, ok = 1.0, None, 0
+        for t in g.ts.sort_values():
+            tokens, last = min(1.0, tokens + (t - last).total_seconds()) if last is not None else tokens, t
+            ok, tokens = (ok + 1, tokens - 1) if tokens >= 1 else (ok, tokens)
+        want[key] = (len(g), ok)
+    assert made == want
+
+
 def test_budget_by_hand(spark):
     from lodestone.operators import rerank
 
@@ -51,3 +66,4 @@ def test_entry_and_guard(spark):
 
     assert __spark_entry__.entry(spark).columns == ["id", "matched", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__._llm("nothing_of_that_name") is None
