@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, join_hot, table
 
 #: In the order of kinds. They match what the plain patterns match; possessive loops need no stack for long runs, and the
 #: looks behind start a search at a run's beginning or where the last match ended, since it fails elsewhere.
@@ -134,6 +134,7 @@ def disclosing(scratch: Scratch, docs: DataFrame, found: DataFrame, support: int
     by_doc = found.filter(F.size("entities") > 0)
     counts = scratch.cut(term_counts(docs), "counts").df
     total = docs.agg(F.count("*").alias("n"))
+    postings = counts.agg(F.sum("n_t")).first()[0] or 0
     entities = by_doc.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     entities = scratch.cut(entities.crossJoin(F.broadcast(total)).filter(F.col("n_e") < F.col("n")), "entities").df  # total is one row
     # P(e|t) is below n(e) / n(t), so a term of more documents than this tells too little of any entity, whatever n(e,t)
@@ -142,12 +143,14 @@ def disclosing(scratch: Scratch, docs: DataFrame, found: DataFrame, support: int
     common = counts.filter(F.col("n_t") > F.greatest("most", F.col("n") * COMMON)).select("term")
     rare = counts.filter(F.col("n_t") <= F.col("most")).select("term", "n_t")
     held = by_doc.select("_id", "_h", "entities", F.explode(F.array_distinct(F.transform("places", lambda p: p["term"]))).alias("term")).join(F.broadcast(common), "term", "left_anti")
-    held = scratch.cut(held.join(rare, "term"), "held").df.withColumn("entity", F.explode("entities")).drop("entities")
+    # a term of very many documents, or a pair of them, is met by broadcast
+    held = scratch.cut(join_hot(held, rare, ["term"], postings, "n_t"), "held").df.withColumn("entity", F.explode("entities")).drop("entities")
     pairs = held.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("n_t").alias("n_t")).join(entities, "entity")
     p, a = F.col("n_e") / F.col("n"), F.lit(float(support) ** 2) / F.pow("n_et", F.lit(1.5))
     share = 1 - F.log2((F.col("n_et") + a * p) / (F.col("n_t") + a)) / F.log2(p)
-    flagged = pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
-    return scratch.cut(held.join(flagged, ["entity", "term"]).groupBy("_id", "_h", "term").agg(F.max("share").alias("share")), "flagged").df
+    flagged = scratch.cut(pairs.select("entity", "term", share.alias("share"), "n_et").filter(F.col("share") >= generalise), "pairs").df
+    rows = flagged.agg(F.sum("n_et")).first()[0] or 0
+    return scratch.cut(join_hot(held, flagged, ["entity", "term"], rows, "n_et").groupBy("_id", "_h", "term").agg(F.max("share").alias("share")), "flagged").df
 
 
 def _key(docs: DataFrame) -> DataFrame:
