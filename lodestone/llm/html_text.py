@@ -53,6 +53,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.away, self.by_class = ["#root"], [-1], [False], [False]
+        self.within = [False]  # in an article
         self.pieces: list[tuple[int, str | None]] = []  # None: a block begins or ends here
         self._read(page)
 
@@ -67,15 +68,16 @@ class Tree:
             if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
                 away = True
             names = f"{found.get('class', '')} {found.get('id', '')}"
-            inside = any(self.tag[i] in ("article", "main") for i in stack)
+            inside = self.within[up]
             if tag not in ("html", "body") and (found.get("role", "").lower() in _ROLES or _AWAY.search(names) or (_HEADER.search(names) and not inside and tag not in _WHOLE)):
                 named = True
-        if tag == "header" and not any(self.tag[i] in ("article", "main") for i in stack):
+        if tag == "header" and not self.within[up]:
             named = True
         self.tag.append(tag)
         self.parent.append(up)
         self.away.append(away)
         self.by_class.append(named)
+        self.within.append(self.within[up] or tag in ("article", "main"))
         return len(self.tag) - 1
 
     def _read(self, page: str) -> None:
