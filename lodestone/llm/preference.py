@@ -39,8 +39,9 @@ def numbered(conversations: DataFrame) -> DataFrame:
     return turns.withColumn("place", F.struct("turn", (F.row_number().over(same) - 1).alias("k"))).drop("turn")
 
 
-def pair_by_opening(turns: DataFrame) -> DataFrame:
-    """chosen and rejected (null without partner), each conversation in one pair."""
+def pair_by_opening(scratch: Scratch, turns: DataFrame) -> DataFrame:
+    """chosen and rejected (null without partner), each conversation in one pair. A level is written once: its pairs and
+    what it leaves to the next are read from there."""
     first = turns.groupBy("conv_id").agg(F.min(F.struct("place", F.xxhash64("role", "text").alias("h")))["h"].alias("opening"))
     left, pairs = first, None
     for level in range(1, LEVELS + 1):
@@ -48,7 +49,7 @@ def pair_by_opening(turns: DataFrame) -> DataFrame:
         here = W.partitionBy("opening", block).orderBy("conv_id")
         n = F.row_number().over(here)
         marked = left.select("*", n.alias("n"), F.lead("conv_id").over(here).alias("next"))
-        odd = marked.filter(F.col("n") % 2 == 1)
+        odd = scratch.cut(marked.filter(F.col("n") % 2 == 1).drop("n"), "level").df
         made = odd.filter(F.col("next").isNotNull()).select(F.col("conv_id").alias("chosen"), F.col("next").alias("rejected"))
         pairs = made if pairs is None else pairs.unionByName(made)
         left = odd.filter(F.col("next").isNull()).select("conv_id", "opening")
@@ -80,7 +81,7 @@ def render(formatted: DataFrame) -> DataFrame:
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "preference")
     turns = numbered(table(spark, sf_dir, "conversations"))
-    pairs = scratch.cut(pair_by_opening(turns), "pairs").df
+    pairs = scratch.cut(pair_by_opening(scratch, turns), "pairs").df
     return format_pairs(turns, pairs)
 
 
