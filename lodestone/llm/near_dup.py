@@ -476,3 +476,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> Dat
         one = W.partitionBy("doc_id").orderBy(F.xxhash64("row"))
         kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     return kept.select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+#: Every pair that shares a shingle is counted here: for small tables alone.
+ORACLE_SQL = {
+    "op9_near_dup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+             m AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id, coalesce(d.doc_id <= m.b, true) AS kept
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.a"""
+}

@@ -206,3 +206,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cascade = fit_cascade(docs)
     return map_texts(docs, ["text"], lambda: measure(cascade), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean", ["doc_id"])
+
+
+#: The rules in SQL; "letters" and "capitals" are Unicode classes there too.
+ORACLE_SQL = {
+    "op6_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+             w AS (SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(x, '[^\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+') AS u,
+                          list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+             g AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW})),
+             again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+             gaps AS (SELECT r, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, {WINDOW})) AS n FROM again),
+             repeats AS (SELECT r, sum(n)::BIGINT AS n_repeat_words FROM gaps GROUP BY r),
+             f AS (SELECT w.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, len(regexp_extract_all(x, '[{SYMBOLS}]')) AS n_symbols,
+                          len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                          len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stutters,
+                          len(list_filter(u, lambda y: length(y) > 1 AND regexp_matches(y, '\p{{Lu}}') AND NOT regexp_matches(y, '[\p{{Ll}}\p{{Lt}}ªº]'))) AS upper,
+                          len(list_filter(u, lambda y: regexp_matches(y, '\p{{L}}'))) AS alpha
+                   FROM w LEFT JOIN repeats ON w.r = repeats.r),
+             b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * stutters > 3 * n_words OR NOT word_chars BETWEEN 2 * n_words AND 20 * n_words
+                    OR 10 * upper > 4 * greatest(n_words, 1) OR 10 * alpha < 7 * n_words) AS kept
+        FROM b"""
+}

@@ -519,6 +519,18 @@ def test_main_text():
     assert len(html_text.main_text("<div>" * 3000 + para)) == len(clean)
 
 
+def test_main_text_of_deep_pages_is_linear():
+    import time
+
+    def seconds(depth):
+        page, began = "<div class=x>" * depth + "<p>" + "Prose, with commas. " * 20, time.perf_counter()
+        assert html_text.main_text(page).startswith("Prose")
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 16 * max(seconds(2000), 0.01)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<a href='x'>", "</a>", "<li>", "<td>", "<table>", "</table>", "text, more", "<", ">", "&amp", "&#x41;", "<!--", "-->", "<script>", "</script>", "<br/>", '<p class="x', "<article>", "</article>", "</body>"]), max_size=30))
 def test_main_text_survives(parts):
