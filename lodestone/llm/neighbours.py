@@ -154,22 +154,24 @@ class Index:
         q_rough, q_square = q.astype(np.float32), q @ q
         slack = ROUNDING * (q_square + self.p_square.max())
         wait_rows, wait_far = np.empty(0, np.int64), np.empty(0)
-        rows, every, at, done, stop = [], np.empty(0, np.float32), 0, 0, np.inf
+        rows, scores, best, at, done, stop = [], [], np.empty(0, np.float32), 0, 0, np.inf
         while True:
             if np.isfinite(kth):  # a score of kth is a squared distance of base - 2 kth
                 stop = self.limit * max(base - 2 * kth, 0.0) + slack
             # no point of a leaf still to come is nearer than its box
             ready = np.flatnonzero(wait_far <= min(reach[at] + slack, stop))
             if len(ready):
-                most = max(STEP, len(every) // 4)
+                most = max(STEP, sum(map(len, rows)) // 2)
                 mine = ready if len(ready) <= most else ready[np.argpartition(wait_far[ready], most)[:most]]
                 rows.append(wait_rows[mine])
-                every = np.concatenate([every, self.rough[wait_rows[mine]] @ rough_query])
+                scores.append(self.rough[rows[-1]] @ rough_query)
                 left = np.ones(len(wait_rows), bool)
                 left[mine] = False
                 wait_rows, wait_far = wait_rows[left], wait_far[left]
-                if len(every) > k:  # one more than k: the query's own point may be among them
-                    kth = max(kth, float(np.partition(every, len(every) - k - 1)[len(every) - k - 1]) * unit)
+                best = np.concatenate([best, scores[-1]])
+                if len(best) > k:  # one more than k: the query's own point may be among them
+                    best = np.partition(best, len(best) - k - 1)[len(best) - k - 1 :]
+                    kth = max(kth, float(best[0]) * unit)
                 continue
             if at == len(by_box) or reach[at] > stop:
                 break
@@ -183,7 +185,7 @@ class Index:
             at, done = to, int(sizes[to - 1])
         if not rows:
             return np.empty(0, np.int64), np.empty(0)
-        rows, rough = np.concatenate(rows), every
+        rows, rough = np.concatenate(rows), np.concatenate(scores)
         self.verified, self.asked = self.verified + len(rows), self.asked + 1
         if len(rows) > k + 1:  # all that single precision cannot tell from the best k + 1
             least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
