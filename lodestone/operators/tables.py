@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import cut
+
 
 def insert(docs: DataFrame, new: DataFrame) -> DataFrame:
     """With the new rows whose id is not there yet."""
@@ -70,7 +72,7 @@ def nearest_keys(table: DataFrame, asked: DataFrame, key: str = "key") -> DataFr
     """For each asked key (key) below and above: the greatest key at or below it and the least at or above it. One range
     sort of both tables; each partition's ends go to the others as two rows."""
     both = table.select(key, F.lit(True).alias("held")).unionByName(asked.select(key, F.lit(False).alias("held")))
-    sorted_ = both.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    sorted_ = cut(both.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))  # once: borders come from a sample
     local = W.partitionBy("_p").orderBy(key)
     here = F.when(F.col("held"), F.col(key))
     marked = sorted_.withColumn("_b", F.max(here).over(local.rangeBetween(W.unboundedPreceding, 0))).withColumn("_a", F.min(here).over(local.rangeBetween(0, W.unboundedFollowing)))

@@ -80,4 +80,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("operation"), F.col("value").alias("ms"), F.col("user_id").alias("key"), F.get_json_object("props", "$.k").cast("long").alias("size"))
 
 
+#: A user's events in order, folded by a bucket of one token that fills up by one a second: k tokens left, n events let by.
+BUCKETS = """folded AS (SELECT key, list_reduce(l, lambda a, x: {'t': x.t, 'k': least(1.0, a.k + (x.t - a.t) / 1e6) - (least(1.0, a.k + (x.t - a.t) / 1e6) >= 1)::INT, 'n': a.n + (least(1.0, a.k + (x.t - a.t) / 1e6) >= 1)::INT},
+        {'t': -1000000000000000000::BIGINT, 'k': 1.0::DOUBLE, 'n': 0::BIGINT}) AS f, len(l) AS n FROM (SELECT user_id AS key, list({'t': epoch_us(ts), 'k': 1.0::DOUBLE, 'n': 0::BIGINT} ORDER BY ts, event_id) AS l FROM events GROUP BY 1))"""
 MEASUREMENTS = "m AS (SELECT event_id AS id, ts, event_type AS operation, value AS ms, user_id AS key, (props::JSON->>'k')::BIGINT AS size FROM events)"

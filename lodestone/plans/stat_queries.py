@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from . import model
-from .model import DOCS, MEASUREMENTS
+from .model import BUCKETS, DOCS, MEASUREMENTS
 
 AS_OF = "timestamp_ntz'2024-01-20 00:00:00'"
 
@@ -156,6 +156,7 @@ QUERIES = {f.__name__: f for f in (basic_stats, document_totals, storage_efficie
 _DASH = f"WITH {MEASUREMENTS}, d AS (SELECT operation, count(*) AS n, avg(ms) AS mean, quantile_cont(ms, 0.95) AS p95, stddev_pop(ms) AS sd, count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6 AS per_second FROM m GROUP BY operation)"
 _CLASS = "CASE WHEN r2 <= 0.8 THEN 'unclear' WHEN slope < 0.2 THEN 'constant' WHEN slope < 0.8 THEN 'logarithmic' WHEN slope < 1.2 THEN 'linear' WHEN slope < 1.8 THEN 'linearithmic' ELSE 'quadratic' END"
 ORACLE = {
+    "token_bucket": f"WITH {BUCKETS} SELECT key, f.n AS allowed, n FROM folded",
     "basic_stats": f"WITH {MEASUREMENTS} SELECT operation, count(ms) AS n, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(min(ms), 6) AS least, round(max(ms), 6) AS most, round(stddev_pop(ms), 6) AS sd, round(var_samp(ms), 6) AS variance FROM m GROUP BY operation",
     "document_totals": f"WITH {DOCS} SELECT tags[1] AS lang, count(*) AS documents, sum(size)::BIGINT AS total, (sum(size)::BIGINT // count(*)) AS mean_size, count(DISTINCT tags[2]) AS sources FROM docs GROUP BY 1",
     "storage_efficiency": f"WITH {DOCS}, a AS (SELECT count(*) AS documents, sum(size)::BIGINT AS total, sum(strlen(content)) AS c FROM docs), b AS (SELECT *, total // documents AS mean_size FROM a) SELECT documents, total, mean_size, round(c / total * (1 - CASE WHEN mean_size < 4096 THEN 0.15::DOUBLE * (1 - mean_size / 4096) ELSE 0 END) * 0.9::DOUBLE, 6) AS efficiency FROM b",

@@ -305,4 +305,8 @@ ORACLE = {
     "nearest_keys": "WITH t AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 = 0), a AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT a.key, t.key AS below FROM a ASOF LEFT JOIN t ON a.key >= t.key), c AS (SELECT a.key, t.key AS above FROM a ASOF LEFT JOIN t ON a.key <= t.key) SELECT b.key, below, above FROM b JOIN c ON b.key = c.key",
     "stale_heartbeats": "WITH l AS (SELECT user_id AS key, epoch_ms(max(ts)) AS last FROM events GROUP BY 1) SELECT key, last FROM l WHERE last + 12 * 3600000 < (SELECT max(last) FROM l) - 60000",
     "stream_upserts": "SELECT user_id AS id, arg_max(event_id, (epoch_us(ts)::HUGEINT * 1000000 + event_id)) AS event, arg_max(event_type, (epoch_us(ts)::HUGEINT * 1000000 + event_id)) AS operation FROM events GROUP BY 1",
+    "write_flushes": """WITH e AS (SELECT user_id AS key, list({'id': event_id, 't': epoch_us(ts), 's': coalesce((props::JSON->>'k')::BIGINT, 0), 'f': 0::BIGINT, 'held': 0::BIGINT, 'out': []::BIGINT[]} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+        r AS (SELECT key, l, list_reduce(l, lambda a, x: list_transform([a.held > 0 AND x.t - a.t >= 86400000000], lambda late: list_transform([{'f': a.f + late::INT, 'held': CASE WHEN late THEN 1 ELSE a.held + 1 END, 's': CASE WHEN late OR a.held = 0 THEN x.s ELSE a.s + x.s END, 't': CASE WHEN late OR a.held = 0 THEN x.t ELSE a.t END}],
+            lambda q: {'id': x.id, 't': q.t, 's': q.s, 'f': q.f + (q.held >= 3 OR q.s >= 150)::INT, 'held': CASE WHEN q.held >= 3 OR q.s >= 150 THEN 0 ELSE q.held END, 'out': list_append(a.out, q.f)})[1])[1], {'id': 0::BIGINT, 't': 0::BIGINT, 's': 0::BIGINT, 'f': 0::BIGINT, 'held': 0::BIGINT, 'out': []::BIGINT[]}) AS f FROM e)
+        SELECT unnest(list_transform(l, lambda x: x.id)) AS id, key, unnest(f.out) AS flush FROM r""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_dir
 from ..streaming import streams
 from . import model
-from .model import MEASUREMENTS
+from .model import BUCKETS, MEASUREMENTS
 
 
 def _events(spark, sf_dir):
@@ -61,6 +61,7 @@ def stream_token_bucket(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (stream_windows, stream_sliding, stream_sessions, stream_rate_limit, stream_outliers, stream_distinct, stream_token_bucket)}
 _SPAN = "time_bucket(INTERVAL {0}, ts, TIMESTAMP '1970-01-01')"
 ORACLE = {
+    "stream_token_bucket": f"WITH {BUCKETS} SELECT key, n, f.n AS allowed FROM folded",
     "stream_windows": f"WITH {MEASUREMENTS} SELECT operation, {_SPAN.format('6 HOURS')} AS start, {_SPAN.format('6 HOURS')} + INTERVAL 6 HOURS AS \"end\", count(*) AS n FROM m GROUP BY ALL",
     "stream_sliding": f"WITH {MEASUREMENTS}, b AS (SELECT operation, {_SPAN.format('12 HOURS')} - to_hours(12 * unnest([0, 1])) AS start FROM m) SELECT operation, start, start + INTERVAL 1 DAY AS \"end\", count(*) AS n FROM b GROUP BY ALL",
     "stream_sessions": f"""WITH {MEASUREMENTS}, g AS (SELECT key, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 8 HOURS THEN 1 ELSE 0 END AS new FROM m WINDOW w AS (PARTITION BY key ORDER BY ts)),
