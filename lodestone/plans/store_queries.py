@@ -230,8 +230,9 @@ def nearest_keys(spark, sf_dir):
 
 
 def stale_heartbeats(spark, sf_dir):
-    """Users without an event for twelve hours before the newest one."""
-    beats = streams.stale_jobs(_events(spark, sf_dir), "key", "ts", 12 * 60)
+    """Users without an event for twelve hours before the newest one; the clock starts a century before that one."""
+    newest = model.measurements(spark, sf_dir).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
+    beats = streams.stale_jobs(_events(spark, sf_dir), "key", "ts", 12 * 60, first=(newest or 0) - 36_525 * 86_400_000)
     return streams.collected(beats, "update", f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}").select("key", "last")
 
 

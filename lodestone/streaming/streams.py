@@ -51,8 +51,14 @@ def token_bucket(stream: DataFrame, key: str, ts: str, rate: float, late: str =
     return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, n long, allowed long", "tokens double, last double", "update", GroupStateTimeout.NoTimeout)
 
 
-def stale_jobs(stream: DataFrame, key: str, ts: str, silence_minutes: int = 45, late: str = "1 minute") -> DataFrame:
-    """Keys whose heartbeats stop for silence_minutes of event time, with the last one (milliseconds)."""
+def stale_jobs(stream: DataFrame, key: str, ts: str, silence_minutes: int = 45, late: str = "1 minute", first: int = 1) -> DataFrame:
+    """Keys whose heartbeats stop for silence_minutes of event time, with the last one to the nearest millisecond.
+
+    Watermarks begin at 1970 and pandas times span 292 years, so the stream's clock starts at the millisecond first, 1970
+    if not given. What is older is told with its own time, but waits for its timeout as if it came at first."""
+
+    def clock(ms: int) -> int:
+        return max(ms - first + 1, 1)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,13 +66,14 @@ def stale_jobs(stream: DataFrame, key: str, ts: str, silence_minutes: int = 45,
             state.remove()
             yield pd.DataFrame({key: [k[0]], "last": [last]})
             return
-        last = max([int(b["_ms"].max()) for b in batches if len(b)], default=0)
-        last = max(last, state.get[0]) if state.exists else last
-        state.update((last,))
-        state.setTimeoutTimestamp(last + silence_minutes * 60_000)
+        seen = [int(b["_ms"].max()) for b in batches if len(b)] + ([state.get[0]] if state.exists else [])
+        state.update((max(seen),))
+        state.setTimeoutTimestamp(clock(max(seen)) + silence_minutes * 60_000)
 
     kind = stream.schema[key].dataType.simpleString()
-    beats = stream.select(key, ts, F.unix_millis(ts).alias("_ms")).withWatermark(ts, late)
+    ms = F.unix_millis(F.timestamp_micros(F.round(F.unix_micros(ts), -3)))
+    at = F.timestamp_millis(F.greatest(ms - F.lit(first) + 1, F.lit(1)))
+    beats = stream.filter(F.col(ts).isNotNull()).select(key, at.alias(ts), ms.alias("_ms")).withWatermark(ts, late)
     return beats.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, last long", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 

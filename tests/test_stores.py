@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from lodestone.functions import paths
 from lodestone.operators import rerank, search, stats, tables, vector
+from lodestone.plans import registry
 from lodestone.sources import code, repository, stores
 from lodestone.sources.lexer import Tokens
 from lodestone.streaming import streams
+from oracle import connect
 from pyspark.sql import functions as F
 
 
@@ -198,3 +200,42 @@ def test_folds_and_heartbeats(spark, tmp_path):
     assert sorted((r["id"], r["x"]) for r in made.collect()) == [(1, "b"), (2, "a"), (3, "a")]
     stale = streams.collected(streams.stale_jobs(streams.buffered(spark, kind, at, files=1), "id", "ts", 45), "update", f"file://{tmp_path}/stale").collect()
     assert {r["id"] for r in stale} == {1, 2}
+
+
+def _stale(spark, sf, con):
+    """Rows of the query and of its SQL as they are; oracle.rows keeps nine digits of a number, too few for milliseconds."""
+    made = [tuple(r) for r in registry.queries()["stale_heartbeats"](spark, sf).collect()]
+    return sorted(made, key=str), sorted(con.execute(registry.oracle_sql()["stale_heartbeats"]).fetchall(), key=str)
+
+
+def test_stale_heartbeats_to_the_millisecond(spark, sf):
+    made, want = _stale(spark, sf, connect(sf))
+    assert want and made == want
+
+
+_NEWEST, _HOUR = 1_706_640_381_466_500, 3_600_000_000
+_BOUND = (_NEWEST + 500) - 60_000_000 - 12 * _HOUR
+_YEAR = 365 * 24 * _HOUR
+
+
+@pytest.mark.parametrize(
+    "beats",
+    [
+        [(1, _NEWEST)] + [(2 + n, _BOUND + us) for n, us in enumerate((-1501, -1500, -1000, -501, -500, 0))],
+        [(1, _NEWEST), (2, None), (3, _NEWEST - 24 * _HOUR), (3, None), (None, _NEWEST - 24 * _HOUR - 500)],
+        [(1, 5), (2, -36 * _HOUR), (3, -24 * _HOUR - 500), (4, -_HOUR)],
+        [(1, _NEWEST), (2, _NEWEST - 400 * _YEAR), (3, _NEWEST + 400 * _YEAR), (4, -_HOUR)],
+        [],
+    ],
+    ids=["bound", "nulls", "before_1970", "centuries", "none"],
+)
+def test_stale_heartbeats_of_any_time(spark, tmp_path, beats):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    for n, (key, us) in enumerate(beats):
+        con.execute("INSERT INTO events SELECT ?, make_timestamp(?::BIGINT), ?, 'x', 1.0, '{}'", [n, us, key])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    made, want = _stale(spark, str(tmp_path), con)
+    assert bool(want) == bool(beats) and made == want
