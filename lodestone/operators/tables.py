@@ -69,19 +69,21 @@ def entries_between(table: DataFrame, low, high, key: str = "key") -> DataFrame:
 
 
 def nearest_keys(table: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
-    """For each asked key (key) below and above: the greatest key at or below it and the least at or above it. One range
-    sort of both tables; each partition's ends go to the others as two rows."""
-    both = table.select(key, F.lit(True).alias("held")).unionByName(asked.select(key, F.lit(False).alias("held")))
+    """For each asked key (key) below and above: the greatest key at or below it and the least at or above it; both null
+    for a null. One range sort of both tables; each partition learns what the others hold from one row.
+
+    Windows run from the start in both orders: one that ends unbounded is worked out anew for each row."""
+    both = table.select(key, F.lit(True).alias("held")).unionByName(asked.select(key, F.lit(False).alias("held"))).filter(F.col(key).isNotNull())
     sorted_ = cut(both.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))  # once: borders come from a sample
-    local = W.partitionBy("_p").orderBy(key)
     here = F.when(F.col("held"), F.col(key))
-    marked = sorted_.withColumn("_b", F.max(here).over(local.rangeBetween(W.unboundedPreceding, 0))).withColumn("_a", F.min(here).over(local.rangeBetween(0, W.unboundedFollowing)))
-    ends = sorted_.filter("held").groupBy("_p").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    low = ends.agg(F.array_sort(F.collect_list(F.struct("_p", "low", "high"))).alias("ends"))  # a row for each partition
-    found = marked.filter(~F.col("held")).crossJoin(F.broadcast(low))
-    before = F.array_max(F.transform(F.filter("ends", lambda e: e["_p"] < F.col("_p")), lambda e: e["high"]))
-    after = F.array_min(F.transform(F.filter("ends", lambda e: e["_p"] > F.col("_p")), lambda e: e["low"]))
-    return found.select(key, F.coalesce("_b", before).alias("below"), F.coalesce("_a", after).alias("above"))
+    so_far = lambda order: W.partitionBy("_p").orderBy(order).rangeBetween(W.unboundedPreceding, 0)
+    marked = sorted_.withColumn("_b", F.max(here).over(so_far(F.asc(key)))).withColumn("_a", F.min(here).over(so_far(F.desc(key))))
+    ends = sorted_.groupBy("_p").agg(F.min(here).alias("low"), F.max(here).alias("high"))  # a row for each partition
+    before, after = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
+    others = ends.select("_p", F.max("high").over(before).alias("_before"), F.min("low").over(after).alias("_after"))
+    found = marked.filter(~F.col("held")).join(F.broadcast(others), "_p")
+    none = F.lit(None).cast(both.schema[key].dataType)
+    return found.select(key, F.coalesce("_b", "_before").alias("below"), F.coalesce("_a", "_after").alias("above")).unionByName(asked.filter(F.col(key).isNull()).select(key, none.alias("below"), none.alias("above")))
 
 
 def apply_changes(docs: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
