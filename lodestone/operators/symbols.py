@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CODE_PATTERNS, PRIMITIVE_TYPES, SIGNATURE_TYPES, SYMBOL_CODES
@@ -179,23 +181,45 @@ def visibility(text: Column) -> Column:
 
 
 def parents(spans: DataFrame) -> DataFrame:
-    """Spans (id, file, start, end) with parent: the narrowest one that encloses them; among equal spans the smaller id."""
-    outer = spans.select("file", F.col("id").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    wide, narrow = F.col("_e") - F.col("_s"), F.col("end") - F.col("start")
-    holds = (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")) & ((wide > narrow) | (wide == narrow) & (F.col("_p") < F.col("id")))
-    best = spans.join(outer, "file").filter(holds).groupBy("id").agg(F.min(F.struct(wide.alias("w"), (-F.col("_p")).alias("o"), F.col("_p").alias("p")))["p"].alias("parent"))
+    """Spans (id, file, start, end) with parent: the narrowest one that encloses them; among equal spans the smaller id.
+
+    No two spans are paired. A span lies in a cell of 2 ** level starts on each level; what starts before another fills
+    some of those cells, one a level at the most. In a cell, read from the greatest end down, the narrowest span so far is
+    the narrowest that ends no earlier. What starts at the same place is nested by its ends alone."""
+    known = spans.select("id", "file", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")).dropna().distinct()
+    wide = F.col("end") - F.col("start")
+    one = known.groupBy("file", "start", "end").agg(F.max("id").alias("p")).withColumn("b", F.struct((-wide).alias("w"), "p")).drop("p")
+    range_ = one.agg(F.min("start").alias("base"), F.max("start").alias("last"))  # one row
+    placed = one.crossJoin(F.broadcast(range_)).withColumn("at", F.expr("start - base"))
+    levels = F.explode(F.sequence(F.lit(0), F.least(F.floor(F.log2((F.col("last") - F.col("base") + 1).cast("double"))) + 1, F.lit(62)).cast("int"))).alias("level")
+    dealt = placed.select("file", "start", "end", "b", "at", levels).withColumn("cell", F.expr("shiftright(at, level)"))
+    # what comes before a place: at each level where its cell is odd, the cell in front of it
+    holders = dealt.filter(F.expr("cell & 1") == 0).groupBy("file", "level", "cell", "end").agg(F.max("b").alias("b"))
+    asked = dealt.filter(F.expr("cell & 1") == 1).select("file", "level", (F.col("cell") - 1).alias("cell"), "start", "end")
+    both = holders.withColumn("start", F.lit(None).cast("bigint")).unionByName(asked.withColumn("b", F.lit(None).cast(holders.schema["b"].dataType)))
+    down = W.partitionBy("file", "level", "cell").orderBy(F.desc("end"), F.asc_nulls_first("start")).rowsBetween(W.unboundedPreceding, 0)
+    before = both.withColumn("b", F.max("b").over(down)).filter("start is not null and b is not null").select("file", "start", "end", "b")
+    beside = one.select("file", "start", "end", F.lead("b").over(W.partitionBy("file", "start").orderBy("end")).alias("b")).filter("b is not null")
+    outer = before.unionByName(beside).groupBy("file", "start", "end").agg(F.max("b").alias("b"))
+    equal = known.withColumn("_e", F.lag("id").over(W.partitionBy("file", "start", "end").orderBy("id")))
+    found = F.when(F.col("_e").isNotNull(), F.struct((-wide).alias("w"), F.col("_e").alias("p"))).otherwise(F.col("b"))
+    best = equal.join(outer, ["file", "start", "end"], "left").groupBy("id").agg(F.max(found)["p"].alias("parent"))
     return spans.join(best, "id", "left")
 
 
 def qualified(nested: DataFrame) -> DataFrame:
     """parents()'s rows with a name each, and qualified: the names from the outermost level on, by ::, however deep.
 
-    Each round doubles the levels that are joined: a name so far, and the symbol above it."""
+    Each round doubles the levels that are joined: a name so far, and the symbol above it. Whole names are written once and
+    ask for nothing more."""
     at = cut(nested.select("id", F.col("name").alias("qualified"), F.col("parent").alias("up")))
-    while at.filter("up is not null").take(1):
-        above = at.select(F.col("id").alias("up"), F.col("qualified").alias("q"), F.col("up").alias("next"))
-        at = cut(at.join(above, "up", "left").select("id", F.concat_ws("::", "q", "qualified").alias("qualified"), F.col("next").alias("up")))
-    return nested.join(at.select("id", "qualified"), "id")
+    done, left = [at.filter("up is null")], at.filter("up is not null")
+    while left.take(1):
+        above = reduce(DataFrame.unionByName, done, left).select(F.col("id").alias("up"), F.col("qualified").alias("q"), F.col("up").alias("next"))
+        made = cut(left.join(above, "up", "left").select("id", F.concat_ws("::", "q", "qualified").alias("qualified"), F.col("next").alias("up")))
+        done.append(made.filter("up is null"))
+        left = made.filter("up is not null")
+    return nested.join(reduce(DataFrame.unionByName, done).select("id", "qualified"), "id")
 
 
 def any_term(symbols: DataFrame, terms: list[str], limit: int = 100) -> DataFrame:
