@@ -313,17 +313,21 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
 def containers(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """For each reference (ref, file, line) the narrowest of spans (id, file, start, end) around it; null if none.
 
-    A span's level is the logarithm of its width; it lies in the one or two cells of 2 ** level lines that hold its ends.
-    A line asks its cell on each level that occurs, so a pair meets only where span and line are about as near as the
-    span is wide, however many spans a file has."""
-    level = F.ceil(F.log2((F.col("end") - F.col("start") + 1).cast("double"))).cast("int")
-    cut = spans.filter(F.col("end") >= F.col("start")).select("id", "file", "start", "end", level.alias("level"))
-    dealt = cut.withColumn("cell", F.explode(F.expr("array_distinct(array(shiftright(cast(start as bigint), level), shiftright(cast(end as bigint), level), shiftright(cast(start as bigint), level) + 1))"))).filter(F.expr("cell <= shiftright(cast(end as bigint), level)"))
-    levels = cut.agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one row of at most 64 numbers
-    asked = refs.filter("line is not null").crossJoin(F.broadcast(levels)).select("ref", "file", "line", F.explode("levels").alias("level")).withColumn("cell", F.expr("shiftright(cast(line as bigint), level)"))
-    inside = asked.join(dealt, ["file", "level", "cell"]).filter(F.col("line").between(F.col("start"), F.col("end")))
-    best = inside.groupBy("ref").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "id"))["id"].alias("container"))
-    return refs.join(best, "ref", "left")
+    A span falls apart into the cells of 2 ** level lines that it fills, the widest that fit and two a level at the most,
+    and each cell keeps its narrowest span. A line asks the cells around it, one a level. So rows grow with spans and
+    lines and not with their pairs, however many spans lie over each other."""
+    a, b = F.col("start").cast("bigint"), F.col("end").cast("bigint") + 1
+    whole = spans.filter(F.col("end") >= F.col("start")).groupBy("file", a.alias("a"), b.alias("b")).agg(F.min("id").alias("id"))
+    highest = lambda n: F.least(F.floor(F.log2(n.cast("double"))) + 1, F.lit(62)).cast("int")
+    levels = lambda n: F.explode(F.sequence(F.lit(0), highest(n))).alias("level")
+    cut = whole.select("*", levels(F.col("b") - F.col("a"))).withColumns({"lo": F.expr("-shiftright(-a, level)"), "hi": F.expr("shiftright(b, level)")}).filter("lo < hi")
+    ends = F.array_compact(F.array(F.when(F.expr("lo & 1") == 1, F.col("lo")), F.when(F.expr("hi & 1") == 1, F.col("hi") - 1)))
+    filled = cut.select("file", "level", F.explode(ends).alias("cell"), F.struct((F.col("b") - F.col("a")).alias("w"), "id").alias("s")).groupBy("file", "level", "cell").agg(F.min("s").alias("s"))
+    widest = whole.agg(F.max(F.col("b") - F.col("a")).alias("n"))  # one row
+    lines = refs.filter("line is not null").select("file", "line").distinct().crossJoin(F.broadcast(widest))
+    asked = lines.select("file", "line", levels(F.col("n"))).withColumn("cell", F.expr("shiftright(cast(line as bigint), level)"))
+    best = asked.join(filled, ["file", "level", "cell"]).groupBy("file", "line").agg(F.min("s")["id"].alias("container"))
+    return refs.join(best, ["file", "line"], "left").select(*refs.columns, "container")
 
 
 #: Parts that a name many references use is dealt in.

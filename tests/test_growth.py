@@ -2,7 +2,17 @@
 
 import random
 
-from lodestone.operators import symbols, tables
+from lodestone.operators import graph, symbols, tables
+
+
+def test_containers_of_many_spans_on_a_line(spark):
+    rng = random.Random(5)
+    spans = [(i, rng.choice("ab"), s := rng.randint(-40, 300), s + rng.choice([-1, 0, 1, 5, 63, 200, 100_000])) for i in range(800)] + [(900, None, 0, 9), (901, "a", None, 9)]
+    refs = [(i, rng.choice("abc"), rng.randint(-60, 500)) for i in range(600)] + [(700, "a", None), (701, None, 5)]
+    want = {r: min(((e - s, i) for i, g, s, e in spans if g == f and None not in (g, s, x) and s <= x <= e), default=(0, None))[1] for r, f, x in refs}
+    made = graph.containers(spark.createDataFrame(refs, "ref long, file string, line int"), spark.createDataFrame(spans, "id long, file string, start int, end int"))
+    assert made.columns == ["ref", "file", "line", "container"]
+    assert {r["ref"]: r["container"] for r in made.collect()} == want
 
 
 def test_parents_by_a_plain_program(spark):
