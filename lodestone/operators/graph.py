@@ -318,8 +318,7 @@ def containers(refs: DataFrame, spans: DataFrame) -> DataFrame:
     lines and not with their pairs, however many spans lie over each other."""
     a, b = F.col("start").cast("bigint"), F.col("end").cast("bigint") + 1
     whole = spans.filter(F.col("end") >= F.col("start")).groupBy("file", a.alias("a"), b.alias("b")).agg(F.min("id").alias("id"))
-    highest = lambda n: F.least(F.floor(F.log2(n.cast("double"))) + 1, F.lit(62)).cast("int")
-    levels = lambda n: F.explode(F.sequence(F.lit(0), highest(n))).alias("level")
+    levels = lambda n: F.explode(F.sequence(F.lit(0), F.length(F.bin(n)) - 1)).alias("level")
     cut = whole.select("*", levels(F.col("b") - F.col("a"))).withColumns({"lo": F.expr("-shiftright(-a, level)"), "hi": F.expr("shiftright(b, level)")}).filter("lo < hi")
     ends = F.array_compact(F.array(F.when(F.expr("lo & 1") == 1, F.col("lo")), F.when(F.expr("hi & 1") == 1, F.col("hi") - 1)))
     filled = cut.select("file", "level", F.explode(ends).alias("cell"), F.struct((F.col("b") - F.col("a")).alias("w"), "id").alias("s")).groupBy("file", "level", "cell").agg(F.min("s").alias("s"))

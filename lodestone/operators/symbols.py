@@ -191,7 +191,7 @@ def parents(spans: DataFrame) -> DataFrame:
     one = known.groupBy("file", "start", "end").agg(F.max("id").alias("p")).withColumn("b", F.struct((-wide).alias("w"), "p")).drop("p")
     range_ = one.agg(F.min("start").alias("base"), F.max("start").alias("last"))  # one row
     placed = one.crossJoin(F.broadcast(range_)).withColumn("at", F.expr("start - base"))
-    levels = F.explode(F.sequence(F.lit(0), F.least(F.floor(F.log2((F.col("last") - F.col("base") + 1).cast("double"))) + 1, F.lit(62)).cast("int"))).alias("level")
+    levels = F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("last") - F.col("base"))) - 1)).alias("level")
     dealt = placed.select("file", "start", "end", "b", "at", levels).withColumn("cell", F.expr("shiftright(at, level)"))
     # what comes before a place: at each level where its cell is odd, the cell in front of it
     holders = dealt.filter(F.expr("cell & 1") == 0).groupBy("file", "level", "cell", "end").agg(F.max("b").alias("b"))

@@ -3,6 +3,8 @@
 import random
 
 from lodestone.operators import graph, symbols, tables
+from lodestone.sources import code
+from pyspark.sql import functions as F
 
 
 def test_containers_of_many_spans_on_a_line(spark):
@@ -41,3 +43,17 @@ def test_nearest_keys_by_a_plain_program(spark):
     plain = lambda k: (k, None, None) if k is None else (k, None if k < 0 else min(k // 7 * 7, last), 0 if k < 0 else None if k > last else -(-k // 7) * 7)
     made = {(r["key"], r["below"], r["above"]) for r in tables.nearest_keys(table, asked).collect()}
     assert made == {plain(k) for k in [*range(-3, 60_010), None]}
+
+
+def _sources(spark, n):
+    """Sources as one task of a small file would give them, each called twice on one line, and one file twice."""
+    text = "fn a(x: &str) -> Kind { b(x); b(x) }\nfn b(x: &str) {}\n"
+    return spark.createDataFrame([(f"src/p{i}.rs", text) for i in range(n)] + [("src/p0.rs", text)], "path string, content string").coalesce(1)
+
+
+def test_graph_of_sources_broadcasts_no_sources(spark):
+    """Estimates of what a reader gives are of the files before it; edges are as from each file read on its own."""
+    _, edges = code.code_graph(_sources(spark, 40).withColumn("content", F.concat(F.lit("use crate::p1::b;\n"), "content")))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan and "BuildLeft" not in plan
+    assert edges.count() == 40 and edges.select("dst", "relation").distinct().count() == 1
