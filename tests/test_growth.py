@@ -51,6 +51,13 @@ def _sources(spark, n):
     return spark.createDataFrame([(f"src/p{i}.rs", text) for i in range(n)] + [("src/p0.rs", text)], "path string, content string").coalesce(1)
 
 
+def test_references_come_once_without_an_aggregate(spark):
+    made = code.references(_sources(spark, 3))
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["path"], r["name"], r["line"]) for r in made.collect()]
+    assert sorted(rows) == sorted((f"src/p{i}.rs", n, 1) for i in range(3) for n in ("b", "Kind")) and made.select("ref").distinct().count() == 6
+
+
 def test_graph_of_sources_broadcasts_no_sources(spark):
     """Estimates of what a reader gives are of the files before it; edges are as from each file read on its own."""
     _, edges = code.code_graph(_sources(spark, 40).withColumn("content", F.concat(F.lit("use crate::p1::b;\n"), "content")))
