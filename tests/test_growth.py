@@ -51,6 +51,16 @@ def _sources(spark, n):
     return spark.createDataFrame([(f"src/p{i}.rs", text) for i in range(n)] + [("src/p0.rs", text)], "path string, content string").coalesce(1)
 
 
+def test_sources_are_read_in_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for read in (code.symbols, code.references, code.imports):
+            made = read(_sources(spark, 300).withColumn("content", F.concat(F.lit("use a::b;\n"), "content")))
+            assert made.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_references_come_once_without_an_aggregate(spark):
     made = code.references(_sources(spark, 3))
     assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
