@@ -179,12 +179,12 @@ def consistency(docs: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def prune_jobs(jobs: DataFrame, finished: Column, updated: str, oldest: Column, most: int) -> DataFrame:
-    """Without finished rows before oldest, then without the oldest finished ones while there are over most."""
+    """Without finished rows before oldest, then without the oldest finished ones while there are over most.
+
+    Finished rows go first, so what stays of them is among the last most rows of all: no order of all rows is needed."""
     kept = jobs.filter(~(finished & (F.col(updated) < oldest)))
-    total = kept.agg(F.count("*").alias("_total"))  # one row
-    order = W.orderBy(F.when(finished, 0).otherwise(1), updated, "id")
-    ranked = kept.crossJoin(F.broadcast(total)).withColumn("_n", F.row_number().over(order))
-    return ranked.filter(~finished | (F.col("_n") > F.col("_total") - most)).drop("_n", "_total")
+    last = kept.orderBy(F.when(finished, 1).otherwise(0), F.desc_nulls_first(updated), F.desc_nulls_first("id")).limit(most)
+    return kept.filter(~finished).unionByName(last.filter(F.coalesce(finished, F.lit(True))))
 
 
 def theoretical_growth(kind: Column, times: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import random
 
-from lodestone.operators import graph, symbols, tables
+from lodestone.operators import graph, stats, symbols, tables
 from lodestone.sources import code
 from pyspark.sql import functions as F
 
@@ -74,3 +74,18 @@ def test_graph_of_sources_broadcasts_no_sources(spark):
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "MapInPandas" not in plan and "BuildLeft" not in plan
     assert edges.count() == 40 and edges.select("dst", "relation").distinct().count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pruned_jobs_need_no_order_of_all(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["F", "O", None]), rng.choice([None, *range(60)])) for i in range(400)]
+    jobs = spark.createDataFrame(rows, "id long, status string, updated int")
+    for most in (0, 40, 250, 390, 1000):
+        kept = sorted((r for r in rows if not (r[1] == "F" and (r[2] is None or r[2] < 20)) and not (r[1] is None and (r[2] is None or r[2] < 20))), key=lambda r: (r[1] != "F", r[2] is None, r[2] or 0, r[0]))
+        want = {r[0] for n, r in enumerate(kept, 1) if r[1] == "O" or n > len(kept) - most}
+        made = stats.prune_jobs(jobs, F.col("status") == "F", "updated", F.lit(20), most)
+        assert "Window" not in _plan(made) and {r["id"] for r in made.collect()} == want
