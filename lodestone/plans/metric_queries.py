@@ -114,7 +114,9 @@ def symbol_counts(spark, sf_dir):
 def distinct_counts(spark, sf_dir):
     """Exact distinct counts, and whether the approximate ones are within a tenth."""
     m = _m(spark, sf_dir)
-    a = m.agg(F.countDistinct("key").alias("keys"), F.countDistinct("size").alias("sizes"), F.approx_count_distinct("key", 0.02).alias("k"), F.approx_count_distinct("size", 0.02).alias("s"))
+    # each alone: beside a distinct count, an approximate one keeps its registers for every distinct value
+    about = m.agg(F.approx_count_distinct("key", 0.02).alias("k"), F.approx_count_distinct("size", 0.02).alias("s"))
+    a = about.crossJoin(m.agg(F.countDistinct("key").alias("keys"))).crossJoin(m.agg(F.countDistinct("size").alias("sizes")))  # one row each
     return a.select("keys", "sizes", (F.abs(F.col("k") - F.col("keys")) <= 0.1 * F.col("keys")).alias("keys_close"), (F.abs(F.col("s") - F.col("sizes")) <= 0.1 * F.col("sizes")).alias("sizes_close"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 from lodestone.operators import graph, stats, symbols, tables
+from lodestone.plans import registry
 from lodestone.sources import code
 from pyspark.sql import functions as F
 
@@ -89,3 +90,7 @@ def test_pruned_jobs_need_no_order_of_all(spark):
         want = {r[0] for n, r in enumerate(kept, 1) if r[1] == "O" or n > len(kept) - most}
         made = stats.prune_jobs(jobs, F.col("status") == "F", "updated", F.lit(20), most)
         assert "Window" not in _plan(made) and {r["id"] for r in made.collect()} == want
+
+
+def test_counts_keep_no_registers_a_value(spark, sf):
+    assert "Expand" not in _plan(registry.queries()["distinct_counts"](spark, sf))
