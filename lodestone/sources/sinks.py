@@ -19,13 +19,17 @@ def prometheus(df: DataFrame, metric: str, label: str, value: str) -> DataFrame:
     return df.select(F.format_string(f'{metric}{{{label}="%s"}} %s', label, F.col(value).cast("string")).alias("value"))
 
 
+#: Spaces at the ends of a field stay; a line ends at \n alone, so that a text's own \r stay as they are.
+_CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header; quotes are doubled, so that any text comes back as it was."""
-    df.write.option("header", True).option("escape", '"').option("emptyValue", '""').option("nullValue", "").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    df.write.options(**_CSV, emptyValue='""', nullValue="").csv(path)
 
 
 def read_csv(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", None).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    return spark.read.schema(schema).options(**_CSV, multiLine=True, emptyValue="", nullValue=None).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
