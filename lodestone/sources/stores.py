@@ -46,10 +46,11 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 
 def write_keyed(df: DataFrame, root: str, key: str, order: tuple[str, ...] = (), buckets: int = 64) -> None:
-    """A version of df laid out by key, sorted by key and order."""
+    """A version of df laid out by key, sorted by key and order. Rows are dealt by bucket, and a bucket of many is cut up,
+    without a look at them first, which would work them out twice."""
     name, by = uuid.uuid4().hex, ["_bucket", key, *order]
     placed = df.withColumn("_bucket", _bucket(F.col(key), buckets))
-    placed.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("_bucket").parquet(f"{root}/{name}")
+    placed.hint("rebalance", "_bucket").sortWithinPartitions(*by).write.partitionBy("_bucket").parquet(f"{root}/{name}")
     _commit(df.sparkSession, root, name=name, key=key, buckets=buckets, schema=json.loads(placed.schema.json()))
 
 
