@@ -128,11 +128,11 @@ def stale_embeddings(spark, sf_dir):
 
 
 def index_updated(spark, sf_dir):
-    """Postings after one in five documents is deleted and one in seven replaced by its title."""
+    """Postings after one in five documents is deleted and one in seven replaced by its title. An index's rows of what is
+    not deleted are the postings of those documents, so documents are deleted and not their many rows."""
     d = model.docs(spark, sf_dir)
-    index = search.postings(d)
     gone, new = d.filter("id % 5 = 0"), d.filter("id % 7 = 0 and id % 5 <> 0").withColumn("content", F.col("title"))
-    kept = tables.delete(tables.delete(index, gone), new)
+    kept = search.postings(tables.delete(tables.delete(d, gone), new))
     return kept.unionByName(search.postings(new)).groupBy("id").agg(F.count("*").alias("trigrams"), F.sum("tf").alias("occurrences"))
 
 
