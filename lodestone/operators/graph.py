@@ -109,7 +109,9 @@ def max_depth(nodes: DataFrame, edges: DataFrame, roots: bool = True) -> int:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, mean_out, components of two strongly connected nodes or more, and depth."""
+    """One row: nodes, edges, mean_out, components of two strongly connected nodes or more, and depth. All of it reads the
+    edges, so they are made once; nodes that come of edges should come of edges that are cut."""
+    edges = cut(edges.select("src", "dst"))
     loops = strong_components(edges).groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("strong"))
     counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(loops)  # one row each
     return counts.select("nodes", "edges", (F.col("edges") / F.col("nodes")).alias("mean_out"), "strong", F.lit(max_depth(nodes, edges)).alias("depth"))
@@ -119,6 +121,7 @@ def bridge_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row over nodes (id, file) and edges: as graph_stats(), but strong counts every strong component, one of a single
     node too, depth is from any node, and imports are the edges between different files. Depth has a row a pair of nodes
     that reach each other: for graphs of a repository's size."""
+    edges = cut(edges.select("src", "dst"))  # once: all of it reads them
     here = nodes.select(F.col("id").alias("src"), F.col("file").alias("f"))
     there = nodes.select(F.col("id").alias("dst"), F.col("file").alias("g"))
     imports = edges.join(here, "src").join(there, "dst").filter(~F.col("f").eqNullSafe(F.col("g"))).agg(F.count("*").alias("imports"))
@@ -182,8 +185,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     for every node the greatest rank that reaches it and the greatest that it reaches. Where both are one, that node's
     component is whole and leaves; edges between nodes whose pairs differ are in no cycle and leave too. Nodes without
     edges in and out are components of their own. Rounds go on until no node is left."""
-    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    nodes, left, done = cut(ids), cut(edges.select("src", "dst").filter("src <> dst").distinct()), []
+    known = cut(edges.select("src", "dst").distinct())  # once: what makes the edges may be dear
+    ids = known.select(F.col("src").alias("id")).unionByName(known.select(F.col("dst").alias("id"))).distinct()
+    nodes, left, done = cut(ids), known.filter("src <> dst"), []
     while nodes.take(1):
         inner = cut(left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")), "id", "left_semi"))
         done.append(cut(nodes.join(inner, "id", "left_anti").select(F.col("id").alias("component"), "id")))

@@ -9,6 +9,7 @@ from ..operators import definitions as D
 from ..operators import graph, search, tables, vector
 from ..operators import symbols as S
 from ..sources import code
+from ..sources.shared import cut
 from . import model
 from .graph_queries import _NODES, _ids, _nodes
 from .model import DAG, DOCS, SYMBOLS, TRADE, VECTORS
@@ -78,6 +79,7 @@ def impact_paths(spark, sf_dir):
 
 def graph_statistics(spark, sf_dir):
     edges = model.trade(spark, sf_dir).select("src", "dst").unionByName(model.dag(spark, sf_dir).filter("relation = 'part_of' or relation = 'located_in'").select("src", "dst"))
+    edges = cut(edges)
     return graph.graph_stats(_nodes(edges), edges).withColumn("mean_out", F.round("mean_out", 6))
 
 
@@ -200,8 +202,8 @@ def parse_statistics(spark, sf_dir):
     """Files of four languages, one in ten cut in the middle: how many hold errors, and the deepest brackets."""
     files = _files(spark, sf_dir).unionByName(_scripts(spark, sf_dir).filter("path not like '%.py'"))
     n = F.regexp_extract("path", r"p(\d+)\.", 1).cast("int")
-    cut = files.withColumn("content", F.when(n % 10 == 0, F.substring_index("content", "}", 1)).otherwise(F.col("content")))
-    made = code.parse_stats(cut)
+    broken = files.withColumn("content", F.when(n % 10 == 0, F.substring_index("content", "}", 1)).otherwise(F.col("content")))
+    made = code.parse_stats(broken)
     return made.groupBy(F.substring_index("path", ".", -1).alias("extension")).agg(F.count("*").alias("files"), F.count_if(F.col("errors") > 0).alias("broken"), F.max("depth").alias("depth"))
 
 

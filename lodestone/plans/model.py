@@ -56,7 +56,8 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier nation -> customer nation where they trade more than most pairs do: a cyclic graph of nations."""
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    sold = line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    home = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    sold = line.join(home.select("o_orderkey", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))  # orders move to their customers, not all their lines
     pairs = sold.groupBy(F.concat(F.lit("n"), F.col("s_nationkey")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("dst")).agg(F.count("*").alias("n"))
     limit = pairs.agg(F.percentile("n", 0.9).alias("q"))
     return pairs.crossJoin(F.broadcast(limit)).filter("n >= q").select("src", "dst", F.lit("trades").alias("relation"), "n")

@@ -94,3 +94,16 @@ def test_pruned_jobs_need_no_order_of_all(spark):
 
 def test_counts_keep_no_registers_a_value(spark, sf):
     assert "Expand" not in _plan(registry.queries()["distinct_counts"](spark, sf))
+
+
+def test_statistics_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string").coalesce(1).mapInArrow(count, "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert tuple(graph.graph_stats(nodes, edges).first())[:2] == (3, 3) and made.value == 3
